@@ -46,7 +46,8 @@ def query_value_sql(key):
 
 UTM_SQL = ", ".join(f"{query_value_sql(k)} as {k}" for k in ("utm_medium", "utm_source", "utm_campaign", "utm_content"))
 
-PATTERN_SQL = r"""case "type" when 'regex' then value when 'exact' then regexp_replace(value, '([.^$*+?()\[\]{}|\\])', '\\\1', 'g')
+PATTERN_SQL = r"""case "type" when 'regex' then case when value not like '*%' then value end
+  when 'exact' then regexp_replace(value, '([.^$*+?()\[\]{}|\\])', '\\\1', 'g')
   else '^' || replace(value, '*', '[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?') || '$' end"""
 
 FULL_SQL = f"""{B},
@@ -61,7 +62,7 @@ source_rules as (select referrer_host, source from (
   from (select distinct referrer_host from cast_rows) h join ({fx.SOURCES}) s
     on h.referrer_host = s.host or h.referrer_host like '%.' || s.host) where n = 1),
 joined as (select c.*, s.service_id is not null as service_found, a.i is not null as host_matched, z.country_code,
-    coalesce(namespace in (select host from ({fx.SPAM_HOSTS})), false) as is_spam_host, src.source as referrer_source
+    coalesce(c.namespace in (select host from ({fx.SPAM_HOSTS})), false) as is_spam_host, src.source as referrer_source
   from cast_rows c left join services s on c.i = s.service_id
   left join accepted_pairs a on c.i = a.i and c.namespace = a.namespace
   left join ({fx.ZONES}) z on c.z = z."zone"
@@ -109,7 +110,7 @@ SQL["ingest_agents"] = f"{B}, a as (select *, {AGENTS_SQL} from beacons) select
 def _agent_table(s, d):
     """Agents parsed once per distinct value, then joined back."""
     beacons = fx.beacons(s, d)
-    table = ing.agent_columns(beacons.select("user_agent").distinct())
+    table = ing.agent_columns(beacons.select("user_agent").distinct()).withColumnRenamed("bot_agent", "is_bot")
     return ing.agent_columns(beacons, table).select("beacon_id", *_AGENT, "bot_agent")
 
 
@@ -186,9 +187,9 @@ SQL["ingest_allowed_query"] = f"""{B}, p as (select beacon_id, q, unnest(string_
     generate_subscripts(string_split(regexp_replace(q, '^[?]+', ''), '&'), 1) as n from beacons),
   kv as (select beacon_id, n, url_decode(split_part(x, '=', 1)) as k,
     url_decode(replace(case when contains(x, '=') then substr(x, instr(x, '=') + 1) else '' end, '+', ' ')) as v from p),
-  one as (select beacon_id, k, min(n) as at, max_by(v, n) as v from kv
+  one as (select beacon_id, k, min(n) as first_n, max_by(v, n) as v from kv
     where k in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_content') group by beacon_id, k),
-  texts as (select beacon_id, '?' || string_agg(k || '=' || replace(url_encode(v), '%20', '+'), '&' order by at) as q
+  texts as (select beacon_id, '?' || string_agg(k || '=' || replace(url_encode(v), '%20', '+'), '&' order by first_n) as q
     from one group by beacon_id)
   select b.beacon_id, coalesce(t.q, '') as q from beacons b left join texts t using (beacon_id)"""
 

@@ -15,6 +15,7 @@ QUERIES, SQL = {}, {}
 
 TRACKED = f"with tracked as ({fx.sql(fx.TRACKED_EVENTS)})"
 _DIMENSIONS = ", ".join(DIMENSIONS)
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def stored_events(s, d):
@@ -122,7 +123,7 @@ SQL["lake_panel"] = f"{WA} {top(300)}"
 
 def _beacon_files(s, d):
     path = shared_dir(s, "beacon_files")
-    fx.beacons(s, d).write.mode("overwrite").json(path)
+    fx.beacons(s, d).write.mode("overwrite").option("timestampNTZFormat", MICROS).json(path)
     return src.read_beacons(s, path)
 
 
@@ -132,7 +133,7 @@ SQL["beacon_json_files"] = fx.sql(fx.BEACONS)
 
 def _messages(s, d):
     beacons = fx.beacons(s, d)
-    return src.from_messages(beacons.select(F.to_json(F.struct(*beacons.columns)).cast("binary").alias("value")))
+    return src.from_messages(beacons.select(F.to_json(F.struct(*beacons.columns), {"timestampNTZFormat": MICROS}).cast("binary").alias("value")))
 
 
 QUERIES["beacon_messages"] = _messages

@@ -68,14 +68,17 @@ SQL["services_insert_absent"] = f"""{SV}, n as (select c_name as name from custo
 _LABEL = reg.LABEL_PATTERN
 _ESCAPED = r"regexp_replace(value, '([.^$*+?()\[\]{}|\\])', '\\\1', 'g')"
 
+# a regular expression cannot start with a repetition; such matchers get no pattern
+_USABLE = "case when value not like '*%' then value end"
+
 QUERIES["matcher_patterns"] = lambda s, d: reg.compile_matchers(fx.registry(s, d).matchers)
-SQL["matcher_patterns"] = f"""{SV} select *, case "type" when 'regex' then value when 'exact' then {_ESCAPED}
+SQL["matcher_patterns"] = f"""{SV} select *, case "type" when 'regex' then {_USABLE} when 'exact' then {_ESCAPED}
   else '^' || replace(value, '*', '{_LABEL}') || '$' end as pattern from matchers"""
 
 QUERIES["matcher_patterns_strict"] = lambda s, d: reg.compile_matchers(fx.registry(s, d).matchers, "strict")
-SQL["matcher_patterns_strict"] = f"""{SV} select *, case "type" when 'regex' then value
+SQL["matcher_patterns_strict"] = f"""{SV} select *, case "type" when 'regex' then {_USABLE}
   when 'exact' then '^' || {_ESCAPED} || '$'
-  else '^' || replace(replace(value, '.', '\\.'), '*', '{_LABEL}') || '$' end as pattern from matchers"""
+  else '^' || replace({_ESCAPED}, '\\*', '{_LABEL}') || '$' end as pattern from matchers"""
 
 # A file per supplier; some of them have an override, an unknown matcher type,
 # no name or no service section.
