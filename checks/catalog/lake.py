@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.catalog.panels import WA, top
-from pagetally.model import DIMENSIONS
+from pagetally.model import DIMENSIONS, LAYOUTS
 from pagetally.operators import panels
 from pagetally.plans.spec import QuerySpec
 from pagetally.session import shared_dir
@@ -25,23 +25,33 @@ def stored_events(s, d):
     )
 
 
-def stored(s, d, name, encoding="struct"):
+def stored(s, d, name, encoding="struct", layout="sorted"):
     """Write the events and give the path."""
     path = shared_dir(s, f"{name}/events")
-    lake.write_events(stored_events(s, d), path, "all", encoding)
+    lake.write_events(stored_events(s, d), path, "all", encoding, layout)
     return path
 
 
-def _scan(s, d):
-    events = lake.read_events(s, stored(s, d, "scan"), instance=None)
+def _scan(layout):
+    def query(s, d):
+        return _columns(lake.read_events(s, stored(s, d, f"scan_{layout}", layout=layout), instance=None))
+
+    return query
+
+
+def _columns(events):
     return events.select("instance", "entity_id", "timestamp", "type", "year", "month", "properties.*")
 
 
-QUERIES["lake_event_scan"] = _scan
-SQL["lake_event_scan"] = f"""{TRACKED} select instance, entity_id, "timestamp", "type", cast(year("timestamp") as integer) as "year",
+_SCAN_SQL = f"""{TRACKED} select instance, entity_id, "timestamp", "type", cast(year("timestamp") as integer) as "year",
   cast(month("timestamp") as integer) as "month", {_DIMENSIONS} from tracked"""
 
 
+for _name in LAYOUTS:
+    QUERIES[f"lake_event_scan_{_name}"] = _scan(_name)
+    SQL[f"lake_event_scan_{_name}"] = _SCAN_SQL
+
+
 def _two_batches(s, d):
     """Two appends, the second one repeated: the repeat replaces itself."""
     path = shared_dir(s, "append/events")
@@ -107,16 +117,19 @@ _SPEC = QuerySpec(
 )
 
 
-def _tenant(s, d):
-    return lake.read_page_views(s, stored(s, d, "tenant"), _SPEC, "acme")
+def _tenant(layout):
+    return lambda s, d: lake.read_page_views(s, stored(s, d, f"tenant_{layout}", layout=layout), _SPEC, "acme")
 
 
-QUERIES["lake_tenant_spec"] = _tenant
-SQL["lake_tenant_spec"] = f"""{TRACKED} select entity_id as service_id, "timestamp", {_DIMENSIONS} from tracked
+_TENANT_SQL = f"""{TRACKED} select entity_id as service_id, "timestamp", {_DIMENSIONS} from tracked
   where "type" = 'pageview' and instance = 'acme' and entity_id in ('svc-0', 'svc-7', 'svc-10')
     and (browser = 'Chrome' or browser is null)
     and "timestamp" >= timestamp '2024-01-10 00:00:00' and "timestamp" <= timestamp '2024-01-20 23:59:59'"""
 
+for _name in LAYOUTS:
+    QUERIES[f"lake_tenant_spec_{_name}"] = _tenant(_name)
+    SQL[f"lake_tenant_spec_{_name}"] = _TENANT_SQL
+
 QUERIES["lake_panel"] = lambda s, d: panels.panel(lake.read_page_views(s, stored(s, d, "panel"), instance=None))
 SQL["lake_panel"] = f"{WA} {top(300)}"
 

@@ -33,13 +33,17 @@ def host(uri: Column) -> Column:
 
 
 def path(uri: Column) -> Column:
-    """Path without query and fragment; NULL when it is empty."""
-    return _part(uri, _PATH)
+    """Path without query and fragment; NULL when it is empty.
 
+    A text that starts with one slash needs no pattern, only the cuts.
+    """
+    plain = F.startswith(uri, F.lit("/")) & ~F.startswith(uri, F.lit("//"))
+    cut = F.substring_index(F.substring_index(uri, "#", 1), "?", 1)
+    return F.when(plain, cut).otherwise(_part(uri, _PATH))
 
-def rooted_path(uri: Column) -> Column:
-    """Path with a leading slash."""
-    found = path(uri)
+
+def rooted(found: Column) -> Column:
+    """A path with a leading slash."""
     return F.when(F.startswith(found, F.lit("/")), found).otherwise(F.concat(F.lit("/"), found))
 
 

@@ -57,8 +57,16 @@ FILTER_COLUMNS = {
 
 PROPERTIES_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in DIMENSIONS])
 
-# What is inside one lake batch directory, partition columns included.
-PARTITION_COLUMNS = ("instance", "entity_id", "year", "month")
+# Columns that place an event in the table, coarsest first.
+CLUSTER_COLUMNS = ("instance", "entity_id", "year", "month")
+
+# Directory levels below a batch. ``site`` gives every site its own directories;
+# ``sorted`` keeps sites together inside files, so that thousands of small
+# sites do not make thousands of small files.
+LAYOUTS = {
+    "sorted": ("instance", "year", "month"),
+    "site": ("instance", "entity_id", "year", "month"),
+}
 
 
 def event_schema(properties: T.DataType | None = None) -> T.StructType:

@@ -54,7 +54,7 @@ def cast_beacons(beacons: DataFrame) -> DataFrame:
         {
             "bot_flag": parse_flag(b),
             "invalid_params": b.isNotNull() & parse_flag(b).isNull(),
-            "path": uri.rooted_path(p),
+            "path": uri.rooted(uri.path(p)),
             "invalid_path": p.isNotNull() & uri.path(p).isNull(),
             "namespace": uri.host(o),
             "referrer": uri.referrer(r),

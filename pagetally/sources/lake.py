@@ -2,7 +2,8 @@
 
 One write is one directory ``batch=<label>``; repeating a write with the same
 label replaces it, so a retried job or micro-batch never counts twice. Below
-it, events are partitioned by instance, site, year and month.
+it, events are partitioned by instance, year and month, with or without a
+directory level per site (see ``LAYOUTS``).
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetally.model import (
+    CLUSTER_COLUMNS,
     DEFAULT_INSTANCE,
     DIMENSIONS,
+    LAYOUTS,
     PAGE_VIEW_TYPE,
-    PARTITION_COLUMNS,
     event_schema,
 )
 from pagetally.plans.spec import QuerySpec
@@ -51,33 +53,33 @@ def with_timestamp(events: DataFrame) -> DataFrame:
     return events.withColumn("timestamp", F.coalesce(F.col("timestamp"), now))
 
 
-def write_events(
-    events: DataFrame, path: str, batch: str, encoding: str = "struct", sort_within: bool = True
-) -> None:
-    """Store events (instance, entity_id, timestamp, type, properties struct) as one batch.
+def _placed(events: DataFrame) -> DataFrame:
+    return with_timestamp(events).withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
 
-    REBALANCE gathers the rows of a partition into files of the advisory size: a
-    site with most of the rows is split over many tasks, small ones share a task.
-    """
-    rows = with_timestamp(events).withColumns(
-        {
-            "year": F.year("timestamp"),
-            "month": F.month("timestamp"),
-            "properties": encode_properties(F.col("properties"), encoding),
-        }
-    )
-    rows = rows.select("timestamp", "type", "properties", *PARTITION_COLUMNS).hint("rebalance", *PARTITION_COLUMNS)
-    if sort_within:
-        # keeps row-group ranges of timestamp narrow, for pushed time filters
-        rows = rows.sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
+
+def _save(rows: DataFrame, path: str, batch: str, layout: str) -> None:
+    # sorted by site and time, so row groups and pages have narrow ranges to skip by
     (
-        rows.write.mode("overwrite")
-        .partitionBy(*PARTITION_COLUMNS)
+        rows.sortWithinPartitions(*CLUSTER_COLUMNS, "timestamp")
+        .write.mode("overwrite")
+        .partitionBy(*LAYOUTS[layout])
         .option("compression", "zstd")
         .parquet(f"{path.rstrip('/')}/batch={batch}")
     )
 
 
+def write_events(events: DataFrame, path: str, batch: str, encoding: str = "struct", layout: str = "sorted") -> None:
+    """Store events (instance, entity_id, timestamp, type, properties struct) as one batch.
+
+    REBALANCE brings the rows of a site and month together in files of the
+    advisory size: a site with most of the rows is split over many tasks, small
+    ones share a task. One table has one layout.
+    """
+    rows = _placed(events).withColumn("properties", encode_properties(F.col("properties"), encoding))
+    rows = rows.select("timestamp", "type", "properties", *CLUSTER_COLUMNS)
+    _save(rows.hint("rebalance", *CLUSTER_COLUMNS), path, batch, layout)
+
+
 def properties_type(encoding: str) -> T.DataType | None:
     return {"struct": None, "json": T.StringType(), "variant": T.VariantType()}[encoding]
 
@@ -130,21 +132,23 @@ def read_page_views(
 
 
 def compact(
-    spark: SparkSession, source: str, target: str, batch: str, batches: Sequence[str] | None = None, encoding: str = "struct"
+    spark: SparkSession,
+    source: str,
+    target: str,
+    batch: str,
+    batches: Sequence[str] | None = None,
+    encoding: str = "struct",
+    layout: str = "sorted",
 ) -> None:
-    """Rewrite small batches of ``source`` as one batch of the table at ``target``.
+    """Rewrite batches of ``source`` (all, or the named ones) as one batch of the table at ``target``.
 
-    Repeatable: the same label replaces the earlier attempt. The source stays.
+    Rows are spread by ranges of (instance, site, time): a site lies in few
+    files, a site of any size in as many as it needs, and the file statistics
+    let a site or time filter skip the rest. Repeatable: the same label replaces
+    the earlier attempt. The source stays.
     """
     events = read_events(spark, source, instance=None, encoding=encoding)
     if batches is not None:
         events = events.where(F.col("batch").isin(list(batches)))
-    rows = events.select("timestamp", "type", "properties", *PARTITION_COLUMNS)
-    (
-        rows.hint("rebalance", *PARTITION_COLUMNS)
-        .sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
-        .write.mode("overwrite")
-        .partitionBy(*PARTITION_COLUMNS)
-        .option("compression", "zstd")
-        .parquet(f"{target.rstrip('/')}/batch={batch}")
-    )
+    rows = events.select("timestamp", "type", "properties", *CLUSTER_COLUMNS)
+    _save(rows.repartitionByRange("instance", "entity_id", "timestamp"), target, batch, layout)
