@@ -38,32 +38,23 @@ SQL["services_with_matchers"] = f"""{SV} select service_id, name, published, mat
   from services left join matchers using (service_id)"""
 
 
-def _lists(s, d):
-    """The nested form, read back as size and one text per service."""
-    nested = reg.with_matcher_list(fx.registry(s, d))
-    return nested.select(
-        "service_id",
-        F.size("matchers").alias("n"),
-        F.array_join(F.transform("matchers", lambda m: m["matcher_id"]), ",").alias("ids"),
-    )
-
-
-QUERIES["services_matcher_lists"] = _lists
-SQL["services_matcher_lists"] = f"""{SV} select service_id, cast(count(matcher_id) as integer) as n,
-  coalesce(string_agg(matcher_id, ',' order by matcher_id), '') as ids
+QUERIES["services_matcher_counts"] = lambda s, d: reg.matcher_counts(fx.registry(s, d))
+SQL["services_matcher_counts"] = f"""{SV} select service_id, count(matcher_id) as n
   from services left join matchers using (service_id) group by service_id"""
 
 
-def _absent(s, d):
-    """Names that no published site has yet; every customer name is new, every supplier name is known or hidden."""
+def _names(s, d):
+    """Customer names are new, supplier names are taken, some by hidden sites."""
     names = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name"))
-    names = names.unionByName(_services(s, d).select("name"))
-    return reg.insert_absent(names, _services(s, d))
+    return names.unionByName(_services(s, d).select("name"))
 
 
-QUERIES["services_insert_absent"] = _absent
+QUERIES["services_insert_absent"] = lambda s, d: reg.insert_absent(_names(s, d), _services(s, d))
 SQL["services_insert_absent"] = f"""{SV}, n as (select c_name as name from customer union all select name from services)
-  select name from n where name not in (select name from services where published)"""
+  select name from n where name not in (select name from services)"""
+
+QUERIES["services_name_conflicts"] = lambda s, d: reg.name_conflicts(_names(s, d), _services(s, d))
+SQL["services_name_conflicts"] = f"{SV} select name from services where not published"
 
 _LABEL = reg.LABEL_PATTERN
 _ESCAPED = r"regexp_replace(value, '([.^$*+?()\[\]{}|\\])', '\\\1', 'g')"
@@ -121,3 +112,24 @@ SQL["config_errors"] = """select concat('site-', s_suppkey::varchar, '.conf') as
 QUERIES["config_override"] = lambda s, d: config_files.override(fx.frame(s, d, _FILES))
 SQL["config_override"] = f"""with f as ({fx.sql(_FILES)})
   select * from f where layer = (select max(layer) from f g where g.file = f.file)"""
+
+
+def _registered(s, d):
+    """Declared services against a registry that has every second supplier already."""
+    services, matchers, _ = _parsed(s, d)
+    current = _services(s, d).where(F.substring("name", -1, 1).isin("0", "2", "4", "6", "8"))
+    return reg.register_new(services, matchers, current)
+
+
+_UUID = "regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+_NEW = f"""with declared as ({SQL["config_services"]}), new as (
+  select {_UUID.format("'service/' || name")} as service_id, * from declared
+  where name like '%override' or right(name, 1) not in ('0', '2', '4', '6', '8')),
+  m as ({SQL["config_matchers"]})"""
+
+QUERIES["config_new_services"] = lambda s, d: _registered(s, d).services
+SQL["config_new_services"] = f"{_NEW} select service_id, name, published from new"
+
+QUERIES["config_new_matchers"] = lambda s, d: _registered(s, d).matchers
+SQL["config_new_matchers"] = f"""{_NEW} select {_UUID.format("'matcher/' || service_id || '/' || value")} as matcher_id, service_id, "type", value
+  from new join m using (file)"""

@@ -51,7 +51,7 @@ SQL["stream_ingest_events"] = f"""{FULL_SQL} select instance, service_id as enti
 
 def _rejects(s, d):
     _, _, rejects = run_ingest(s, d, "rejects")
-    return s.read.parquet(rejects).groupBy("instance", "reason").agg(F.count("*").alias("count"))
+    return ingest_stream.read_rejects(s, rejects).groupBy("instance", "reason").agg(F.count("*").alias("count"))
 
 
 QUERIES["stream_ingest_rejects"] = _rejects

@@ -96,9 +96,14 @@ def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
 def match_inline(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
     """Look up the site and test its patterns row by row.
 
-    The compiled registry travels as one broadcast, so its size has to be
-    checked before (see ``registry_fits``).
+    The compiled registry travels as one broadcast; one above the bounds is refused.
     """
+    if not registry_fits(registry, mode):
+        raise ValueError("registry is too large for inline matching")
+    return _match_inline(rows, registry, mode)
+
+
+def _match_inline(rows: DataFrame, registry: Registry, mode: str) -> DataFrame:
     keys = registry.keys
     patterns = compile_matchers(registry.matchers, mode).groupBy(*keys).agg(
         F.collect_list("pattern").alias("__patterns")
@@ -148,11 +153,11 @@ def match_distinct(rows: DataFrame, registry: Registry, mode: str = "reference",
     )
 
 
-def registry_fits(registry: Registry) -> bool:
-    return all(
-        fits(table, REGISTRY_MAX_ROWS, REGISTRY_MAX_BYTES)
-        for table in (registry.services, registry.matchers.select(*registry.keys, "type", "value"))
-    )
+def registry_fits(registry: Registry, mode: str = "reference") -> bool:
+    """Whether ids and compiled patterns are small enough to be copied to every executor."""
+    ids = registry.services.select(*registry.keys)
+    patterns = compile_matchers(registry.matchers, mode).select(*registry.keys, "pattern")
+    return all(fits(table, REGISTRY_MAX_ROWS, REGISTRY_MAX_BYTES) for table in (ids, patterns))
 
 
 def reject_reason() -> Column:
@@ -190,12 +195,12 @@ def ingest(
     rows = cast_beacons(beacons)
     if drop_local:
         rows = rows.where(~F.coalesce(uri.is_local_host(F.col("namespace")), F.lit(False)))
-    if matching == "auto":
-        matching = "inline" if registry_fits(registry) else "distinct"
-    elif matching == "inline" and not registry_fits(registry):
-        raise ValueError("registry is too large for inline matching")
-    match = match_inline if matching == "inline" else match_distinct
-    rows = match(rows, registry, mode)
+    if matching == "inline":
+        rows = match_inline(rows, registry, mode)
+    elif matching == "auto" and registry_fits(registry, mode):
+        rows = _match_inline(rows, registry, mode)
+    else:
+        rows = match_distinct(rows, registry, mode)
     rows = lk.with_spam_flag(rows, F.col("namespace"), lookups.spam_hosts)
     rows = lk.with_country(rows, F.col("z"), lookups.zones)
     rows = lk.with_referrer_source(rows, F.col("referrer_host"), lookups.sources)

@@ -32,9 +32,9 @@ def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str, value
     hint: Spark checks the table's size and broadcasts a small one, and splits
     hot keys of the sort-merge join it uses for a large one.
     """
-    unique = table.groupBy(F.col(table_key).alias("__key")).agg(
-        *[F.min(column).alias(name) for column, name in values.items()]
-    )
+    entry = F.struct(*[F.col(column).alias(name) for column, name in values.items()])
+    unique = table.groupBy(F.col(table_key).alias("__key")).agg(F.min(entry).alias("__entry"))
+    unique = unique.select("__key", "__entry.*")
     return rows.join(unique, key == F.col("__key"), "left").drop("__key")
 
 

@@ -53,22 +53,48 @@ def with_matchers(registry: Registry) -> DataFrame:
     return registry.services.join(registry.matchers, registry.keys, "left")
 
 
-def with_matcher_list(registry: Registry) -> DataFrame:
-    """Every service with the list of its matchers, empty when it has none.
+def matcher_counts(registry: Registry) -> DataFrame:
+    """Number of matchers per service, 0 for none."""
+    counted = with_matchers(registry).groupBy(*registry.keys)
+    return counted.agg(F.count("matcher_id").alias("n"))
 
-    For registries whose size was checked (see ``fits``): one list holds all
-    matchers of a service.
+
+def insert_absent(new: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of ``new`` whose name no current service has.
+
+    A name is unique among all services, hidden ones included.
     """
-    entry = F.struct(*[F.col(c) for c in registry.matchers.columns if c not in registry.keys])
-    lists = registry.matchers.groupBy(*registry.keys).agg(F.array_sort(F.collect_list(entry)).alias("matchers"))
-    joined = registry.services.join(lists, registry.keys, "left")
-    empty = F.array().cast(joined.schema["matchers"].dataType)
-    return joined.withColumn("matchers", F.coalesce(F.col("matchers"), empty))
+    return new.join(current.select("name"), "name", "left_anti")
 
 
-def insert_absent(new: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose name is not taken by a published current service."""
-    return new.join(published(current).select("name"), "name", "left_anti")
+def name_conflicts(new: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of ``new`` that cannot be inserted because an unpublished service has the name."""
+    hidden = current.where(~F.col("published"))
+    return new.join(hidden.select("name"), "name", "left_semi")
+
+
+def stable_uuid(*parts: Column) -> Column:
+    """The same UUID text for the same parts, so a repeated load gives the same ids."""
+    digest = F.md5(F.concat_ws("/", *parts))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def register_new(services: DataFrame, matchers: DataFrame, current: DataFrame) -> Registry:
+    """Declared services (file, name, published) and matchers (file, matcher_no, type, value) that are new.
+
+    Of several files with one name the first by file name counts.
+    """
+    first = services.groupBy("name").agg(F.min(F.struct("file", "published")).alias("s"))
+    added = insert_absent(first.select("s.file", "name", "s.published"), current)
+    added = added.withColumn("service_id", stable_uuid(F.lit("service"), F.col("name")))
+    matcher_id = stable_uuid(F.lit("matcher"), F.col("service_id"), F.col("value"))
+    # a value counts once per service
+    owned = matchers.join(added.select("file", "service_id"), "file").groupBy("service_id", "value")
+    chosen = owned.agg(F.min_by("type", "matcher_no").alias("type"))
+    return Registry(
+        added.select("service_id", "name", "published"),
+        chosen.select(matcher_id.alias("matcher_id"), "service_id", "type", "value"),
+    )
 
 
 def escape_pattern(text: Column) -> Column:

@@ -16,6 +16,9 @@ RECOMMENDED = {
 }
 
 
+_test_roots: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RECOMMENDED.items():
@@ -30,8 +33,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     used. Folders are kept apart by application id, so a rerun inside one
     application overwrites its own data and nobody else's.
     """
+    application = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pagetally-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/pagetally/{spark.sparkContext.applicationId}/{name}"
+        if application not in _test_roots:
+            _test_roots[application] = tempfile.mkdtemp(prefix="pagetally-")
+        root = _test_roots[application]
+    return f"{root.rstrip('/')}/pagetally/{application}/{name}"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from pagetally.model import BEACON_SCHEMA
 from pagetally.operators import ingest as ing
 from pagetally.operators.lookups import Lookups
 from pagetally.operators.registry import Registry
@@ -22,6 +24,11 @@ def write_rejects(rejects: DataFrame, path: str, batch: str) -> None:
     rejects.write.mode("overwrite").partitionBy("instance").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected beacons with reason and micro-batch number."""
+    return spark.read.schema(T.StructType(list(BEACON_SCHEMA)).add("reason", "string").add("batch", "long")).parquet(path)
+
+
 def start_ingest(
     beacons: DataFrame,
     events_path: str,
@@ -50,9 +57,7 @@ def start_ingest(
         finally:
             rows.unpersist()
 
-    observed = beacons.observe(
-        "beacons", F.count(F.lit(1)).alias("received"), F.count("instance").alias("with_instance")
-    )
+    observed = beacons.observe("beacons", F.count(F.lit(1)).alias("received"))
     return (
         observed.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
