@@ -16,9 +16,7 @@ PUBLISHED_TEXTS = ("true", "yes", "1")
 def read_config_files(spark: SparkSession, *folders: str) -> DataFrame:
     """(file, content, layer) of the ``*.conf`` files; later folders override earlier ones."""
     frames = [
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.conf")
-        .text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.conf")
         .select(
             F.substring_index(F.input_file_name(), "/", -1).alias("file"),
             F.col("value").alias("content"),
