@@ -59,7 +59,7 @@ def _panel_order(s, d):
 
 
 QUERIES["panel_order"] = _panel_order
-SQL["panel_order"] = f'{WA} select grouping_id, value, "count", position from ({FULL}) where position <= 300'
+SQL["panel_order"] = f'{WA} select grouping_id, value, "count", cast(position as integer) as position from ({FULL}) where position <= 300'
 
 for _name in DIMENSIONS:
     QUERIES[f"panel_of_{_name}"] = lambda s, d, name=_name: panels.panel_of(panels.panel(fx.page_views(s, d)), name)

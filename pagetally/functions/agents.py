@@ -99,17 +99,21 @@ def system_name(name: Column) -> Column:
 
 
 def operating_system(agent: Column, rules: Sequence[AgentRule] = SYSTEM_RULES) -> Column:
-    return system_name(family(agent, rules))
+    return _first_match(agent, rules, lambda rule: F.lit(SYSTEM_NAMES.get(rule.family, rule.family)))
 
 
 def operating_system_version(agent: Column, rules: Sequence[AgentRule] = SYSTEM_RULES) -> Column:
     return version(agent, rules)
 
 
-def is_bot(agent: Column, tokens: Sequence[str] = BOT_TOKENS) -> Column:
-    """True when the agent contains one of the tokens, whatever the case; NULL passes as NULL."""
-    name = F.lower(agent)
-    verdict = F.contains(name, F.lit(tokens[0]))
+def is_bot_name(lowered: Column, tokens: Sequence[str] = BOT_TOKENS) -> Column:
+    """True when a lower-case agent contains one of the tokens; NULL passes as NULL."""
+    verdict = F.contains(lowered, F.lit(tokens[0]))
     for token in tokens[1:]:
-        verdict = verdict | F.contains(name, F.lit(token))
+        verdict = verdict | F.contains(lowered, F.lit(token))
     return verdict
+
+
+def is_bot(agent: Column, tokens: Sequence[str] = BOT_TOKENS) -> Column:
+    """The same for an agent as it was sent."""
+    return is_bot_name(F.lower(agent), tokens)

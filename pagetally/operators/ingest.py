@@ -82,15 +82,16 @@ def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
                 "bot_agent": F.coalesce("bot_agent", F.lit(False)),
             }
         )
-    return rows.withColumns(
+    # lowered once in a column of its own: several tests read it
+    return rows.withColumn("__lowered", F.lower(agent)).withColumns(
         {
             "browser": agents.browser(agent),
             "browser_version": agents.browser_version(agent),
             "operating_system": agents.operating_system(agent),
             "operating_system_version": agents.operating_system_version(agent),
-            "bot_agent": agents.is_bot(agent),
+            "bot_agent": agents.is_bot_name(F.col("__lowered")),
         }
-    )
+    ).drop("__lowered")
 
 
 def match_inline(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:

@@ -65,13 +65,16 @@ def with_max_uncut(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(maxima), "grouping_id")
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Dimension by dimension, largest count first; ties by value, NULL first."""
+    return rows.orderBy("grouping_id", F.desc("count"), F.asc_nulls_first("value"))
+
+
 def panel(page_views: DataFrame, limit: int | None = DEFAULT_LIMIT, form: str = "explode") -> DataFrame:
     """The full report (grouping_id, value, count, max), ordered; ``limit=None`` keeps every value."""
     counts = panel_counts(page_views, form)
     rows = with_max_uncut(counts) if limit is None else with_max(top_values(counts, limit))
-    return rows.select("grouping_id", "value", "count", "max").orderBy(
-        "grouping_id", F.desc("count"), F.asc_nulls_first("value")
-    )
+    return ordered(rows.select("grouping_id", "value", "count", "max"))
 
 
 def panel_of(panel_rows: DataFrame, dimension: str) -> DataFrame:
@@ -85,6 +88,5 @@ def present(panel_rows: DataFrame, territories: DataFrame | None = None) -> Data
         return panel_rows.withColumn("present", labels.present(F.col("grouping_id"), F.col("value")))
     names = territories.groupBy(F.col("country_code").alias("value")).agg(F.min("name").alias("territory"))
     labelled = labels.present(F.col("grouping_id"), F.col("value"), F.col("territory"))
-    return panel_rows.join(names, "value", "left").select(
-        *[F.col(c) for c in panel_rows.columns], labelled.alias("present")
-    )
+    joined = panel_rows.join(names, "value", "left")
+    return ordered(joined.select(*[F.col(c) for c in panel_rows.columns], labelled.alias("present")))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pagetally.model import PANEL_SCHEMA
+from pagetally.model import DEFAULT_LIMIT, PANEL_SCHEMA
+from pagetally.operators.panels import ordered, top_values
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
@@ -20,16 +22,16 @@ def read_panel(spark: SparkSession, path: str, labelled: bool = False) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
-def panel_streams(panel: DataFrame) -> dict[int, bytes]:
+def panel_streams(panel: DataFrame, limit: int = DEFAULT_LIMIT) -> dict[int, bytes]:
     """Arrow IPC stream per grouping id, each behind the id as 32-bit big-endian integer.
 
-    For panels cut by a limit: at most thirteen times the limit rows come to the
-    driver. No rows, no streams.
+    The panel is cut to ``limit`` rows per dimension again, so that never more
+    than thirteen times the limit come to the driver. No rows, no streams.
     """
-    rows = panel.toArrow()
+    rows = ordered(top_values(panel, limit)).toArrow()
     streams = {}
     for group in rows.column("grouping_id").unique().to_pylist():
-        mask = pa.compute.equal(rows.column("grouping_id"), group)
+        mask = pc.equal(rows.column("grouping_id"), group)
         part = rows.filter(mask).drop_columns(["grouping_id"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema) as writer:
