@@ -49,8 +49,14 @@ def select_services(
 
 
 def with_matchers(registry: Registry) -> DataFrame:
-    """Every service with each of its matchers; matcher columns are NULL when it has none."""
-    return registry.services.join(registry.matchers, registry.keys, "left")
+    """Every service with each of its matchers; matcher columns are NULL when it has none.
+
+    An inner join plus the services without matchers: unlike in a left join, Spark
+    can split a service that owns most of the matchers over several tasks.
+    """
+    services, matchers, keys = registry.services, registry.matchers, registry.keys
+    bare = services.join(matchers.select(*keys).distinct(), keys, "left_anti")
+    return services.join(matchers, keys).unionByName(bare, allowMissingColumns=True)
 
 
 def matcher_counts(registry: Registry) -> DataFrame:

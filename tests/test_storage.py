@@ -48,6 +48,37 @@ def test_repeated_batch_replaces_itself(spark, sf_dir, tmp_path):
     assert {r["batch"] for r in read.select("batch").distinct().collect()} == {"a", "b"}
 
 
+def data_files(path):
+    return glob.glob(f"{path}/**/*.parquet", recursive=True)
+
+
+def test_hot_site_is_split_over_files(spark, sf_dir, tmp_path):
+    """With a small target size the site that has a third of the rows is written by several tasks."""
+    path = str(tmp_path / "events")
+    events = stored_events(spark, sf_dir).repartition(8)
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")
+    before = {key: spark.conf.get(key) for key in keys}
+    spark.conf.set(keys[0], "8KB")
+    try:
+        lake.write_events(events.where("instance = 'main'"), path, "1", layout="site")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = data_files(path)
+    hot = [f for f in files if "entity_id=svc-0/" in f]
+    assert len(hot) > 1
+    assert lake.read_events(spark, path).count() == events.where("instance = 'main'").count()
+
+
+def test_sorted_layout_makes_few_files(spark, sf_dir, tmp_path):
+    events = stored_events(spark, sf_dir)
+    for layout in LAYOUTS:
+        lake.write_events(events, str(tmp_path / layout), "1", layout=layout)
+    sites = events.select("instance", "entity_id").distinct().count()
+    assert len(data_files(tmp_path / "site")) >= sites
+    assert len(data_files(tmp_path / "sorted")) <= 8
+
+
 def test_compaction_keeps_every_event(spark, sf_dir, tmp_path):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")
     events = stored_events(spark, sf_dir)
