@@ -20,8 +20,8 @@ AGENTS_SQL = """case when user_agent like '%Firefox/%' then 'Firefox' when user_
     when user_agent like '%Safari/%' then regexp_extract(user_agent, 'Version/([0-9.]*[0-9])', 1) end as browser_version,
   case when user_agent like '%Windows%' then 'Windows' when user_agent like '%iPhone%' then 'iOS'
     when user_agent like '%Macintosh%' then 'macOS' when user_agent like '%Android%' then 'Android' end as operating_system,
-  case when user_agent like '%Windows%' then '10.0' when user_agent like '%iPhone%' then '18.1.1'
-    when user_agent like '%Macintosh%' then '10.15.7' when user_agent like '%Android%' then '10' end as operating_system_version,
+  case when user_agent like '%Windows%' then '10.0' when user_agent like '%iPhone%' then '17.2.1'
+    when user_agent like '%Macintosh%' then '10.15.7' when user_agent like '%Android%' then '13' end as operating_system_version,
   coalesce(user_agent like '%bot%', false) as bot_agent"""
 
 REST_OF_PATH = "regexp_replace(regexp_replace(p, '^https?://[^/?#]*', ''), '[?#].*$', '')"

@@ -54,11 +54,11 @@ from {_VISITS.replace("WHERE", "where event_type = 'view'")}"""
 BEACONS = f"""
 select e.event_id as beacon_id, {_INSTANCE} as instance, e.ts as received_at,
   case when k = 97 then null
-       when k % 5 = 0 then 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/18.1.1 Safari/605.1.1'
-       when k % 5 = 1 then 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/132.0.0.0 Safari/537.3'
-       when k % 5 = 2 then 'Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:134.0) Gecko/20100101 Firefox/134.0'
-       when k % 5 = 3 then 'Mozilla/5.0 (Linux; Android 10; K) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/132.0.0.0 Mobile Safari/537.3'
-       when k % 10 = 9 then 'Mozilla/5.0 (iPhone; CPU iPhone OS 18_1_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/18.1.1 Mobile/15E148 Safari/604.'
+       when k % 5 = 0 then 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2.1 Safari/605.1.15'
+       when k % 5 = 1 then 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36'
+       when k % 5 = 2 then 'Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:121.0) Gecko/20100101 Firefox/121.0'
+       when k % 5 = 3 then 'Mozilla/5.0 (Linux; Android 13; Pixel 7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/119.0.0.0 Mobile Safari/537.36'
+       when k % 10 = 9 then 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_2_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2 Mobile/15E148 Safari/604.1'
        else 'Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)' end as user_agent,
   case when k = 99 then '150' when k = 98 then '1' when k = 94 then 'true' when k = 93 then 'yes'
        when k % 3 = 0 then 'false' when k % 3 = 1 then '' else '0' end as b,

@@ -19,10 +19,21 @@ RECOMMENDED = {
 _test_roots: dict[str, str] = {}
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+# Shuffle bytes one task should get.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to an existing session.
+
+    ``shuffle_bytes``, the size of the largest shuffle to expect, sets the number
+    of shuffle partitions; without it the session's own number stays.
+    """
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
+    if shuffle_bytes is not None:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-shuffle_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
     return spark
 
 

@@ -98,17 +98,17 @@ def test_strip_www_and_local_hosts(spark):
 
 
 AGENTS = {
-    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/128.0.0.0 Safari/537.36 Edg/128.0.0.": (
-        "Microsoft Edge", "128.0.0", "Windows", "10.0"),
-    "Mozilla/5.0 (iPhone; CPU iPhone OS 18_2_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) CriOS/132.0.6834.100 Mobile/15E148 Safari/604.": (
-        "Chrome", "132.0.6834.100", "iOS", "18.2.1"),
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/121.0.0.0 Safari/537.36 Edg/121.0.2277": (
+        "Microsoft Edge", "121.0.2277", "Windows", "10.0"),
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_3_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) CriOS/121.0.6167.66 Mobile/15E148 Safari/604.1": (
+        "Chrome", "121.0.6167.66", "iOS", "17.3.1"),
     "Mozilla/5.0 (iPad; CPU OS 17_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Safari/604.1": (
         "Safari", "17.1", "iOS", "17.1"),
-    "Mozilla/5.0 (Linux; Android 10; K) AppleWebKit/537.36 (KHTML, like Gecko) SamsungBrowser/27.0 Chrome/125.0.0.0 Mobile Safari/537.3": (
-        "Samsung Browser", "27.0", "Android", "10"),
-    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Safari/605.1.1": (
-        "Safari", "17.0", "macOS", "10.15.7"),
-    "Mozilla/5.0 (X11; Linux x86_64; rv:134.0) Gecko/20100101 Firefox/134.": ("Firefox", "134", "GNU/Linux", None),
+    "Mozilla/5.0 (Linux; Android 12; SM-G991B) AppleWebKit/537.36 (KHTML, like Gecko) SamsungBrowser/23.0 Chrome/115.0.0.0 Mobile Safari/537.36": (
+        "Samsung Browser", "23.0", "Android", "12"),
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/16.6 Safari/605.1.15": (
+        "Safari", "16.6", "macOS", "10.15.7"),
+    "Mozilla/5.0 (X11; Linux x86_64; rv:122.0) Gecko/20100101 Firefox/122.": ("Firefox", "122", "GNU/Linux", None),
     "something else": (None, None, None, None),
 }
 

@@ -11,7 +11,7 @@ from pagetally.operators import ingest as ing
 from pagetally.operators import lookups as lk
 from pagetally.operators import registry as reg
 
-CHROME = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/132.0.0.0 Safari/537.3"
+CHROME = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
 
 
 def small_registry(spark, matchers):
@@ -72,7 +72,7 @@ def test_columns_of_an_accepted_beacon(spark):
         "namespace": "www.example.org", "path": "/page", "referrer": "mail.google.com", "referrer_source": "Gmail",
         "utm_medium": "", "utm_source": "b+c", "utm_campaign": None, "utm_content": None, "country_code": "FR",
         "operating_system": "Windows", "operating_system_version": "10.0", "browser": "Chrome",
-        "browser_version": "132.0.0.0",
+        "browser_version": "120.0.0.0",
     }
 
 

@@ -14,9 +14,9 @@ from pagetally.operators import ingest as ing
 from pagetally.operators import lookups as lk
 from pagetally.operators import registry as reg
 from pagetally.plans.spec import QuerySpec
-from pagetally.session import shared_dir
+from pagetally.session import configure, shared_dir
 from pagetally.sources import beacons as src
-from pagetally.sources import config_files, lake, synthetic
+from pagetally.sources import config_files, lake, registry_tables, synthetic
 from pagetally.streaming import ingest_stream, series_stream
 
 
@@ -188,6 +188,38 @@ def test_config_folders(spark, tmp_path):
     assert rows_of(reg.name_conflicts(services, current), "name") == [("alpha",)]
 
 
+def test_install_config_is_repeatable(spark, tmp_path):
+    folder, path = tmp_path / "conf", str(tmp_path / "registry")
+    os.makedirs(folder)
+    start = reg.Registry(
+        spark.createDataFrame([("s1", "alpha", True), ("s2", "hidden", False)], "service_id string, name string, published boolean"),
+        spark.createDataFrame([("m1", "s1", "exact", "a.example")], "matcher_id string, service_id string, type string, value string"),
+    )
+    registry_tables.write_registry(start, path, "start")
+    (folder / "1.conf").write_text("[Service]\nName=alpha\n[Matcher]\nType=exact\nValue=other.example\n")
+    (folder / "2.conf").write_text("[Service]\nName=hidden\n")
+    (folder / "3.conf").write_text("[Service]\nName=new\n[Matcher]\nType=exact\nValue=n.example\n[Matcher]\nType=regex\nValue=n.example\n")
+    (folder / "4.conf").write_text("[Service]\nName=new\npublished=0\n")
+    (folder / "5.conf").write_text("Name=stray\n")
+    for _ in range(2):
+        errors = registry_tables.install_config(spark, path, "conf", str(folder))
+        assert rows_of(errors) == [("5.conf", "missing service section")]
+        stored = registry_tables.read_registry(spark, path)
+        assert rows_of(stored.services, "name", "published") == [("alpha", True), ("hidden", False), ("new", True)]
+        # one value once per service, the first section counts
+        assert rows_of(stored.matchers, "type", "value") == [("exact", "a.example"), ("exact", "n.example")]
+    assert rows_of(reg.matcher_counts(stored), "n") == [(0,), (1,), (1,)]
+
+
+def test_configure_sizes_shuffles(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        configure(spark, shuffle_bytes=1_000 * 128 * 1024 * 1024 + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1001"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_synthetic_rows_are_repeatable(spark):
     ids = synthetic.synth_ids(spark, 5000, ["a", "b"])
     one, two = synthetic.synth_page_views(ids, 1), synthetic.synth_page_views(ids.repartition(3), 1)
