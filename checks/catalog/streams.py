@@ -10,23 +10,19 @@ from checks.catalog.ingest import FULL_SQL
 from pagetally.model import DIMENSIONS
 from pagetally.plans.spec import QuerySpec
 from pagetally.session import shared_dir
-from pagetally.sources import beacons as src
 from pagetally.sources import lake
 from pagetally.streaming import ingest_stream, series_stream
 
 QUERIES, SQL = {}, {}
 
 ONCE = {"availableNow": True}
-_DIMENSIONS = ", ".join(DIMENSIONS)
 
 
 def run_ingest(s, d, name):
-    """Stream all beacons through ingest, in several micro-batches; gives (query, events path, rejects path)."""
+    """Stream all beacons through ingest; gives the paths of events and rejects."""
     root = shared_dir(s, f"stream/{name}/{uuid4().hex}")
-    fx.beacons(s, d).repartition(3).write.mode("overwrite").parquet(f"{root}/beacons")
-    beacons = src.stream_beacons(s, f"{root}/beacons", "parquet", max_files_per_trigger=1)
     query = ingest_stream.start_ingest(
-        beacons,
+        fx.beacon_stream(s, d),
         f"{root}/events",
         f"{root}/rejects",
         f"{root}/checkpoint",
@@ -35,11 +31,11 @@ def run_ingest(s, d, name):
         ONCE,
     )
     query.awaitTermination()
-    return query, f"{root}/events", f"{root}/rejects"
+    return f"{root}/events", f"{root}/rejects"
 
 
 def _events(s, d):
-    _, events, _ = run_ingest(s, d, "events")
+    events, _ = run_ingest(s, d, "events")
     read = lake.read_events(s, events, instance=None)
     return read.select("instance", "entity_id", "timestamp", "type", "properties.*")
 
@@ -50,7 +46,7 @@ SQL["stream_ingest_events"] = f"""{FULL_SQL} select instance, service_id as enti
 
 
 def _rejects(s, d):
-    _, _, rejects = run_ingest(s, d, "rejects")
+    _, rejects = run_ingest(s, d, "rejects")
     return ingest_stream.read_rejects(s, rejects).groupBy("instance", "reason").agg(F.count("*").alias("count"))
 
 
@@ -61,7 +57,7 @@ SQL["stream_ingest_rejects"] = f"""{FULL_SQL} select instance, reason, count(*)
 
 def _progress(s, d):
     """Accepted rows per tenant over all micro-batches."""
-    _, events, _ = run_ingest(s, d, "progress")
+    events, _ = run_ingest(s, d, "progress")
     counts = ingest_stream.batch_progress(lake.read_events(s, events, instance=None))
     return counts.groupBy("instance").agg(F.sum("count").alias("count"))
 
@@ -71,7 +67,7 @@ SQL["stream_progress"] = f"""{FULL_SQL} select instance, count(*) as "count" fro
 
 
 def _tenant(s, d):
-    _, events, _ = run_ingest(s, d, "tenant")
+    events, _ = run_ingest(s, d, "tenant")
     spec = QuerySpec(interval="past_14_days", as_of=datetime(2024, 1, 20, 12, 34, 56))
     return lake.read_page_views(s, events, spec, "acme")
 
@@ -82,16 +78,11 @@ SQL["stream_tenant_views"] = f"""{FULL_SQL} select service_id, "timestamp",
   where reason is null and instance = 'acme' and "timestamp" >= timestamp '2024-01-06 12:34:00'"""
 
 
-def _stream_events(s, d):
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.withColumnRenamed("ts", "timestamp")
-
-
 def _scale(unit, watermark=None):
     def query(s, d):
         root = shared_dir(s, f"stream/scale/{uuid4().hex}")
-        counted = series_stream.stream_scale(_stream_events(s, d), unit, watermark)
+        events = fx.event_stream(s, d).withColumnRenamed("ts", "timestamp")
+        counted = series_stream.stream_scale(events, unit, watermark)
         series_stream.start_scale(counted, f"{root}/periods", f"{root}/checkpoint", ONCE).awaitTermination()
         return series_stream.read_scale(s, f"{root}/periods")
 

@@ -112,15 +112,11 @@ TERRITORIES = """select * from (values ('FR', 'France'), ('DE', 'Germany'), ('ES
 TABLES = ("events", "pages", "supplier", "customer")
 
 
-def _expand(text: str, **names: object) -> dict[str, object]:
-    return {name: value for name, value in names.items() if "{" + name + "}" in text}
-
-
-def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A fixture in Spark."""
-    used = _expand(text, **dict.fromkeys(TABLES))
+def frame(spark: SparkSession, sf_dir: str, text: str, **given: DataFrame) -> DataFrame:
+    """A fixture in Spark; ``given`` frames take the place of tables."""
+    used = [name for name in TABLES if "{" + name + "}" in text and name not in given]
     frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used}
-    return spark.sql(text, **frames)
+    return spark.sql(text, **frames, **given)
 
 
 def sql(text: str) -> str:
@@ -142,6 +138,21 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, BEACONS)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its files.
+
+    The path is a pattern because a stream takes a single file only that way; it
+    also takes a folder of files.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def beacon_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beacons derived from the event stream."""
+    return frame(spark, sf_dir, BEACONS, events=event_stream(spark, sf_dir))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
     return Registry(frame(spark, sf_dir, SERVICES), frame(spark, sf_dir, SERVICE_MATCHERS))
 

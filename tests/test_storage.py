@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tests.conftest import plan_of, rows_of
 
 from checks import fixtures as fx
-from checks.catalog import streams
 from checks.catalog.lake import stored_events
 from pagetally.model import DIMENSIONS, LAYOUTS
 from pagetally.operators import ingest as ing
@@ -103,9 +102,15 @@ def test_unknown_encoding():
         lake.encode_properties(F.col("x"), "xml")
 
 
-def test_stream_equals_batch_and_counts_progress(spark, sf_dir):
-    query, events, rejects = streams.run_ingest(spark, sf_dir, "test")
+def test_stream_equals_batch_and_counts_progress(spark, sf_dir, tmp_path):
     beacons = fx.beacons(spark, sf_dir)
+    source, events, rejects = (str(tmp_path / name) for name in ("beacons", "events", "rejects"))
+    beacons.repartition(3).write.parquet(source)
+    query = ingest_stream.start_ingest(
+        src.stream_beacons(spark, source, "parquet", max_files_per_trigger=1), events, rejects, str(tmp_path / "check"),
+        lambda: fx.registry(spark, sf_dir), lambda: fx.lookups(spark), {"availableNow": True},
+    )
+    query.awaitTermination()
     rows = ing.ingest(beacons, fx.registry(spark, sf_dir), fx.lookups(spark))
     columns = ("instance", "entity_id", "timestamp", "type", *[f"properties.{d}" for d in DIMENSIONS])
     assert rows_of(lake.read_events(spark, events, instance=None), *columns) == rows_of(ing.to_events(rows), *columns)
@@ -113,7 +118,7 @@ def test_stream_equals_batch_and_counts_progress(spark, sf_dir):
         ing.rejected(rows, beacons.columns), "beacon_id", "reason"
     )
     progress = ingest_stream.progress_counts(query)
-    assert len(progress) >= 2 and sum(p["received"] for p in progress) == beacons.count()
+    assert len(progress) == 3 and sum(p["received"] for p in progress) == beacons.count()
 
 
 def test_replayed_micro_batch_changes_nothing(spark, sf_dir, tmp_path):
