@@ -76,7 +76,9 @@ def version(agent: Column, rules: Sequence[AgentRule]) -> Column:
     """Number behind the marker, with dots; NULL when there is none."""
 
     def behind(rule: AgentRule) -> Column:
-        return F.when(F.contains(agent, F.lit(rule.marker)), F.substring_index(agent, rule.marker, -1))
+        tail = F.substring_index(agent, rule.marker, -1)
+        # the token itself being the marker, it is known to occur
+        return tail if rule.marker == rule.token else F.when(F.contains(agent, F.lit(rule.marker)), tail)
 
     number = F.regexp_extract(_first_match(agent, rules, behind), "^[0-9]+(?:[._][0-9]+)*", 0)
     return F.nullif(F.translate(number, "_", "."), F.lit(""))

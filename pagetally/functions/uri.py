@@ -39,7 +39,7 @@ def path(uri: Column) -> Column:
     """
     plain = F.startswith(uri, F.lit("/")) & ~F.startswith(uri, F.lit("//"))
     cut = F.substring_index(F.substring_index(uri, "#", 1), "?", 1)
-    return F.when(plain, cut).otherwise(_part(uri, _PATH))
+    return F.nullif(F.when(plain, cut).otherwise(F.regexp_extract(uri, _PATH, 1)), F.lit(""))
 
 
 def rooted(found: Column) -> Column:
@@ -47,10 +47,13 @@ def rooted(found: Column) -> Column:
     return F.when(F.startswith(found, F.lit("/")), found).otherwise(F.concat(F.lit("/"), found))
 
 
-def referrer(uri: Column) -> Column:
+def referrer_from(found_scheme: Column, found_host: Column, found_path: Column) -> Column:
     """Host of a referrer; a bare text without scheme and host stands for itself."""
-    bare = scheme(uri).isNull() & host(uri).isNull()
-    return F.when(bare, path(uri)).otherwise(host(uri))
+    return F.when(found_scheme.isNull() & found_host.isNull(), found_path).otherwise(found_host)
+
+
+def referrer(uri: Column) -> Column:
+    return referrer_from(scheme(uri), host(uri), path(uri))
 
 
 def is_absolute(uri: Column) -> Column:
@@ -74,7 +77,8 @@ def _sound_percent(text: Column) -> Column:
 
 def percent_decode(text: Column) -> Column:
     """RFC 3986 decoding: ``+`` stays ``+`` and a malformed escape stays as it is."""
-    return F.try_url_decode(F.replace(_sound_percent(text), F.lit("+"), F.lit("%2B")))
+    decoded = F.try_url_decode(F.replace(_sound_percent(text), F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
 def form_decode(text: Column) -> Column:

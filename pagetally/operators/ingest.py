@@ -48,50 +48,75 @@ def parse_flag(text: Column) -> Column:
 
 
 def cast_beacons(beacons: DataFrame) -> DataFrame:
-    """Typed beacon columns; what cannot be cast is flagged, not raised."""
-    b, p, q, r, o = (blank_to_null(F.col(name)) for name in "bpqro")
-    return beacons.withColumns(
-        {
-            "bot_flag": parse_flag(b),
-            "invalid_params": b.isNotNull() & parse_flag(b).isNull(),
-            "path": uri.rooted(uri.path(p)),
-            "invalid_path": p.isNotNull() & uri.path(p).isNull(),
-            "namespace": uri.host(o),
-            "referrer": uri.referrer(r),
-            "referrer_host": uri.host(r),
-            "query": uri.query_pairs(q),
-            "service_id": blank_to_null(F.col("i")),
-        }
-    )
+    """Typed beacon columns; what cannot be cast is flagged, not raised.
+
+    In steps, so that a pattern read by several columns runs once per row.
+    """
+    fields = {f"__{name}": blank_to_null(F.col(name)) for name in "bpro"}
+    b, p, r, o = (F.col(name) for name in fields)
+    parts = {
+        "bot_flag": parse_flag(b),
+        "__path": uri.path(p),
+        "__scheme": uri.scheme(r),
+        "__bare": uri.path(r),
+        "referrer_host": uri.host(r),
+        "namespace": uri.host(o),
+        "service_id": blank_to_null(F.col("i")),
+    }
+    path = F.col("__path")
+    results = {
+        "invalid_params": b.isNotNull() & F.col("bot_flag").isNull(),
+        "invalid_path": p.isNotNull() & path.isNull(),
+        "path": uri.rooted(path),
+        "referrer": uri.referrer_from(F.col("__scheme"), F.col("referrer_host"), F.col("__bare")),
+    }
+    done = beacons.withColumns(fields).withColumns(parts).withColumns(results)
+    return done.drop(*fields, "__path", "__scheme", "__bare")
 
 
 def utm_columns(rows: DataFrame) -> DataFrame:
     """The four campaign columns from the decoded query."""
-    return rows.withColumns({key: uri.last_value(F.col("query"), key) for key in uri.ALLOWED_QUERY_KEYS})
+    pairs = rows.withColumn("__pairs", uri.query_pairs(blank_to_null(F.col("q"))))
+    values = {key: uri.last_value(F.col("__pairs"), key) for key in uri.ALLOWED_QUERY_KEYS}
+    return pairs.withColumns(values).drop("__pairs")
 
 
-def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Browser, operating system, their versions and the bot verdict of the user agent."""
-    names = ("browser", "browser_version", "operating_system", "operating_system_version")
-    agent = F.col("user_agent")
-    if table is not None:
-        joined = lk.lookup(rows, agent, table, "user_agent", {**{n: n for n in names}, "is_bot": "bot_agent"})
-        return joined.withColumns(
-            {
-                "operating_system": agents.system_name(F.col("operating_system")),
-                "bot_agent": F.coalesce("bot_agent", F.lit(False)),
-            }
-        )
+def bot_verdict(rows: DataFrame) -> DataFrame:
+    """Whether the user agent is a robot's, by the built-in rules."""
     # lowered once in a column of its own: several tests read it
-    return rows.withColumn("__lowered", F.lower(agent)).withColumns(
+    lowered = rows.withColumn("__lowered", F.lower("user_agent"))
+    return lowered.withColumn("bot_agent", agents.is_bot_name(F.col("__lowered"))).drop("__lowered")
+
+
+def browser_columns(rows: DataFrame) -> DataFrame:
+    """Browser, operating system and their versions, by the built-in rules."""
+    agent = F.col("user_agent")
+    return rows.withColumns(
         {
             "browser": agents.browser(agent),
             "browser_version": agents.browser_version(agent),
             "operating_system": agents.operating_system(agent),
             "operating_system_version": agents.operating_system_version(agent),
-            "bot_agent": agents.is_bot_name(F.col("__lowered")),
         }
-    ).drop("__lowered")
+    )
+
+
+def agent_table_columns(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The same columns from a finished table of agents."""
+    names = ("browser", "browser_version", "operating_system", "operating_system_version")
+    values = {**{name: name for name in names}, "is_bot": "bot_agent"}
+    joined = lk.lookup(rows, F.col("user_agent"), table, "user_agent", values)
+    return joined.withColumns(
+        {
+            "operating_system": agents.system_name(F.col("operating_system")),
+            "bot_agent": F.coalesce("bot_agent", F.lit(False)),
+        }
+    )
+
+
+def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """All columns derived from the user agent."""
+    return browser_columns(bot_verdict(rows)) if table is None else agent_table_columns(rows, table)
 
 
 def match_inline(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
@@ -158,7 +183,7 @@ def registry_fits(registry: Registry, mode: str = "reference") -> bool:
     """Whether ids and compiled patterns are small enough to be copied to every executor."""
     ids = registry.services.select(*registry.keys)
     patterns = compile_matchers(registry.matchers, mode).select(*registry.keys, "pattern")
-    return all(fits(table, REGISTRY_MAX_ROWS, REGISTRY_MAX_BYTES) for table in (ids, patterns))
+    return fits([ids, patterns], REGISTRY_MAX_ROWS, REGISTRY_MAX_BYTES)
 
 
 def reject_reason() -> Column:
@@ -193,22 +218,30 @@ def ingest(
     if matching not in ("auto", "inline", "distinct"):
         raise ValueError(f"unknown matching: {matching!r}")
     raw = beacons.columns
+    inline = matching != "distinct" and registry_fits(registry, mode)
+    if matching == "inline" and not inline:
+        raise ValueError("registry is too large for inline matching")
+
+    # First all that can reject a beacon. The patterns of a site are tested inside
+    # the reason, hence only for rows that no earlier reason rejects.
     rows = cast_beacons(beacons)
     if drop_local:
         rows = rows.where(~F.coalesce(uri.is_local_host(F.col("namespace")), F.lit(False)))
-    if matching == "inline":
-        rows = match_inline(rows, registry, mode)
-    elif matching == "auto" and registry_fits(registry, mode):
-        rows = _match_inline(rows, registry, mode)
-    else:
-        rows = match_distinct(rows, registry, mode)
+    rows = bot_verdict(rows) if lookups.agents is None else agent_table_columns(rows, lookups.agents)
     rows = lk.with_spam_flag(rows, F.col("namespace"), lookups.spam_hosts)
+    rows = _match_inline(rows, registry, mode) if inline else match_distinct(rows, registry, mode)
+    rows = rows.withColumn("reason", reject_reason())
+
+    # Then what describes a page view. A filter on the reason moves below these
+    # steps, so accepted events pay for them and rejects do not. Keeping the two
+    # halves apart also keeps the generated code of each small enough to compile.
+    rows = utm_columns(rows)
     rows = lk.with_country(rows, F.col("z"), lookups.zones)
     rows = lk.with_referrer_source(rows, F.col("referrer_host"), lookups.sources)
-    rows = agent_columns(utm_columns(rows), lookups.agents)
-    return rows.withColumns({"reason": reject_reason(), "timestamp": clock.trunc_column("second", F.col("received_at"))}).select(
-        *raw, "service_id", "timestamp", *DIMENSIONS, "reason"
-    )
+    if lookups.agents is None:
+        rows = browser_columns(rows)
+    moment = clock.trunc_column("second", F.col("received_at")).alias("timestamp")
+    return rows.select(*raw, "service_id", moment, *DIMENSIONS, "reason")
 
 
 def accepted(ingested: DataFrame) -> DataFrame:

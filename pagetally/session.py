@@ -6,13 +6,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Results depend on UTC wall clocks; the rest lets Spark size partitions and
-# split hot keys by itself at run time.
+# Results depend on UTC wall clocks. The adaptive settings let Spark size
+# partitions and split hot keys at run time. The JVM never compiles a method above
+# 8000 bytes, so a stage whose fused code is larger is better run unfused.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

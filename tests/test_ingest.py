@@ -117,7 +117,8 @@ def test_large_registry_is_not_broadcast(spark, sf_dir, monkeypatch):
 
 def test_fits(spark):
     rows = spark.range(10).selectExpr("cast(id as string) as x")
-    assert reg.fits(rows, 10, 10) and not reg.fits(rows, 9, 10) and not reg.fits(rows, 10, 9)
+    assert reg.fits([rows], 10, 10) and not reg.fits([rows], 9, 10) and not reg.fits([rows], 10, 9)
+    assert reg.fits([rows, rows], 20, 20) and not reg.fits([rows, rows], 19, 20)
 
 
 def test_plan_is_joins_and_projections_only(spark, sf_dir):
@@ -127,6 +128,24 @@ def test_plan_is_joins_and_projections_only(spark, sf_dir):
         assert word not in plan
 
 
+def test_generated_code_can_be_compiled(spark, sf_dir, tmp_path):
+    """The JVM does not compile methods above 8000 bytes; one that large runs several times slower."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    fx.beacons(spark, sf_dir).write.parquet(str(tmp_path / "beacons"))
+    beacons = spark.read.parquet(str(tmp_path / "beacons"))
+    args = beacons, fx.registry(spark, sf_dir), fx.lookups(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for matching in ("inline", "distinct"):
+            rows = ing.ingest(*args, matching=matching)
+            for frame in (rows, ing.to_events(rows), ing.rejected(rows, args[0].columns)):
+                text = frame._jdf.queryExecution().explainString(mode)
+                sizes = [int(n) for n in re.findall("maxMethodCodeSize:([0-9]+)", text)]
+                assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_unknown_matching(spark, sf_dir):
     with pytest.raises(ValueError):
         ing.ingest(fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark), matching="guess")
