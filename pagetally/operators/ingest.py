@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagetally.functions import agents, clock, uri
 from pagetally.model import DIMENSIONS, PAGE_VIEW_TYPE
 from pagetally.operators import lookups as lk
+from pagetally.operators.joins import join_on
 from pagetally.operators.registry import Registry, compile_matchers, fits
 from pagetally.session import shared_dir
 
@@ -173,7 +174,7 @@ def match_distinct(rows: DataFrame, registry: Registry, mode: str = "reference",
     matched.write.mode("overwrite").parquet(table)
     accepted = spark.read.schema(matched.schema).parquet(table).withColumn("host_matched", F.lit(True))
     sites = registry.services.select(*keys).distinct().withColumn("service_found", F.lit(True))
-    joined = rows.join(sites, keys, "left").join(accepted, [*keys, "namespace"], "left")
+    joined = join_on(join_on(rows, sites, keys), accepted, [*keys, "namespace"])
     return joined.withColumns(
         {name: F.coalesce(name, F.lit(False)) for name in ("service_found", "host_matched")}
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.functions import uri
+from pagetally.operators.joins import join_on
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,12 @@ class Lookups:
 def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str, values: dict[str, str]) -> DataFrame:
     """Left join on one key; ``values`` maps a table column to its new name.
 
-    The table is made unique by key first, so it cannot multiply rows. No join
-    hint: Spark checks the table's size and broadcasts a small one, and splits
-    hot keys of the sort-merge join it uses for a large one.
+    The table is made unique by key first, so it cannot multiply rows.
     """
     entry = F.struct(*[F.col(column).alias(name) for column, name in values.items()])
     unique = table.groupBy(F.col(table_key).alias("__key")).agg(F.min(entry).alias("__entry"))
     unique = unique.select("__key", "__entry.*")
-    return rows.join(unique, key == F.col("__key"), "left").drop("__key")
+    return join_on(rows.withColumn("__key", key), unique, ["__key"]).drop("__key")
 
 
 def with_spam_flag(rows: DataFrame, host: Column, spam_hosts: DataFrame) -> DataFrame:

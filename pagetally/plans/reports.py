@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetally.model import DEFAULT_LIMIT
 from pagetally.operators import panels, registry
+from pagetally.operators.joins import join_on
 from pagetally.plans.spec import QuerySpec
 
 Sites = DataFrame | Sequence[str] | None
@@ -35,7 +36,7 @@ def visible_services(services: DataFrame, permitted: Sites = None, requested: Si
 
 def scope(page_views: DataFrame, sites: DataFrame) -> DataFrame:
     """Page views of the given sites; no sites, no rows."""
-    return page_views.join(sites.select("service_id"), "service_id", "left_semi")
+    return join_on(page_views, sites.select("service_id"), ["service_id"], "left_semi")
 
 
 def report(
