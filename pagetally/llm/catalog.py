@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetally.llm import decontaminate, mixing, simhash
+from pagetally.llm import decontaminate, mixing, quality, simhash, toxicity
 from pagetally.llm.common import table
 
 
@@ -18,7 +18,15 @@ def op5_mixture(spark, sf_dir):
     return mixing.poisson_mixture(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontaminate, op5_mixture)}
+def op6_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op10_toxicity)}
 
 _ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -42,10 +42,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
         pairs = [x for name, w in weights.items() for x in (F.lit(name), F.lit(float(max(w, 0))))]
         weight = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0)
     weighed = counts.select("source", "n", weight.alias("w"))
-    total = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    target = F.col("all_n") if size is None else F.lit(float(size))
-    rate = F.when(F.col("all_w") > 0, F.col("w") * target / (F.col("all_w") * F.col("n"))).otherwise(0.0)
-    return weighed.join(F.broadcast(total), F.lit(True)).select("source", rate.alias("rate"))  # one row of totals
+    weighed = stored(weighed, "source-counts")
+    total = weighed.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    target = (total.n or 0) if size is None else size
+    rate = F.col("w") * float(target) / (F.lit(float(total.w)) * F.col("n")) if total.w else F.lit(0.0)
+    return weighed.select("source", rate.alias("rate"))
 
 
 def poisson_mixture(
