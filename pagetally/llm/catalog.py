@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetally.llm import decontaminate, mixing, quality, simhash, toxicity
+from pagetally.llm import decontaminate, lines, mixing, quality, simhash, toxicity
 from pagetally.llm.common import table
 
 
@@ -22,11 +22,16 @@ def op6_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity)}
 
 _ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -68,4 +73,28 @@ select doc_id, text, lang, source, n_chars, cast(i as integer) as "copy",
   md5('order:17:' || coalesce(cast(doc_id as varchar), '') || ':' || i) as shuffle_key
 from counted, unnest(generate_series(0, copies - 1)) g(i) where copies > 0"""
 
-SQL = {"op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL}
+OP7_SQL = """
+with l as (
+  select doc_id, i - 1 as no, string_split(text, chr(10))[i] as line, string_split(text, chr(10)) as parts
+  from documents, unnest(generate_series(1, len(string_split(text, chr(10))))) g(i)),
+w as (
+  select doc_id, no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from l),
+firsts as (
+  select line, any_value(w) as w, min({'d': doc_id, 'n': no}) as place from w where len(w) > 0 group by line),
+swapped as (
+  select line, place, len(w) as n, i, w[1 : i - 1] || w[i + 1 :] as v
+  from firsts, unnest(generate_series(1, len(w))) g(i) where len(w) >= 5),
+same as (select n, i, v, min(place) as place from swapped group by n, i, v),
+near as (
+  select s.line from swapped s join same m using (n, i, v) where m.place < s.place
+  union select a.line from swapped a join firsts b on a.v = b.w where b.place < a.place
+  union select b.line from swapped a join firsts b on a.v = b.w where a.place < b.place),
+gone as (
+  select w.doc_id, w.no from w join firsts f using (line)
+  where len(w.w) > 0 and ({'d': w.doc_id, 'n': w.no} <> f.place or w.line in (select line from near)))
+select d.doc_id, cast(count(*) filter (g.no is not null) as bigint) as n_removed,
+  coalesce(string_agg(l.line, chr(10) order by l.no) filter (g.no is null), '') as text
+from documents d join l using (doc_id) left join gone g on l.doc_id = g.doc_id and l.no = g.no
+group by d.doc_id"""
+
+SQL = {"op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL}

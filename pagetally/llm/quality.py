@@ -12,7 +12,7 @@ FOLDS, FOLD = 5, 0  # the fold that is never learned from
 TRAIN_ROWS = 3000  # most labelled rows that are learned from
 TRAIN_WORDS = 2000  # longest run of one text that a training pass looks at
 THRESHOLD = 0.3
-SETTINGS = Settings(pairs=True, rate=0.05, epochs=3)
+SETTINGS = Settings(pairs=True, epochs=3)
 
 
 def words(text: bytes) -> list[bytes]:
