@@ -1,4 +1,4 @@
-"""BK-trees over 64-bit fingerprints: many trees at once, as arrays.
+"""BK-trees over fingerprints of 64-bit words: many trees at once, as arrays.
 
 A node's children are keyed by their integer Hamming distance to it. A search follows
 only those edges whose key lies within the radius of the distance just measured.
@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 
-KEYS = 65  # distances 0..64
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
-    """One tree for each group of fingerprints; ``tree[i]`` is the tree of ``values[i]``."""
+    """One tree for each group of fingerprints; ``tree[i]`` is the tree of row i of ``values``."""
 
     def __init__(self, values: np.ndarray, tree: np.ndarray):
         self.values = values
         n = len(values)
+        self.keys = 64 * values.shape[1] + 1  # distances 0, 1, ...
         _, first, inverse = np.unique(tree, return_index=True, return_inverse=True)
         self.tree_ids = tree[first]
         self.roots = first
@@ -24,7 +27,7 @@ class Forest:
         waiting = np.setdiff1d(np.arange(n), first)
         edges, nodes = [], []
         while len(waiting):
-            key = at[waiting] * KEYS + np.bitwise_count(values[waiting] ^ values[at[waiting]])
+            key = at[waiting] * self.keys + distances(values[waiting], values[at[waiting]])
             # the first to arrive becomes the child, the others go on below it
             keys, winner, inverse = np.unique(key, return_index=True, return_inverse=True)
             children = waiting[winner]
@@ -47,12 +50,12 @@ class Forest:
         node = self.roots[place[who]] if len(who) else who
         found_q, found_n = [], []
         while len(who):
-            distance = np.bitwise_count(queries[who] ^ self.values[node]).astype(np.int64)
+            distance = distances(queries[who], self.values[node])
             near = distance <= radius
             found_q.append(who[near])
             found_n.append(node[near])
-            low = np.searchsorted(self.edges, node * KEYS + np.maximum(distance - radius, 0), "left")
-            high = np.searchsorted(self.edges, node * KEYS + np.minimum(distance + radius, KEYS - 1), "right")
+            low = np.searchsorted(self.edges, node * self.keys + np.maximum(distance - radius, 0), "left")
+            high = np.searchsorted(self.edges, node * self.keys + np.minimum(distance + radius, self.keys - 1), "right")
             count = high - low
             start = np.cumsum(count) - count
             step = np.arange(count.sum()) - np.repeat(start, count)

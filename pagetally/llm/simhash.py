@@ -65,74 +65,91 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _linked(fp: np.ndarray, tile: np.ndarray, member: np.ndarray, query: np.ndarray, radius: int):
-    """Star links (fingerprint, smallest of its component) found inside each tile."""
-    values = fp.view(np.uint64)
+def _linked(node: np.ndarray, fp: np.ndarray, tile: np.ndarray, member: np.ndarray, query: np.ndarray, radius: int):
+    """Star links (node, first of its component) found inside each tile."""
     at = np.flatnonzero(member)
-    forest = Forest(values[at], tile[at])
+    forest = Forest(fp[at], tile[at])
     asks = np.flatnonzero(query)
-    label = np.arange(len(fp))
+    everyone = np.arange(len(node))
+    label = everyone.copy()
     for start in range(0, len(asks), SLICE_ROWS):
         part = asks[start : start + SLICE_ROWS]
-        q, n = forest.search(values[part], tile[part], radius)
+        q, n = forest.search(fp[part], tile[part], radius)
         a, b = part[q], at[n]
-        own = a != b
-        nodes = np.flatnonzero(label != np.arange(len(fp)))
-        label = components(len(fp), np.concatenate([nodes, a[own]]), np.concatenate([label[nodes], b[own]]))
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+        own, known = a != b, np.flatnonzero(label != everyone)
+        label = components(len(node), np.concatenate([known, a[own]]), np.concatenate([label[known], b[own]]))
+    moved = np.flatnonzero(label != everyone)
+    return node[moved], node[label[moved]]
 
 
-def links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): links that connect all fingerprints within ``radius`` bits of one another.
+def shard_links(keyed: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): links that connect the nodes within ``radius`` bits of one another in a shard.
 
-    ``fps`` has distinct longs in column fp. Fingerprints that agree under a mask form a
-    shard; two within the radius share at least one. A shard of more than ``shard_rows``
-    is cut into parts, and each pair of parts is a tile, so a tree never holds more than a
-    part and no task more than some tiles. A tile returns a star for each component
-    found in it, not all its pairs. Links within one component only are returned.
+    ``keyed`` has node (long), fp (binary, all of one length), shard_no (int), shard (long);
+    a node is in several shards. A shard of more than ``shard_rows`` is cut into parts, and
+    each pair of parts is a tile: a tree never holds more than a part, and a task gets whole
+    tiles only. A tile returns a star for each component found in it, not all its pairs.
+    Trees go to the tasks that search them by the shuffle: together they hold every
+    fingerprint, which is more than may be broadcast.
     """
-    masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
-    keyed = fps.select("fp", F.posexplode(masks).alias("mask_no", "mask"))
-    keyed = keyed.select("fp", "mask_no", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    shards = keyed.groupBy("mask_no", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = keyed.join(shards, ["mask_no", "bits"]).withColumn("parts", F.expr(f"cast(ceil(n / {shard_rows}) as int)"))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    shards = keyed.groupBy("shard_no", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = keyed.join(shards, ["shard_no", "shard"]).withColumn("parts", F.expr(f"cast(ceil(n / {shard_rows}) as int)"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "mask_no", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp"
+        *("shard_no", "shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")),
+        *("part", "node", "fp"),
     )
-    key = ["mask_no", "bits", "i", "j"]
+    key = ["shard_no", "shard", "i", "j"]
 
     def search(batches):
         held = None
 
         def run(rows):
-            i, j, part = rows["i"], rows["j"], rows["part"]
-            change = np.zeros(len(i), bool)
+            change = np.zeros(len(rows["i"]), bool)
             for name in key:
                 change[1:] |= rows[name][1:] != rows[name][:-1]
-            a, b = _linked(rows["fp"], np.cumsum(change), part == i, part == j, radius)
+            member, query = rows["part"] == rows["i"], rows["part"] == rows["j"]
+            a, b = _linked(rows["node"], rows["fp"], np.cumsum(change), member, query, radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            new = {name: batch.column(name).to_numpy() for name in (*key, "part", "fp")}
+            new = {name: batch.column(name).to_numpy() for name in (*key, "part", "node")}
+            bits = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64)
+            new["fp"] = bits.reshape(batch.num_rows, -1) if batch.num_rows else bits.reshape(0, 1)
+            if not batch.num_rows:
+                continue
             held = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
-            if len(held["fp"]) >= CHUNK_ROWS:
-                same = np.ones(len(held["fp"]), bool)
+            if len(held["node"]) >= CHUNK_ROWS:
+                same = np.ones(len(held["node"]), bool)
                 for name in key:
                     same &= held[name] == held[name][-1]
                 whole = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
                 if whole:
                     yield run({n: v[:whole] for n, v in held.items()})
                     held = {n: v[whole:] for n, v in held.items()}
-        if held is not None and len(held["fp"]):
+        if held is not None:
             yield run(held)
 
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.repartition(tasks, *key).sortWithinPartitions(*key)
     return dealt.mapInArrow(search, "a long, b long")
 
 
+def links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): links that connect all distinct longs in column fp within ``radius`` bits.
+
+    Fingerprints that agree under a mask form a shard; two within the radius share one.
+    """
+    masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
+    keyed = fps.select("fp", F.posexplode(masks).alias("shard_no", "mask")).select(
+        F.col("fp").alias("node"),
+        F.col("fp").cast("binary").alias("fp"),
+        "shard_no",
+        F.col("fp").bitwiseAND(F.col("mask")).alias("shard"),
+    )
+    return shard_links(keyed, radius, shard_rows)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3
 ) -> DataFrame:
@@ -155,3 +172,86 @@ def near_duplicates(
     return fps.join(members, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# --- near copies by similarity: wide fingerprints, shards of documents that share shingles
+
+WIDE = 4  # 64-bit words of a wide fingerprint
+SHARDS = 8  # least shingle hashes that name a document's shards
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(1, SHARDS + WIDE + 1)], np.uint64)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    x = (hashes ^ (hashes >> np.uint64(31))) * _ODD[k]
+    return (x ^ (x >> np.uint64(29))) * _ODD[0]
+
+
+def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
+    """Wide SimHash of the set of word shingles, and for each shard number the least hash."""
+    word = words(text)
+    if not word:
+        return bytes(8 * WIDE), [0] * SHARDS
+    if len(word) < shingle:
+        grams = [b" ".join(word)]
+    else:
+        grams = map(b" ".join, zip(*(word[i:] for i in range(shingle)), strict=False))
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams), np.uint64))
+    fp = []
+    for k in range(WIDE):
+        bits = np.zeros(64, np.int64)
+        mixed = _mixed(hashes, SHARDS + k)
+        for start in range(0, len(mixed), 1 << 16):
+            part = mixed[start : start + (1 << 16)]
+            bits += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
+        fp.append(np.packbits(2 * bits > len(hashes)).tobytes())
+    return b"".join(fp), [int(x) for x in np.array([_mixed(hashes, k).min() for k in range(SHARDS)]).view(np.int64)]
+
+
+def radius_for(similarity: float, bits: int = 64 * WIDE, slack: float = 1.0) -> int:
+    """Bits by which sets of that Jaccard similarity differ, and ``slack`` standard deviations more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest identifier.
+
+    Near are texts whose word shingles have a Jaccard similarity of ``similarity`` or more,
+    as far as 256 fingerprint bits tell; groups are what such links connect. Documents that
+    share the least of their shingle hashes, under one of ``SHARDS`` hash functions, form a
+    shard and its BK-trees: of texts with similarity 0.8, less than one pair in a hundred
+    thousand shares none. Texts equal but for case (A-Z) and white space are one node.
+
+    Among equal identifiers the text with the smaller md5 stays; of equal rows one.
+    Rows without identifier stay only if their group has no other. Texts without words are
+    near copies of one another. Columns are as in ``docs``; an empty table gives no rows.
+    """
+    row_key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col)))
+    keyed = docs.withColumn("_row_key", row_key)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def scan(batches):
+        for batch in batches:
+            digests, fps, shards = [], [], []
+            for text in texts(batch, text_col):
+                fp, shard = sketch(text, shingle)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words(text))))
+                fps.append(fp)
+                shards.append(shard)
+            columns = [batch.column(id_col), batch.column("_row_key"), pa.array(digests, pa.binary())]
+            columns += [pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row_key", "digest", "fp", "shards"])
+
+    schema = f"id {id_type}, row_key string, digest binary, fp binary, shards array<bigint>"
+    rows = stored(keyed.select(id_col, text_col, "_row_key").mapInArrow(scan, schema), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row_key")).alias("first")
+    nodes = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("shards").alias("shards"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    keyed_nodes = nodes.select("node", "fp", F.posexplode("shards").alias("shard_no", "shard"))
+    roots = component_roots(shard_links(keyed_nodes, radius_for(similarity)))
+    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    winners = rooted.agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_row_key"))
+    kept = keyed.join(winners, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
