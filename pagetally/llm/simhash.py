@@ -143,7 +143,7 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> Data
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
     keyed = fps.select("fp", F.posexplode(masks).alias("shard_no", "mask")).select(
         F.col("fp").alias("node"),
-        F.col("fp").cast("binary").alias("fp"),
+        F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"),
         "shard_no",
         F.col("fp").bitwiseAND(F.col("mask")).alias("shard"),
     )
