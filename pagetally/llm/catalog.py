@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pagetally.llm import decontaminate, lines, mixing, quality, simhash, toxicity
+from pagetally.llm import decontaminate, lines, mixing, quality, simhash, topk, toxicity
 from pagetally.llm.common import table
 
 
+def op1_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +42,18 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity, pipeline)}
+
+OP1_SQL = """
+with v as (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, q.r, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as k from scored)
+select query_id, cast(k as integer) as rank, vec_id, score from ranked where k <= 5"""
 
 _ITEM_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -102,4 +119,4 @@ select d.doc_id, cast(count(*) filter (g.no is not null) as bigint) as n_removed
 from documents d join l using (doc_id) left join gone g on l.doc_id = g.doc_id and l.no = g.no
 group by d.doc_id"""
 
-SQL = {"op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL}
+SQL = {"op1_topk": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL}
