@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagetally.llm import decontaminate, lines, mixing, quality, simhash, topk, toxicity
+from pagetally.llm import decontaminate, katz, lines, mixing, quality, simhash, topk, toxicity
 from pagetally.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_katz(spark, sf_dir):
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity, pipeline)}
 
 OP1_SQL = """
 with v as (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagetally.session import shared_dir
 
 # Words of the operators: what stands between ASCII white space.
+WORD = "[^\\x20\\x09-\\x0D]"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
@@ -40,6 +41,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote and nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        if "/llm/" in file:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_text(column: str) -> Column:
     """An identifier as text; a missing one is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
