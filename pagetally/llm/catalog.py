@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagetally.llm import decontaminate, katz, lines, mixing, quality, simhash, topk, toxicity
+from pagetally.llm import decontaminate, katz, lines, mixing, quality, simhash, tools, topk, toxicity
 from pagetally.llm.common import table
 
 
@@ -38,6 +40,50 @@ def op7_lines(spark, sf_dir):
     return lines.dedup_lines(docs)
 
 
+# Calls and results as the turns of the given conversations tell them; the same text runs in
+# Spark and DuckDB. Every assistant turn calls a tool, the turn after it is the result.
+TOOL_CALLS = """
+select conv_id, turn, 0 as call_no, concat('c', cast(turn as string)) as call_id,
+  case when n % 29 = 0 then 'fetch' when turn % 3 = 0 then 'lookup' else 'search' end as name,
+  case when n % 29 <> 0 and turn % 3 = 0
+    then concat('{"id": ', case when n % 13 = 0 then '"x"' else cast(n as string) end, after, '}')
+    else concat('{ "query": "', md5(body), '",  "limit": ', cast(n % 60 as string), after, ' }') end as arguments
+from (select *, case when used is null then '' else concat(', "after": {"$call": "c', cast(used as string), '"}') end as after
+  from (select conv_id, turn, coalesce(text, '') as body, length(coalesce(text, '')) as n,
+      case when turn % 22 = 21 then turn when turn % 10 = 9 then turn + 1000
+           when turn % 8 >= 2 then turn - 2 else null end as used
+    from {conversations} where role = 'assistant') a) b"""
+TOOL_RESULTS = """
+select conv_id, turn, concat('c', cast(turn - 1 as string)) as call_id, text as content
+from {conversations} where role <> 'assistant'"""
+TOOL_SCHEMAS = {
+    "search": {
+        "type": "object",
+        "properties": {
+            "query": {"type": "string", "minLength": 1},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+            "after": {"type": "string"},
+        },
+        "required": ["query"],
+        "additionalProperties": False,
+    },
+    "lookup": {
+        "type": "object",
+        "properties": {"id": {"type": "integer"}, "after": {"type": "string"}},
+        "required": ["id"],
+        "additionalProperties": False,
+    },
+}
+
+
+def op8_tools(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    name = "llm_conversations_" + uuid.uuid4().hex[:8]
+    turns.createOrReplaceTempView(name)
+    calls, results = (spark.sql(text.replace("{conversations}", name)) for text in (TOOL_CALLS, TOOL_RESULTS))
+    return tools.link_calls(calls, results, TOOL_SCHEMAS)
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +92,13 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op8_tools, op10_toxicity, pipeline)}
+
+
+
+def _plain(text: str) -> str:
+    return text.replace("{conversations}", "conversations").replace(" as string", " as varchar")
+
 
 OP1_SQL = """
 with v as (
@@ -123,4 +175,39 @@ select d.doc_id, cast(count(*) filter (g.no is not null) as bigint) as n_removed
 from documents d join l using (doc_id) left join gone g on l.doc_id = g.doc_id and l.no = g.no
 group by d.doc_id"""
 
-SQL = {"op1_topk": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL}
+OP8_SQL = """
+with recursive calls as (CALLS), results as (RESULTS),
+first as (
+  select distinct on (conv_id, call_id) *, regexp_extract(arguments, '"c(-?[0-9]+)"', 1) as ref
+  from calls where conv_id is not null and turn is not null order by conv_id, call_id, turn, call_no, name, arguments),
+used as (select *, case when ref = '' or name = 'fetch' then null else 'c' || ref end as on_call from first),
+known as (select u.*, t.call_id as target from used u left join first t on u.conv_id = t.conv_id and u.on_call = t.call_id),
+lv as (
+  select conv_id, call_id, 0 as level from known where target is null
+  union all select k.conv_id, k.call_id, lv.level + 1 from known k join lv on k.conv_id = lv.conv_id and k.target = lv.call_id),
+answers as (select distinct on (conv_id, call_id) conv_id, call_id, content from results order by conv_id, call_id, turn, content),
+joined as (
+  select k.*, lv.level, a.content, a.call_id is not null as answered,
+    cast(regexp_extract(arguments, '"limit": ([0-9]+)', 1) as varchar) as lim, regexp_extract(arguments, '"query": "([^"]*)"', 1) as q,
+    regexp_extract(arguments, '"id": ("x"|[0-9]+)', 1) as num,
+    case when ref = '' then '' else '"after":{"$call":"c' || ref || '"},' end as aft
+  from known k left join lv using (conv_id, call_id) left join answers a using (conv_id, call_id)),
+judged as (
+  select *, case when name = 'fetch' then 'unknown tool'
+      when name = 'search' and cast(lim as int) < 1 then 'limit: beyond minimum'
+      when name = 'search' and cast(lim as int) > 50 then 'limit: beyond maximum'
+      when name = 'lookup' and num = '"x"' then 'id: not integer' end as problem from joined),
+told as (
+  select *, case when level is null then 'circular' when problem is not null then 'invalid'
+      when on_call is not null and target is null then 'dangling' when not answered then 'unanswered' else 'ok' end as status from judged)
+select conv_id, cast(level as integer) as level, turn, cast(call_no as integer) as call_no, call_id, status,
+  case when status = 'invalid' then problem end as detail,
+  '{"arguments":{' || aft || case when name = 'lookup' then '"id":' || num else '"limit":' || lim || ',"query":"' || q || '"' end
+    || '},"id":"' || call_id || '","name":"' || name || '",'
+    || case when status = 'unanswered' then '' else '"result":' || coalesce(cast(to_json(content) as varchar), 'null') || ',' end
+    || '"status":"' || status || '"}' as json
+from told""".replace("CALLS", _plain(TOOL_CALLS)).replace(
+    "RESULTS", _plain(TOOL_RESULTS)
+)
+
+SQL = {"op1_topk": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL, "op8_tools": OP8_SQL}
