@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagetally.llm import decontaminate, katz, lines, mixing, quality, simhash, tools, topk, toxicity
+from pagetally.llm import decontaminate, katz, lines, mixing, passages, quality, simhash, tools, topk, toxicity
 from pagetally.llm.common import table
 
 
@@ -84,6 +84,10 @@ def op8_tools(spark, sf_dir):
     return tools.link_calls(calls, results, TOOL_SCHEMAS)
 
 
+def op9_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,7 +96,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op8_tools, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op8_tools, op9_passages, op10_toxicity, pipeline)}
 
 
 
