@@ -185,7 +185,8 @@ views(
 
 
 def _scope_empty(s, d):
-    sites = reports.visible_services(_services(s, d), permitted=[])
+    nobody = fx.frame(s, d, fx.SERVICES).where(F.length("service_id") < 0).select("service_id")
+    sites = reports.visible_services(_services(s, d), permitted=nobody)
     return reports.scope(fx.page_views(s, d), sites).agg(F.count("*").alias("count"))
 
 

@@ -20,8 +20,10 @@ AGENTS_SQL = """case when user_agent like '%Firefox/%' then 'Firefox' when user_
     when user_agent like '%Safari/%' then regexp_extract(user_agent, 'Version/([0-9.]*[0-9])', 1) end as browser_version,
   case when user_agent like '%Windows%' then 'Windows' when user_agent like '%iPhone%' then 'iOS'
     when user_agent like '%Macintosh%' then 'macOS' when user_agent like '%Android%' then 'Android' end as operating_system,
-  case when user_agent like '%Windows%' then '10.0' when user_agent like '%iPhone%' then '17.2.1'
-    when user_agent like '%Macintosh%' then '10.15.7' when user_agent like '%Android%' then '13' end as operating_system_version,
+  case when user_agent like '%Windows%' then regexp_extract(user_agent, 'Windows NT ([0-9.]+)', 1)
+    when user_agent like '%iPhone%' then replace(regexp_extract(user_agent, 'iPhone OS ([0-9_]+)', 1), '_', '.')
+    when user_agent like '%Macintosh%' then replace(regexp_extract(user_agent, 'Mac OS X ([0-9_]+)', 1), '_', '.')
+    when user_agent like '%Android%' then regexp_extract(user_agent, 'Android ([0-9.]+)', 1) end as operating_system_version,
   coalesce(user_agent like '%bot%', false) as bot_agent"""
 
 REST_OF_PATH = "regexp_replace(regexp_replace(p, '^https?://[^/?#]*', ''), '[?#].*$', '')"
@@ -174,9 +176,9 @@ def _matches(match):
     return query
 
 
-QUERIES["ingest_site_match_inline"] = _matches(ing.match_inline)
-QUERIES["ingest_site_match_distinct"] = _matches(ing.match_distinct)
+# two names from the time when small and large registries were matched differently
 for _name in ("inline", "distinct"):
+    QUERIES[f"ingest_site_match_{_name}"] = _matches(ing.match_sites)
     SQL[f"ingest_site_match_{_name}"] = f"{FULL_SQL} select beacon_id, service_found, host_matched from ingested"
 
 QUERIES["ingest_matched_hosts"] = lambda s, d: ing.matched_hosts(ing.cast_beacons(fx.beacons(s, d)), fx.registry(s, d))
@@ -201,7 +203,7 @@ QUERIES["ingest_all_columns"] = lambda s, d: _ingested(s, d)
 SQL["ingest_all_columns"] = f"""{FULL_SQL} select beacon_id, instance, received_at, user_agent, b, p, q, r, o, i, z,
   service_id, "timestamp", {_DIMENSIONS}, reason from ingested"""
 
-QUERIES["ingest_all_columns_distinct"] = lambda s, d: _ingested(s, d, matching="distinct")
+QUERIES["ingest_all_columns_distinct"] = lambda s, d: _ingested(s, d)
 SQL["ingest_all_columns_distinct"] = SQL["ingest_all_columns"]
 
 

@@ -1,10 +1,15 @@
 """The stored event table, its view, beacon files and panel export."""
 
+from uuid import uuid4
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from checks.catalog.ingest import FULL_SQL
 from checks.catalog.panels import WA, top
 from pagetally.model import DIMENSIONS, LAYOUTS
+from pagetally.operators import ingest as ing
 from pagetally.operators import panels
 from pagetally.plans.spec import QuerySpec
 from pagetally.session import shared_dir
@@ -27,7 +32,7 @@ def stored_events(s, d):
 
 def stored(s, d, name, encoding="struct", layout="sorted"):
     """Write the events and give the path."""
-    path = shared_dir(s, f"{name}/events")
+    path = shared_dir(s, f"{name}/{uuid4().hex}/events")
     lake.write_events(stored_events(s, d), path, "all", encoding, layout)
     return path
 
@@ -54,7 +59,7 @@ for _name in LAYOUTS:
 
 def _two_batches(s, d):
     """Two appends, the second one repeated: the repeat replaces itself."""
-    path = shared_dir(s, "append/events")
+    path = shared_dir(s, f"append/{uuid4().hex}/events")
     events = stored_events(s, d)
     views = events.where(F.col("type") == "pageview")
     others = events.where(F.col("type") != "pageview")
@@ -71,7 +76,8 @@ SQL["lake_append_repeated"] = f"""{TRACKED} select case when "type" = 'pageview'
 
 
 def _compacted(s, d):
-    source, target = shared_dir(s, "compact/small"), shared_dir(s, "compact/large")
+    root = shared_dir(s, f"compact/{uuid4().hex}")
+    source, target = f"{root}/small", f"{root}/large"
     events = stored_events(s, d)
     views = F.col("type") == "pageview"
     lake.write_events(events.where(views), source, "1")
@@ -135,7 +141,7 @@ SQL["lake_panel"] = f"{WA} {top(300)}"
 
 
 def _beacon_files(s, d):
-    path = shared_dir(s, "beacon_files")
+    path = shared_dir(s, f"beacon_files/{uuid4().hex}")
     fx.beacons(s, d).write.mode("overwrite").option("timestampNTZFormat", MICROS).json(path)
     return src.read_beacons(s, path)
 
@@ -146,7 +152,8 @@ SQL["beacon_json_files"] = fx.sql(fx.BEACONS)
 
 def _messages(s, d):
     beacons = fx.beacons(s, d)
-    return src.from_messages(beacons.select(F.to_json(F.struct(*beacons.columns), {"timestampNTZFormat": MICROS}).cast("binary").alias("value")))
+    read = src.from_messages(beacons.select(F.to_json(F.struct(*beacons.columns), {"timestampNTZFormat": MICROS}).cast("binary").alias("value")))
+    return read.drop("broken")
 
 
 QUERIES["beacon_messages"] = _messages
@@ -154,10 +161,72 @@ SQL["beacon_messages"] = fx.sql(fx.BEACONS)
 
 
 def _export(s, d):
-    path = shared_dir(s, "panel_export")
+    path = shared_dir(s, f"panel_export/{uuid4().hex}")
     export.write_panel(panels.panel(fx.page_views(s, d)), path)
     return export.read_panel(s, path)
 
 
 QUERIES["panel_export"] = _export
 SQL["panel_export"] = f"{WA} {top(300)}"
+
+
+def _export_streams(s, d):
+    """Every row of the Arrow streams, read back."""
+    streams = export.panel_streams(panels.panel(fx.page_views(s, d)))
+    parts = []
+    for data in streams.values():
+        table = pa.ipc.open_stream(data[4:]).read_all()
+        group = pa.array([int.from_bytes(data[:4], "big")] * table.num_rows, pa.int32())
+        parts.append(table.append_column("grouping_id", group))
+    return s.createDataFrame(pa.concat_tables(parts)).select("grouping_id", "value", "count", "max")
+
+
+QUERIES["panel_export_streams"] = _export_streams
+SQL["panel_export_streams"] = f"{WA} {top(300)}"
+
+
+def _mixed_batches(s, d):
+    """Four small batches, two of them compacted and not removed: each event is read once."""
+    root = shared_dir(s, f"mixed/{uuid4().hex}")
+    events = stored_events(s, d)
+    for n in range(4):
+        part = F.pmod(F.unix_timestamp("timestamp"), F.lit(4)) == n
+        lake.write_events(events.where(part), f"{root}/recent", str(n))
+    lake.compact_upto(s, f"{root}/recent", f"{root}/compacted", 1)
+    read = lake.read_compacted(s, f"{root}/compacted", f"{root}/recent", 1, instance=None)
+    return _columns(read)
+
+
+QUERIES["lake_compacted_and_recent"] = _mixed_batches
+SQL["lake_compacted_and_recent"] = _SCAN_SQL
+
+
+def _broken_messages(s, d):
+    """A third of the messages is cut off; each gets a reason and keeps its text."""
+    beacons = fx.beacons(s, d)
+    text = F.to_json(F.struct(*beacons.columns), {"timestampNTZFormat": MICROS})
+    cut = F.when(F.col("beacon_id") % 3 == 0, F.substr(text, F.lit(1), F.length(text) - 5)).otherwise(text)
+    rows = beacons.select(cut.alias("value"), F.col("instance").alias("tenant"))
+    ingested = ing.ingest(src.from_messages(rows, instance=F.col("tenant")), fx.registry(s, d), fx.lookups(s))
+    counted = ingested.withColumn("broken", F.col("broken").isNotNull()).groupBy("broken", "instance", "reason")
+    return counted.agg(F.count("*").alias("count"))
+
+
+QUERIES["beacon_broken_messages"] = _broken_messages
+SQL["beacon_broken_messages"] = f"""{FULL_SQL} select beacon_id % 3 = 0 as broken, instance,
+  case when beacon_id % 3 = 0 then 'invalid_params' else reason end as reason, count(*) as "count" from ingested group by all"""
+
+_NULL_SITES = QuerySpec(filters={"services": ["svc-7", ""]})
+
+
+def _null_sites(s, d):
+    """Events that lost their site are found by the empty text in a site filter."""
+    path = shared_dir(s, f"null_sites/{uuid4().hex}")
+    events = stored_events(s, d).withColumn("entity_id", F.nullif("entity_id", F.lit("svc-0")))
+    lake.write_events(events, path, "all")
+    return lake.read_page_views(s, path, _NULL_SITES, None)
+
+
+QUERIES["lake_null_sites"] = _null_sites
+SQL["lake_null_sites"] = f"""{TRACKED} select nullif(entity_id, 'svc-0') as service_id, "timestamp", {_DIMENSIONS} from tracked
+  where "type" = 'pageview' and entity_id in ('svc-0', 'svc-7')"""

@@ -62,7 +62,9 @@ QUERIES["panel_order"] = _panel_order
 SQL["panel_order"] = f'{WA} select grouping_id, value, "count", cast(position as integer) as position from ({FULL}) where position <= 300'
 
 for _name in DIMENSIONS:
-    QUERIES[f"panel_of_{_name}"] = lambda s, d, name=_name: panels.panel_of(panels.panel(fx.page_views(s, d)), name)
+    QUERIES[f"panel_of_{_name}"] = lambda s, d, name=_name: panels.panel_of(
+        panels.panel(fx.page_views(s, d), dimensions=(name,)), name
+    )
     SQL[f"panel_of_{_name}"] = f"""{WA} select * from (
       select {_name} as value, count(*) as "count", max(count(*)) over () as "max"
       from web_analytics group by {_name}) order by "count" desc, value asc nulls first limit 300"""
@@ -85,7 +87,9 @@ SQL["label_referrers"] = f"""with b as (select distinct r as value from ({fx.sql
   select value, case when coalesce(value, '') = '' then '{UNKNOWN_LABEL}'
     when value like '%://%' or value like '//%' then
       split_part(split_part(regexp_replace(split_part(regexp_replace(value, '^.*//', ''), '/', 1), '^[^@]*@', ''), ':', 1), '?', 1)
-    else value end as present from b"""
+    when regexp_matches(value, '^[A-Za-z][A-Za-z0-9+.-]*:') then value
+    when split_part(split_part(value, '?', 1), '#', 1) = '' then '{UNKNOWN_LABEL}'
+    else split_part(split_part(value, '?', 1), '#', 1) end as present from b"""
 
 SPEC = QuerySpec(
     filters={"country_codes": ["", "EN", "FR"], "browsers": ["Chrome", "Safari", ""]},

@@ -78,11 +78,11 @@ SQL["stream_tenant_views"] = f"""{FULL_SQL} select service_id, "timestamp",
   where reason is null and instance = 'acme' and "timestamp" >= timestamp '2024-01-06 12:34:00'"""
 
 
-def _scale(unit, watermark=None):
+def _scale(unit):
     def query(s, d):
         root = shared_dir(s, f"stream/scale/{uuid4().hex}")
         events = fx.event_stream(s, d).withColumnRenamed("ts", "timestamp")
-        counted = series_stream.stream_scale(events, unit, watermark)
+        counted = series_stream.stream_scale(events, unit)
         series_stream.start_scale(counted, f"{root}/periods", f"{root}/checkpoint", ONCE).awaitTermination()
         return series_stream.read_scale(s, f"{root}/periods")
 
@@ -93,6 +93,14 @@ for _name in ("hour", "day", "week", "month", "year"):
     QUERIES[f"stream_scale_{_name}"] = _scale(_name)
     SQL[f"stream_scale_{_name}"] = f"""select date_trunc('{_name}', ts)::timestamp as period, count(*) as "count"
       from events group by 1"""
-for _name in ("hour", "day", "week"):
-    QUERIES[f"stream_scale_{_name}_watermark"] = _scale(_name, "1 hour")
-    SQL[f"stream_scale_{_name}_watermark"] = SQL[f"stream_scale_{_name}"]
+
+
+def _batch_counts(s, d):
+    events, rejects = run_ingest(s, d, "counts")
+    counts = ingest_stream.batch_counts(lake.read_events(s, events, instance=None), ingest_stream.read_rejects(s, rejects))
+    return counts.agg(*(F.sum(c).alias(c) for c in ("accepted", "rejected", "received")))
+
+
+QUERIES["stream_batch_counts"] = _batch_counts
+SQL["stream_batch_counts"] = f"""{FULL_SQL} select count(*) filter (reason is null) as accepted,
+  count(*) filter (reason is not null) as rejected, count(*) as received from ingested"""

@@ -13,10 +13,12 @@ def present(grouping_id: Column, value: Column, territory: Column | None = None)
     """Label of a panel value; ``territory`` is the country name joined in, if any."""
     unknown = F.lit(UNKNOWN_LABEL)
     country = value if territory is None else F.coalesce(territory, value)
+    # a referrer like mailto:a@b has no host; one without scheme, host and path is unknown
+    named = F.when(uri.scheme(value).isNotNull(), value)
     return (
         F.when(value.isNull() | (value == ""), unknown)
         .when(grouping_id == GROUPING_IDS["country_code"], country)
-        .when(grouping_id == GROUPING_IDS["referrer"], F.coalesce(uri.referrer(value), value))
+        .when(grouping_id == GROUPING_IDS["referrer"], F.coalesce(uri.referrer(value), named, unknown))
         .otherwise(value)
     )
 

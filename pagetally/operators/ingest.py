@@ -7,8 +7,6 @@ the micro-batches of a stream.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +14,18 @@ from pagetally.functions import agents, clock, uri
 from pagetally.model import DIMENSIONS, PAGE_VIEW_TYPE
 from pagetally.operators import lookups as lk
 from pagetally.operators.joins import join_on
-from pagetally.operators.registry import Registry, compile_matchers, fits
-from pagetally.session import shared_dir
+from pagetally.operators.registry import Registry, compile_matchers
 
 # Texts accepted as a boolean.
 TRUE_TEXTS = ("1", "true")
 FALSE_TEXTS = ("0", "false")
 
-# Reasons for a reject, in order of precedence.
+# Reasons for a reject, in order of precedence. ``missing_instance``
+# is our own: an event without tenant would be one that no tenant can read.
 REASONS = (
     "invalid_path",
     "invalid_params",
+    "missing_instance",
     "is_bot",
     "missing_user_agent",
     "spam_host",
@@ -35,10 +34,6 @@ REASONS = (
     "no_pattern_match",
 )
 
-# A registry above either bound is not copied to the executors.
-REGISTRY_MAX_ROWS = 20_000
-REGISTRY_MAX_BYTES = 4_000_000
-
 
 def blank_to_null(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
@@ -65,8 +60,9 @@ def cast_beacons(beacons: DataFrame) -> DataFrame:
         "service_id": blank_to_null(F.col("i")),
     }
     path = F.col("__path")
+    unread = F.col("broken").isNotNull() if "broken" in beacons.columns else F.lit(False)
     results = {
-        "invalid_params": b.isNotNull() & F.col("bot_flag").isNull(),
+        "invalid_params": unread | (b.isNotNull() & F.col("bot_flag").isNull()),
         "invalid_path": p.isNotNull() & path.isNull(),
         "path": uri.rooted(path),
         "referrer": uri.referrer_from(F.col("__scheme"), F.col("referrer_host"), F.col("__bare")),
@@ -120,59 +116,34 @@ def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return browser_columns(bot_verdict(rows)) if table is None else agent_table_columns(rows, table)
 
 
-def match_inline(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
-    """Look up the site and test its patterns row by row.
+def matched_hosts(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
+    """Distinct (site, host) pairs of the rows of which some matcher accepts the host.
 
-    The compiled registry travels as one broadcast; one above the bounds is refused.
+    Each pair meets the matchers of its own site. An exact matcher is a plain text
+    test; only the others need their pattern.
     """
-    if not registry_fits(registry, mode):
-        raise ValueError("registry is too large for inline matching")
-    return _match_inline(rows, registry, mode)
-
-
-def _match_inline(rows: DataFrame, registry: Registry, mode: str) -> DataFrame:
-    keys = registry.keys
-    patterns = compile_matchers(registry.matchers, mode).groupBy(*keys).agg(
-        F.collect_list("pattern").alias("__patterns")
-    )
-    sites = registry.services.select(*keys).distinct().join(patterns, keys, "left")
-    sites = sites.withColumn("service_found", F.lit(True))
-    joined = rows.join(F.broadcast(sites), keys, "left")
-    host = F.col("namespace")
-    return joined.withColumns(
-        {
-            "service_found": F.coalesce("service_found", F.lit(False)),
-            "host_matched": F.coalesce(F.exists("__patterns", lambda p: F.regexp_like(host, p)), F.lit(False)),
-        }
-    ).drop("__patterns")
-
-
-def matched_hosts(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
-    """Distinct (site, host) pairs of the rows of which some matcher accepts the host."""
     keys = registry.keys
     pairs = rows.where(F.col("service_id").isNotNull() & F.col("namespace").isNotNull())
     pairs = pairs.select(*keys, "namespace").distinct()
     compiled = compile_matchers(registry.matchers, mode).where(F.col("pattern").isNotNull())
-    compiled = compiled.select(*[F.col(k).alias(f"__{k}") for k in keys], "pattern")
-    accepted = F.regexp_like(F.col("namespace"), F.col("pattern"))
+    compiled = compiled.select(*[F.col(k).alias(f"__{k}") for k in keys], "type", "value", "pattern")
+    host, value = F.col("namespace"), F.col("value")
+    exact = host == value if mode == "strict" else host.contains(value)
+    accepted = F.when(F.col("type") == "exact", exact).otherwise(F.regexp_like(host, F.col("pattern")))
     for k in keys:
         accepted = accepted & (F.col(k) == F.col(f"__{k}"))
     return pairs.join(compiled, accepted, "left_semi")
 
 
-def match_distinct(rows: DataFrame, registry: Registry, mode: str = "reference", table: str | None = None) -> DataFrame:
-    """The same result as ``match_inline``, testing each distinct (site, host) pair once.
+def match_sites(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
+    """Add ``service_found`` and ``host_matched``.
 
-    Reads two narrow columns of the beacons first and writes the accepted pairs
-    to ``table`` in the shared folder. Spark then knows their size: it broadcasts
-    a small table and otherwise uses a sort-merge join that splits hot keys.
+    One plan for a registry of any size: every distinct (site, host) pair is tested
+    once, and the accepted pairs are joined back. Nothing is written, and no job
+    starts before the result is asked for.
     """
-    spark = rows.sparkSession
-    table = table or shared_dir(spark, f"matched_hosts/{uuid4().hex}")
     keys = registry.keys
-    matched = matched_hosts(rows, registry, mode)
-    matched.write.mode("overwrite").parquet(table)
-    accepted = spark.read.schema(matched.schema).parquet(table).withColumn("host_matched", F.lit(True))
+    accepted = matched_hosts(rows, registry, mode).withColumn("host_matched", F.lit(True))
     sites = registry.services.select(*keys).distinct().withColumn("service_found", F.lit(True))
     joined = join_on(join_on(rows, sites, keys), accepted, [*keys, "namespace"])
     return joined.withColumns(
@@ -180,18 +151,12 @@ def match_distinct(rows: DataFrame, registry: Registry, mode: str = "reference",
     )
 
 
-def registry_fits(registry: Registry, mode: str = "reference") -> bool:
-    """Whether ids and compiled patterns are small enough to be copied to every executor."""
-    ids = registry.services.select(*registry.keys)
-    patterns = compile_matchers(registry.matchers, mode).select(*registry.keys, "pattern")
-    return fits([ids, patterns], REGISTRY_MAX_ROWS, REGISTRY_MAX_BYTES)
-
-
 def reject_reason() -> Column:
     """First reason that applies; NULL means accepted."""
     return (
         F.when(F.col("invalid_path"), F.lit("invalid_path"))
         .when(F.col("invalid_params"), F.lit("invalid_params"))
+        .when(F.col("instance").isNull(), F.lit("missing_instance"))
         .when(F.col("bot_flag"), F.lit("is_bot"))
         .when(F.col("user_agent").isNull(), F.lit("missing_user_agent"))
         .when(F.col("bot_agent"), F.lit("is_bot"))
@@ -207,30 +172,23 @@ def ingest(
     registry: Registry,
     lookups: lk.Lookups,
     mode: str = "reference",
-    matching: str = "auto",
     drop_local: bool = False,
 ) -> DataFrame:
     """Every beacon with its reject reason (NULL = accepted) and the page-view columns.
 
-    ``matching``: ``inline`` for streams and small registries, ``distinct`` for
-    large backfills and large registries, ``auto`` checks the registry's size.
-    ``drop_local`` leaves out beacons from local hosts before anything else.
+    ``drop_local`` leaves out beacons from local hosts before anything else. A
+    column ``broken`` (see ``beacons.from_messages``), if there is one, holds the
+    text of what could not be read.
     """
-    if matching not in ("auto", "inline", "distinct"):
-        raise ValueError(f"unknown matching: {matching!r}")
     raw = beacons.columns
-    inline = matching != "distinct" and registry_fits(registry, mode)
-    if matching == "inline" and not inline:
-        raise ValueError("registry is too large for inline matching")
 
-    # First all that can reject a beacon. The patterns of a site are tested inside
-    # the reason, hence only for rows that no earlier reason rejects.
+    # First all that can reject a beacon.
     rows = cast_beacons(beacons)
     if drop_local:
         rows = rows.where(~F.coalesce(uri.is_local_host(F.col("namespace")), F.lit(False)))
     rows = bot_verdict(rows) if lookups.agents is None else agent_table_columns(rows, lookups.agents)
     rows = lk.with_spam_flag(rows, F.col("namespace"), lookups.spam_hosts)
-    rows = _match_inline(rows, registry, mode) if inline else match_distinct(rows, registry, mode)
+    rows = match_sites(rows, registry, mode)
     rows = rows.withColumn("reason", reject_reason())
 
     # Then what describes a page view. A filter on the reason moves below these

@@ -53,26 +53,27 @@ def with_country(rows: DataFrame, zone: Column, zones: DataFrame) -> DataFrame:
     return lookup(rows, zone, zones, "zone", {"country_code": "country_code"})
 
 
-def source_depth(sources: DataFrame) -> int:
-    """Largest number of labels in a source rule."""
-    return sources.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 0
+# Fixed value: labels that a host name can have, 255 bytes in all.
+MOST_LABELS = 127
 
 
-def with_referrer_source(rows: DataFrame, host: Column, sources: DataFrame, depth: int | None = None) -> DataFrame:
+def with_referrer_source(rows: DataFrame, host: Column, sources: DataFrame) -> DataFrame:
     """Source of the longest rule that is the host or a parent domain of it.
 
-    One equi-join per number of labels, longest first: rows are neither
-    multiplied nor regrouped.
+    Distinct hosts are matched, not rows: each host meets the rules with its domains
+    in one join, and the longest rule found is joined back to the rows.
     """
-    depth = source_depth(sources) if depth is None else depth
-    found = []
-    for labels in range(depth, 0, -1):
-        rules = sources.where(F.size(F.split("host", "[.]")) == labels)
-        name = f"__source_{labels}"
-        rows = lookup(rows, uri.last_labels(host, labels), rules, "host", {"source": name})
-        found.append(name)
-    source = F.coalesce(*found) if found else F.lit(None).cast("string")
-    return rows.withColumn("referrer_source", source).drop(*found)
+    named = rows.withColumn("__host", host)
+    parts = F.split("__host", "[.]")
+    ends = F.transform(
+        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MOST_LABELS))),
+        lambda n: F.struct(n.alias("labels"), F.array_join(F.slice(parts, -n, n), ".").alias("domain")),
+    )
+    hosts = named.where(F.col("__host").isNotNull()).select("__host").distinct().select("__host", F.inline(ends))
+    rules = sources.groupBy(F.col("host").alias("domain")).agg(F.min("source").alias("source"))
+    found = join_on(hosts, rules, ["domain"], "inner")
+    longest = found.groupBy("__host").agg(F.max_by("source", "labels").alias("referrer_source"))
+    return join_on(named, longest, ["__host"]).drop("__host")
 
 
 # A small table of our own; pass a larger one for production.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,30 +11,31 @@ from pagetally.functions import labels
 from pagetally.model import DEFAULT_LIMIT, DIMENSIONS, GROUPING_IDS
 
 
-def dimension_values(page_views: DataFrame, *extra: Column) -> DataFrame:
+def dimension_values(page_views: DataFrame, *extra: Column, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """One row (grouping_id, value) per page view and dimension."""
     entries = [
-        F.struct(F.lit(GROUPING_IDS[d]).alias("grouping_id"), F.col(d).alias("value")) for d in DIMENSIONS
+        F.struct(F.lit(GROUPING_IDS[d]).alias("grouping_id"), F.col(d).alias("value")) for d in dimensions
     ]
     return page_views.select(*extra, F.inline(F.array(*entries)))
 
 
-def panel_counts(page_views: DataFrame, form: str = "explode") -> DataFrame:
-    """(grouping_id, value, count) for all values of all dimensions, NULL included.
+def panel_counts(page_views: DataFrame, form: str = "explode", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """(grouping_id, value, count) for all values of the dimensions, NULL included.
 
     ``explode`` keeps the shuffle key down to two columns and counts before the
     shuffle, so one value holding most rows costs one row per task.
     ``grouping_sets`` is the textbook form with thirteen key columns.
     """
     if form == "explode":
-        return dimension_values(page_views).groupBy("grouping_id", "value").agg(F.count("*").alias("count"))
+        values = dimension_values(page_views, dimensions=dimensions)
+        return values.groupBy("grouping_id", "value").agg(F.count("*").alias("count"))
     if form != "grouping_sets":
         raise ValueError(f"unknown form: {form!r}")
-    columns = [F.col(d) for d in DIMENSIONS]
+    columns = [F.col(d) for d in dimensions]
     counted = page_views.groupingSets([[c] for c in columns], *columns).agg(
         F.grouping_id().cast("int").alias("grouping_id"), F.count("*").alias("count")
     )
-    value = F.coalesce(*[F.when(F.col("grouping_id") == GROUPING_IDS[d], F.col(d)) for d in DIMENSIONS])
+    value = F.coalesce(*[F.when(F.col("grouping_id") == GROUPING_IDS[d], F.col(d)) for d in dimensions])
     return counted.select("grouping_id", value.alias("value"), "count")
 
 
@@ -70,9 +73,20 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy("grouping_id", F.desc("count"), F.asc_nulls_first("value"))
 
 
-def panel(page_views: DataFrame, limit: int | None = DEFAULT_LIMIT, form: str = "explode") -> DataFrame:
-    """The full report (grouping_id, value, count, max), ordered; ``limit=None`` keeps every value."""
-    counts = panel_counts(page_views, form)
+def panel(
+    page_views: DataFrame,
+    limit: int | None = DEFAULT_LIMIT,
+    form: str = "explode",
+    dimensions: Sequence[str] = DIMENSIONS,
+) -> DataFrame:
+    """The report (grouping_id, value, count, max), ordered; ``limit=None`` keeps every value.
+
+    Of the page views only the columns of ``dimensions`` are read. The grouping-sets
+    form knows its ids by all thirteen.
+    """
+    if form == "grouping_sets" and len(dimensions) != len(DIMENSIONS):
+        raise ValueError("the grouping-sets form has all dimensions")
+    counts = panel_counts(page_views, form, dimensions)
     rows = with_max_uncut(counts) if limit is None else with_max(top_values(counts, limit))
     return ordered(rows.select("grouping_id", "value", "count", "max"))
 

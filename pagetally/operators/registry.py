@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,20 +135,3 @@ def matcher_pattern(kind: Column, value: Column, mode: str = "reference") -> Col
 def compile_matchers(matchers: DataFrame, mode: str = "reference") -> DataFrame:
     """Add ``pattern``; it is NULL for an unknown type or a broken expression."""
     return matchers.withColumn("pattern", matcher_pattern(F.col("type"), F.col("value"), mode))
-
-
-def fits(tables: Sequence[DataFrame], max_rows: int, max_bytes: int) -> bool:
-    """True when tables together are small enough to be copied to every executor.
-
-    Reads at most ``max_rows + 1`` rows and brings back two numbers.
-    """
-
-    def widths(rows: DataFrame) -> DataFrame:
-        width = F.lit(0)
-        for name, kind in rows.dtypes:
-            width = width + (F.coalesce(F.length(name), F.lit(0)) if kind == "string" else F.lit(8))
-        return rows.select(width.alias("w"))
-
-    seen = reduce(DataFrame.unionByName, map(widths, tables)).limit(max_rows + 1)
-    n, size = seen.agg(F.count("*").alias("n"), F.sum("w").alias("b")).first()
-    return n <= max_rows and (size or 0) <= max_bytes

@@ -39,16 +39,24 @@ def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSes
     return spark
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whichever file system it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A work folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (plain local tests) a temporary folder is
-    used. Folders are kept apart by application id, so a rerun inside one
+    Only in local mode, where driver and executors share one machine, a temporary
+    folder may take its place; elsewhere a missing setting is an error. Folders are kept apart by application id, so a rerun inside one
     application overwrites its own data and nobody else's.
     """
     application = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if application not in _test_roots:
             _test_roots[application] = tempfile.mkdtemp(prefix="pagetally-")
         root = _test_roots[application]

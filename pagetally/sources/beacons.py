@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetally.model import BEACON_SCHEMA
 
@@ -24,7 +25,30 @@ def stream_beacons(
     )
 
 
-def from_messages(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Beacons from JSON messages, for example the ``value`` of a Kafka topic."""
-    parsed = F.from_json(F.col(column).cast("string"), BEACON_SCHEMA)
-    return messages.select(parsed.alias("beacon")).select("beacon.*")
+def from_messages(
+    messages: DataFrame,
+    column: str = "value",
+    received_at: Column | None = None,
+    user_agent: Column | None = None,
+    instance: Column | None = None,
+) -> DataFrame:
+    """Beacons from JSON messages, for example the ``value`` of a Kafka topic.
+
+    The text of a message that is no JSON object is kept in column ``broken``, and
+    ingest rejects it as ``invalid_params``. Time, agent and tenant come from the
+    given columns of ``messages``, such as the time and headers of a message; where
+    one is not given or NULL, the message's own field counts.
+    """
+    text = F.col(column).cast("string")
+    schema = T.StructType(list(BEACON_SCHEMA)).add("broken", "string")
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    outer = {"received_at": received_at, "user_agent": user_agent, "instance": instance}
+    given = {name: value for name, value in outer.items() if value is not None}
+    kept = [value.alias(f"__{name}") for name, value in given.items()]
+    rows = messages.select(text.alias("__text"), parsed.alias("beacon"), *kept)
+    rows = rows.select("beacon.*", "__text", *(f"__{name}" for name in given))
+    rows = rows.withColumns({name: F.coalesce(f"__{name}", name) for name in given})
+    # an empty message or a bare null parses to nothing at all
+    nothing = F.col("__text").isNull() | (F.trim("__text").isin("", "null"))
+    broken = F.coalesce("broken", F.when(nothing, F.coalesce("__text", F.lit(""))))
+    return rows.withColumn("broken", broken).drop("__text", *(f"__{name}" for name in given))

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetally.operators.registry import MATCHER_TYPES
+from pagetally.session import exists
 
 # Texts that mean "published".
 PUBLISHED_TEXTS = ("true", "yes", "1")
 
 
 def read_config_files(spark: SparkSession, *folders: str) -> DataFrame:
-    """(file, content, layer) of the ``*.conf`` files; later folders override earlier ones."""
-    frames = [
+    """(file, content, layer) of the ``*.conf`` files; later folders override earlier ones.
+
+    An absent folder counts as empty.
+    """
+    frames = [spark.createDataFrame([], "file string, content string, layer int")]
+    frames += [
         spark.read.text(folder, wholetext=True, pathGlobFilter="*.conf")
         .select(
             F.substring_index(F.input_file_name(), "/", -1).alias("file"),
@@ -23,6 +28,7 @@ def read_config_files(spark: SparkSession, *folders: str) -> DataFrame:
             F.lit(layer).alias("layer"),
         )
         for layer, folder in enumerate(folders)
+        if exists(spark, folder)
     ]
     return reduce(DataFrame.unionByName, frames)
 

@@ -7,8 +7,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pagetally.model import DEFAULT_LIMIT, PANEL_SCHEMA
-from pagetally.operators.panels import ordered, top_values
+from pagetally.model import PANEL_SCHEMA
+from pagetally.operators.panels import ordered
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
@@ -22,13 +22,20 @@ def read_panel(spark: SparkSession, path: str, labelled: bool = False) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
-def panel_streams(panel: DataFrame, limit: int = DEFAULT_LIMIT) -> dict[int, bytes]:
+# Rows that may come to the driver: thirteen dimensions of some thousand values.
+MOST_ROWS = 100_000
+
+
+def panel_streams(panel: DataFrame, most_rows: int = MOST_ROWS) -> dict[int, bytes]:
     """Arrow IPC stream per grouping id, each behind the id as 32-bit big-endian integer.
 
-    The panel is cut to ``limit`` rows per dimension again, so that never more
-    than thirteen times the limit come to the driver. No rows, no streams.
+    All rows of the panel are exported. They pass through the driver, so a panel of
+    more than ``most_rows`` is refused: write that one with ``write_panel``. No rows,
+    no streams.
     """
-    rows = ordered(top_values(panel, limit)).toArrow()
+    rows = ordered(panel.limit(most_rows + 1)).toArrow()
+    if rows.num_rows > most_rows:
+        raise ValueError(f"a panel of more than {most_rows} rows: use write_panel")
     streams = {}
     for group in rows.column("grouping_id").unique().to_pylist():
         mask = pc.equal(rows.column("grouping_id"), group)

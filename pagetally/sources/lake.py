@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetally.functions.predicates import where_in
 from pagetally.model import (
     CLUSTER_COLUMNS,
     DEFAULT_INSTANCE,
     DIMENSIONS,
     LAYOUTS,
     PAGE_VIEW_TYPE,
+    PROPERTIES_TYPE,
     event_schema,
 )
 from pagetally.plans.spec import QuerySpec
@@ -42,9 +44,7 @@ def property_column(properties: Column, kind: T.DataType, key: str) -> Column:
     """One property as text; missing and null are both NULL."""
     if isinstance(kind, T.StructType):
         return properties[key]
-    if isinstance(kind, T.VariantType):
-        return F.try_variant_get(properties, f"$.{key}", "string")
-    return F.get_json_object(properties, f"$.{key}")
+    return F.try_variant_get(properties, f"$.{key}", "string")
 
 
 def with_timestamp(events: DataFrame) -> DataFrame:
@@ -58,9 +58,16 @@ def _placed(events: DataFrame) -> DataFrame:
 
 
 def _save(rows: DataFrame, path: str, batch: str, layout: str) -> None:
-    # sorted by site and time, so row groups and pages have narrow ranges to skip by
+    # Sorted by site and time, so row groups and pages have narrow ranges to skip by.
+    # The writer needs the directory columns first, and none of them nullable: else it
+    # sorts again, by them alone. An empty name and NULL are the same directory.
+    folders = LAYOUTS[layout]
+    named = {c: F.coalesce(c, F.lit("")) for c in folders if c not in ("year", "month")}
+    named |= {c: F.coalesce(c, F.lit(0)) for c in ("year", "month")}
+    order = [*folders, *(c for c in CLUSTER_COLUMNS if c not in folders), "timestamp"]
     (
-        rows.sortWithinPartitions(*CLUSTER_COLUMNS, "timestamp")
+        rows.withColumns(named)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy(*LAYOUTS[layout])
         .option("compression", "zstd")
@@ -90,13 +97,17 @@ def read_events(
     spec: QuerySpec | None = None,
     instance: str | None = DEFAULT_INSTANCE,
     encoding: str = "struct",
+    after: int | None = None,
 ) -> DataFrame:
     """Events of one tenant (``instance=None``: of all), with partitions pruned by the spec.
 
-    Only year and month bounds and the site filter are taken from the spec here;
+    ``after`` leaves out the numbered batches up to that one, which a compacted
+    table has already (see ``read_compacted``). Only year and month bounds and the site filter are taken from the spec here;
     apply the whole spec to the page views.
     """
     events = spark.read.schema(event_schema(properties_type(encoding))).parquet(path)
+    if after is not None:
+        events = events.where(F.col("batch").cast("long") > after)
     if instance is not None:
         events = events.where(F.col("instance") == instance)
     if spec is not None:
@@ -104,12 +115,14 @@ def read_events(
             events = events.where(test)
         sites = spec.filters.get("services")
         if sites:
-            events = events.where(F.col("entity_id").isin(list(sites)))
+            events = events.where(where_in(F.col("entity_id"), sites))
     return events
 
 
 def page_views(events: DataFrame) -> DataFrame:
     """The view every report reads: page views only, thirteen text columns."""
+    if isinstance(events.schema["properties"].dataType, T.StringType):  # the text is read once for all columns
+        events = events.withColumn("properties", F.from_json("properties", PROPERTIES_TYPE))
     kind = events.schema["properties"].dataType
     properties = F.col("properties")
     return events.where(F.col("type") == PAGE_VIEW_TYPE).select(
@@ -131,6 +144,23 @@ def read_page_views(
     return spec.apply(views) if spec is not None else views
 
 
+def read_compacted(spark: SparkSession, compacted: str, recent: str, upto: int, **options) -> DataFrame:
+    """Events of the compacted table, which has the batches up to ``upto``, and of the later ones.
+
+    Every event once, also while compaction and the stream go on: the bound alone
+    decides which table a batch is read from.
+    """
+    old = read_events(spark, compacted, **options).where(F.col("batch") == str(upto))
+    return old.unionByName(read_events(spark, recent, after=upto, **options))
+
+
+def compact_upto(spark: SparkSession, source: str, target: str, upto: int, encoding: str = "struct", layout: str = "sorted") -> None:
+    """Rewrite the numbered batches up to ``upto`` as batch ``upto`` of the table at ``target``."""
+    events = read_events(spark, source, instance=None, encoding=encoding).where(F.col("batch").cast("long") <= upto)
+    rows = events.select("timestamp", "type", "properties", *CLUSTER_COLUMNS)
+    _save(rows.repartitionByRange("instance", "entity_id", "timestamp"), target, str(upto), layout)
+
+
 def compact(
     spark: SparkSession,
     source: str,

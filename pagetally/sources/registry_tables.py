@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.operators.registry import Registry, register_new
+from pagetally.session import exists
 from pagetally.sources.config_files import parse_config_files, read_config_files
 
 SERVICES = "service_id string, name string, published boolean, batch string"
@@ -23,7 +24,11 @@ def write_registry(registry: Registry, path: str, batch: str) -> None:
 
 
 def read_registry(spark: SparkSession, path: str, without_batch: str | None = None) -> Registry:
+    """The stored registry; one that was never written is empty."""
+
     def table(name: str, schema: str) -> DataFrame:
+        if not exists(spark, _folder(path, name)):
+            return spark.createDataFrame([], schema).drop("batch")
         rows = spark.read.schema(schema).parquet(_folder(path, name))
         if without_batch is not None:
             rows = rows.where(F.col("batch") != without_batch)

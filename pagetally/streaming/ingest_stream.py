@@ -26,7 +26,8 @@ def write_rejects(rejects: DataFrame, path: str, batch: str) -> None:
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """Rejected beacons with reason and micro-batch number."""
-    return spark.read.schema(T.StructType(list(BEACON_SCHEMA)).add("reason", "string").add("batch", "long")).parquet(path)
+    schema = T.StructType(list(BEACON_SCHEMA)).add("broken", "string").add("reason", "string").add("batch", "long")
+    return spark.read.schema(schema).parquet(path)
 
 
 def start_ingest(
@@ -57,24 +58,26 @@ def start_ingest(
         finally:
             rows.unpersist()
 
-    observed = beacons.observe("beacons", F.count(F.lit(1)).alias("received"))
     return (
-        observed.writeStream.foreachBatch(write_batch)
+        beacons.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or DEFAULT_TRIGGER))
         .start()
     )
 
 
-def progress_counts(query: StreamingQuery) -> list[dict]:
-    """Received rows per micro-batch, from the query's recent progress reports."""
-    return [
-        {"batch": p.batchId, "received": p.observedMetrics["beacons"]["received"]}
-        for p in query.recentProgress
-        if "beacons" in p.observedMetrics
-    ]
-
-
 def batch_progress(events: DataFrame) -> DataFrame:
     """Stored events per tenant and micro-batch, read from the event table."""
     return events.groupBy("instance", "batch").agg(F.count("*").alias("count"))
+
+
+def batch_counts(events: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Accepted, rejected and received beacons of every micro-batch, from the two tables.
+
+    Complete however long the stream has run. A batch without beacons has no row.
+    """
+    batch = F.col("batch").cast("long").alias("batch")
+    kept = events.select(batch, F.lit(1).alias("accepted"), F.lit(0).alias("rejected"))
+    both = kept.unionByName(rejects.select(batch, F.lit(0).alias("accepted"), F.lit(1).alias("rejected")))
+    sums = both.groupBy("batch").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return sums.withColumn("received", F.col("accepted") + F.col("rejected"))

@@ -7,30 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetally.functions.clock import UNITS, trunc_column
+from pagetally.session import exists
 
-_WINDOWS = {"hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("7 days", "4 days")}
 
-
-def stream_scale(events: DataFrame, unit: str, watermark: str | None = None) -> DataFrame:
+def stream_scale(events: DataFrame, unit: str) -> DataFrame:
     """(period, count) per unit as a running aggregate.
 
-    Without a watermark every event counts, however late, and the state is one
-    row per period. With one, periods older than it are closed and forgotten;
-    that needs fixed-length periods, so months and years are not available.
+    Every event counts, however late; the state is one row per period.
     """
     if unit not in UNITS:
         raise ValueError(f"unknown unit: {unit!r}")
-    if watermark is None:
-        return events.groupBy(trunc_column(unit, F.col("timestamp")).alias("period")).agg(
-            F.count("*").alias("count")
-        )
-    if unit not in _WINDOWS:
-        raise ValueError(f"no fixed-length window for {unit!r}")
-    length, offset = _WINDOWS[unit]
-    moment = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    window = F.window("timestamp", length, startTime=offset)
-    counted = moment.withWatermark("timestamp", watermark).groupBy(window).agg(F.count("*").alias("count"))
-    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("period"), "count")
+    return events.groupBy(trunc_column(unit, F.col("timestamp")).alias("period")).agg(F.count("*").alias("count"))
 
 
 def start_scale(counted: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -48,7 +35,37 @@ def start_scale(counted: DataFrame, path: str, checkpoint: str, trigger: dict |
     )
 
 
-def read_scale(spark: SparkSession, path: str) -> DataFrame:
-    """Latest count of every period."""
-    updates = spark.read.schema("period timestamp_ntz, count long, batch long").parquet(path)
+_UPDATES = "period timestamp_ntz, count long, batch long"
+
+
+def _latest(updates: DataFrame) -> DataFrame:
     return updates.groupBy("period").agg(F.max_by("count", "batch").alias("count"))
+
+
+def fold_scale(spark: SparkSession, path: str, folded: str, upto: int) -> None:
+    """Keep the latest count of every period, as of batch ``upto``, as one directory below ``folded``.
+
+    After it the update directories up to that batch are not needed any more.
+    """
+    updates = read_updates(spark, path, None if not exists(spark, folded) else folded, upto - 1)
+    batch = _latest(updates.where(F.col("batch") <= upto))
+    batch.coalesce(1).write.mode("overwrite").parquet(f"{folded.rstrip('/')}/batch={upto}")
+
+
+def read_updates(spark: SparkSession, path: str, folded: str | None = None, upto: int | None = None) -> DataFrame:
+    """Update rows; those up to the last fold (at most ``upto``) come from the fold."""
+    updates = spark.read.schema(_UPDATES).parquet(path)
+    if folded is None:
+        return updates
+    base = spark.read.schema(_UPDATES).parquet(folded)
+    if upto is not None:
+        base = base.where(F.col("batch") <= upto)
+    last = base.agg(F.max("batch")).first()[0]
+    if last is None:
+        return updates
+    return base.where(F.col("batch") == last).unionByName(updates.where(F.col("batch") > last))
+
+
+def read_scale(spark: SparkSession, path: str, folded: str | None = None) -> DataFrame:
+    """Latest count of every period, from the last fold and the updates after it."""
+    return _latest(read_updates(spark, path, folded))

@@ -10,6 +10,7 @@ from pagetally.model import BEACON_SCHEMA, DIMENSIONS
 from pagetally.operators import ingest as ing
 from pagetally.operators import lookups as lk
 from pagetally.operators import registry as reg
+from pagetally.sources import beacons as beacons_source
 
 CHROME = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
 
@@ -90,42 +91,74 @@ def test_accepted_and_rejected_make_the_input(spark):
     n_accepted, n_rejected = ing.accepted(rows).count(), ing.rejected(rows, beacons.columns).count()
     assert n_accepted > 0 and n_rejected > 0 and n_accepted + n_rejected == beacons.count()
     counted = {r["reason"]: r["count"] for r in ing.reject_counts(rows).collect()}
-    assert sum(counted.values()) == n_rejected and set(counted) == set(ing.REASONS)
+    assert sum(counted.values()) == n_rejected and set(counted) == set(ing.REASONS) - {"missing_instance"}
 
 
-def test_all_matchings_agree(spark, sf_dir):
+def test_joins_agree(spark, sf_dir):
+    """Without any broadcast of lookups the same rows come out."""
     args = fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark)
-    inline = rows_of(ing.ingest(*args, matching="inline"))
-    assert inline == rows_of(ing.ingest(*args, matching="distinct"))
-    # without any broadcast of lookups the same rows come out
+    want = rows_of(ing.ingest(*args))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert inline == rows_of(ing.ingest(*args, matching="distinct"))
+        assert want == rows_of(ing.ingest(*args))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_large_registry_is_not_broadcast(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(ing, "REGISTRY_MAX_ROWS", 5)
-    args = fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark)
-    with pytest.raises(ValueError):
-        ing.ingest(*args, matching="inline")
-    want = rows_of(ing.ingest(*args, matching="distinct"), "beacon_id", "reason")
-    assert rows_of(ing.ingest(*args), "beacon_id", "reason") == want
+def test_plan_is_joins_and_projections_only(spark, sf_dir):
+    rows = ing.ingest(fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark))
+    plan = plan_of(rows)
+    for word in ("Python", "Cartesian", "NestedLoop", "Window ("):
+        assert word not in plan
+
+
+def test_one_plan_for_every_registry_size(spark, sf_dir):
+    """Twenty or 200,000 matchers: the same operators, and no job before the result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    beacons, lookups = fx.beacons(spark, sf_dir), fx.lookups(spark)
+    plans = []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("building", "no job expected")
+    try:
+        for n in (20, 200_000):
+            ids = spark.range(n).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("service_id"))
+            services = ids.select("service_id", F.col("service_id").alias("name"), F.lit(True).alias("published"))
+            matchers = ids.select(
+                F.col("service_id").alias("matcher_id"), "service_id", F.lit("exact").alias("type"), F.lit("example").alias("value")
+            )
+            rows = ing.ingest(beacons, reg.Registry(services, matchers), lookups)
+            plans.append(re.findall(r"^\([0-9]+\) (\w+)", plan_of(rows), re.M))
+        assert plans[0] == plans[1]
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_fits(spark):
-    rows = spark.range(10).selectExpr("cast(id as string) as x")
-    assert reg.fits([rows], 10, 10) and not reg.fits([rows], 9, 10) and not reg.fits([rows], 10, 9)
-    assert reg.fits([rows, rows], 20, 20) and not reg.fits([rows, rows], 19, 20)
+@pytest.mark.parametrize("mode", ["reference", "strict"])
+def test_matched_hosts_equal_patterns(spark, mode):
+    kinds = [("exact", "example.org"), ("exact", "a.b"), ("wildcard", "*.example.com"), ("regex", "^www[.]"), ("regex", "(broken"), ("glob", "x")]
+    rows = spark.createDataFrame([("s", h) for h in HOSTS + ["a.b", "xa.b.c"]], "service_id string, namespace string")
+    for kind, value in kinds:
+        services = spark.createDataFrame([("s", "s", True)], "service_id string, name string, published boolean")
+        matchers = spark.createDataFrame([("m", "s", kind, value)], "matcher_id string, service_id string, type string, value string")
+        got = {r["namespace"] for r in ing.matched_hosts(rows, reg.Registry(services, matchers), mode).collect()}
+        tested = rows.select("namespace", F.regexp_like("namespace", reg.matcher_pattern(F.lit(kind), F.lit(value), mode)).alias("m"))
+        assert got == {r["namespace"] for r in tested.collect() if r["m"]}
 
 
-def test_plan_is_joins_and_projections_only(spark, sf_dir):
-    rows = ing.ingest(fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark), matching="inline")
-    plan = plan_of(rows)
-    for word in ("Python", "Cartesian", "NestedLoop", "SortMergeJoin", "Window ("):
-        assert word not in plan
+def test_missing_instance_and_broken_text(spark):
+    rows = ing.ingest(spark.createDataFrame([beacon(instance=None)], BEACON_SCHEMA), small_registry(spark, REGISTRY), fx.lookups(spark))
+    assert rows.first()["reason"] == "missing_instance"
+    texts = ['{"beacon_id": 1, "o": "http://www.example.org"}', "{broken", "", None, "[1]", '{"beacon_id": "x"}']
+    messages = spark.createDataFrame([(t, "agent") for t in texts], "value string, header string")
+    read = beacons_source.from_messages(messages, user_agent=F.col("header"), instance=F.lit("main"))
+    found = ing.ingest(read, small_registry(spark, REGISTRY), fx.lookups(spark)).collect()
+    assert [r["broken"] for r in found][1:5] == ["{broken", "", "", "[1]"] and found[0]["broken"] is None
+    assert [r["reason"] == "invalid_params" for r in found] == [False, True, True, True, True, True]
+    assert {r["user_agent"] for r in found} == {"agent"} and {r["instance"] for r in found} == {"main"}
 
 
 def test_generated_code_can_be_compiled(spark, sf_dir, tmp_path):
@@ -136,21 +169,15 @@ def test_generated_code_can_be_compiled(spark, sf_dir, tmp_path):
     args = beacons, fx.registry(spark, sf_dir), fx.lookups(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for matching in ("inline", "distinct"):
-            rows = ing.ingest(*args, matching=matching)
-            for frame in (rows, ing.to_events(rows), ing.rejected(rows, args[0].columns)):
-                text = frame._jdf.queryExecution().explainString(mode)
-                sizes = [int(n) for n in re.findall("maxMethodCodeSize:([0-9]+)", text)]
-                assert sizes and max(sizes) < 8000
+        rows = ing.ingest(*args)
+        for frame in (rows, ing.to_events(rows), ing.rejected(rows, args[0].columns)):
+            text = frame._jdf.queryExecution().explainString(mode)
+            sizes = [int(n) for n in re.findall("maxMethodCodeSize:([0-9]+)", text)]
+            assert sizes and max(sizes) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_unknown_matching(spark, sf_dir):
-    with pytest.raises(ValueError):
-        ing.ingest(fx.beacons(spark, sf_dir), fx.registry(spark, sf_dir), fx.lookups(spark), matching="guess")
-
-
 def test_drop_local(spark):
     beacons = spark.createDataFrame([beacon(o="http://localhost:4000"), beacon(o="http://10.0.0.7"), beacon()], BEACON_SCHEMA)
     rows = ing.ingest(beacons, small_registry(spark, REGISTRY), fx.lookups(spark), drop_local=True)
@@ -170,9 +197,8 @@ def test_registry_per_tenant(spark):
     matchers = spark.createDataFrame([("main", "m", "a", "regex", ".*")],
                                      "instance string, matcher_id string, service_id string, type string, value string")
     beacons = spark.createDataFrame([beacon(beacon_id=1), beacon(beacon_id=2, instance="acme")], BEACON_SCHEMA)
-    for matching in ("inline", "distinct"):
-        rows = ing.ingest(beacons, reg.Registry(services, matchers), fx.lookups(spark), matching=matching)
-        assert dict(rows_of(rows, "beacon_id", "reason")) == {1: None, 2: "service_not_found"}
+    rows = ing.ingest(beacons, reg.Registry(services, matchers), fx.lookups(spark))
+    assert dict(rows_of(rows, "beacon_id", "reason")) == {1: None, 2: "service_not_found"}
 
 
 HOSTS = ["example.org", "www.example.org", "example-org", "xexampleyorg", "a.b.example.com", "-a.b.example.com",

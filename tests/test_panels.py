@@ -84,6 +84,25 @@ def test_empty_input(spark):
     assert export.panel_streams(panels.panel(empty)) == {}
 
 
+def test_uncut_panel_is_exported_whole(spark, sf_dir):
+    import pyarrow as pa
+
+    panel = panels.panel(fx.page_views(spark, sf_dir), limit=None)
+    rows = sum(pa.ipc.open_stream(s[4:]).read_all().num_rows for s in export.panel_streams(panel).values())
+    assert rows == panel.count()
+    with pytest.raises(ValueError):
+        export.panel_streams(panel, most_rows=rows - 1)
+
+
+def test_panel_of_one_dimension_reads_one_column(spark, sf_dir, tmp_path):
+    fx.page_views(spark, sf_dir).write.parquet(str(tmp_path / "v"))
+    views = spark.read.parquet(str(tmp_path / "v"))
+    plan = plan_of(panels.panel_of(panels.panel(views, dimensions=("browser",)), "browser"))
+    assert "ReadSchema: struct<browser:string>" in plan
+    with pytest.raises(ValueError):
+        panels.panel(views, form="grouping_sets", dimensions=("browser",))
+
+
 def test_panel_streams(spark, sf_dir):
     import pyarrow as pa
 

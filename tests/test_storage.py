@@ -117,7 +117,8 @@ def test_stream_equals_batch_and_counts_progress(spark, sf_dir, tmp_path):
     assert rows_of(ingest_stream.read_rejects(spark, rejects), "beacon_id", "reason") == rows_of(
         ing.rejected(rows, beacons.columns), "beacon_id", "reason"
     )
-    progress = ingest_stream.progress_counts(query)
+    tables = lake.read_events(spark, events, instance=None), ingest_stream.read_rejects(spark, rejects)
+    progress = ingest_stream.batch_counts(*tables).collect()
     assert len(progress) == 3 and sum(p["received"] for p in progress) == beacons.count()
 
 
@@ -242,6 +243,95 @@ def test_shared_dir_follows_the_session(spark):
     assert root is None or path.startswith(root)
 
 
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from pagetally import session
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session, "x")
+
+
+@pytest.mark.parametrize("layout", ["sorted", "site"])
+def test_files_are_sorted_by_site_and_time(spark, tmp_path, layout):
+    """In every file rows follow one another by site and time, and a compacted file too."""
+    import pyarrow.parquet as pq
+
+    moments = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pmod(hash(id), 5000000))"
+    rows = spark.range(20_000).selectExpr(
+        "case when id % 7 = 0 then null else 'main' end as instance",
+        "case when id % 3 = 0 then 'hot' when id % 11 = 0 then null else concat('s', pmod(hash(id), 97)) end as entity_id",
+        f"{moments} as timestamp", "'pageview' as type",
+        "named_struct(" + ", ".join(f"'{d}', 'x'" for d in DIMENSIONS) + ") as properties",
+    )
+    lake.write_events(rows, str(tmp_path / "e"), "1", layout=layout)
+    lake.compact(spark, str(tmp_path / "e"), str(tmp_path / "c"), "1", layout=layout)
+    for table in ("e", "c"):
+        files = [f for f in glob.glob(f"{tmp_path}/{table}/**/*.parquet", recursive=True)]
+        assert files
+        for file in files:
+            have = pq.ParquetFile(file).read().to_pylist()
+            keys = [(r.get("entity_id") or "", r["timestamp"]) for r in have]
+            assert keys == sorted(keys)
+        assert lake.read_events(spark, str(tmp_path / table), instance=None).count() == 20_000
+    assert lake.read_events(spark, str(tmp_path / "e"), instance=None).where("instance is null").count() > 0
+
+
+def test_first_load_of_a_registry(spark, tmp_path):
+    """Absent folders are empty, and so is a registry that was never written."""
+    from pagetally.sources import config_files, registry_tables
+
+    folder = tmp_path / "conf"
+    folder.mkdir()
+    (folder / "a.conf").write_text("[Service]\nname = A\n[Matcher]\ntype = exact\nvalue = a.org\n")
+    path, absent = str(tmp_path / "registry"), str(tmp_path / "override")
+    assert config_files.read_config_files(spark, absent).count() == 0
+    assert registry_tables.read_registry(spark, path).services.count() == 0
+    errors = registry_tables.install_config(spark, path, "1", str(folder), absent)
+    assert errors.count() == 0
+    stored = registry_tables.read_registry(spark, path)
+    assert [r["name"] for r in stored.services.collect()] == ["A"] and stored.matchers.count() == 1
+
+
+def test_many_small_batches_half_of_them_compacted(spark, tmp_path):
+    schema = lake.event_schema()
+    properties = {d: "x" for d in DIMENSIONS}
+    from datetime import datetime
+
+    for n in range(30):
+        rows = [(datetime(2024, 1, 1 + n % 28), "pageview", properties, "main", f"s{n % 3}")]
+        frame = spark.createDataFrame(rows, schema.fields and "timestamp timestamp_ntz, type string, properties struct<"
+                                      + ",".join(f"{d}:string" for d in DIMENSIONS) + ">, instance string, entity_id string")
+        lake.write_events(frame.coalesce(1), str(tmp_path / "recent"), str(n))
+    lake.compact_upto(spark, str(tmp_path / "recent"), str(tmp_path / "old"), 14)
+    both = lake.read_compacted(spark, str(tmp_path / "old"), str(tmp_path / "recent"), 14)
+    columns = ("timestamp", "entity_id")
+    assert both.count() == 30
+    assert rows_of(both, *columns) == rows_of(lake.read_events(spark, str(tmp_path / "recent")), *columns)
+
+
+def test_folded_series(spark, tmp_path):
+    from datetime import datetime
+
+    from pagetally.streaming import series_stream
+
+    updates, folded = str(tmp_path / "u"), str(tmp_path / "f")
+    for n in range(6):
+        rows = [(datetime(2024, 1, 1 + n % 3), n + 1), (datetime(2024, 2, 1), 10 * n)]
+        spark.createDataFrame(rows, "period timestamp_ntz, count long").coalesce(1).write.parquet(f"{updates}/batch={n}")
+    want = rows_of(series_stream.read_scale(spark, updates))
+    for upto in (2, 4):
+        series_stream.fold_scale(spark, updates, folded, upto)
+        assert rows_of(series_stream.read_scale(spark, updates, folded)) == want
+    series_stream.fold_scale(spark, updates, folded, 4)  # a repeat changes nothing
+    assert rows_of(series_stream.read_scale(spark, updates, folded)) == want
+
+
 def test_sources_name_no_machine_folder():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for file in glob.glob(f"{root}/pagetally/**/*.py", recursive=True):
