@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import WORD_GAP, stored
+from pagetally.llm.common import WORD, WORD_GAP, stored
 
 LEAST_WORDS = 5  # one edit in this many words is a similarity of 0.8
-END_WORDS = 8  # words at a line's beginning or end that two near copies share
 _PLACE = ("missing", "id", "line_no")
 
 
@@ -31,14 +30,12 @@ def _without(words: Column, at: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(missing, id, line_no, line, row_key) of every line that has a word."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).isNull().alias("missing"),
-        F.col(id_col).alias("id"),
-        _row_key(id_col, text_col).alias("row_key"),
-        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"),
+    # the key is made below the explode, so once a row and not once a line
+    rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    lines = rows.select(
+        F.col("id").isNull().alias("missing"), "id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
-    return rows.where(F.length(F.regexp_replace("line", WORD_GAP, "")) > 0)
+    return lines.where(F.col("line").rlike(WORD))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -47,21 +44,21 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _near_candidates(lines: DataFrame) -> DataFrame:
-    """k of the lines that share a beginning or an end with another line, long enough for a near copy.
+    """k of the lines that share their first or last half with a line of about their length.
 
-    One edit leaves a line's first or its last words alone: at least min(END_WORDS, half)
-    of them, half of the shorter line. So no two lines within an edit are lost here.
+    One edit leaves the first or the last half of the words alone, half of the shorter
+    line. So no two lines within an edit are lost here.
     """
     n = F.size("w")
 
     def ends(m: Column) -> list[Column]:
-        k = F.least(F.lit(END_WORDS), F.floor(m / 2).cast("int"))
+        k = F.floor(m / 2).cast("int")
         first, last = F.slice("w", F.lit(1), k), F.slice("w", n - k + 1, k)
-        return [F.xxhash64(F.lit(side), k, F.array_join(part, " ")) for side, part in (("first", first), ("last", last))]
+        return [F.xxhash64(F.lit(side), m, part) for side, part in (("first", first), ("last", last))]
 
     keys = F.array_distinct(F.array(*ends(n), *ends(n - 1)))
     keyed = lines.select("k", _words(F.col("line")).alias("w")).where(n >= LEAST_WORDS - 1)
-    keyed = keyed.select("k", F.explode(keys).alias("key"))
+    keyed = stored(keyed.select("k", F.explode(keys).alias("key")), "line-halves")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(shared, "key").select("k").distinct()
 
@@ -102,7 +99,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 def _near_copies(lines: DataFrame) -> DataFrame:
     """k of the lines that are one word edit away from an earlier line."""
     some = stored(lines.join(_near_candidates(lines), "k", "left_semi").select("k", "line", *_PLACE), "line-candidates")
-    variants = _variants(some)
+    variants = stored(_variants(some), "line-variants")
     # each group is known by its earliest members only: no pair of a group is formed
     own = F.struct(*_PLACE, "k", "at")
     earliest = variants.groupBy("key").agg(
