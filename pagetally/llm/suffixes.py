@@ -26,6 +26,8 @@ class TestSet:
         # what every match begins with: this many words
         self.gram = int(min(3, self.sizes.min())) if len(self.sizes) else 1
         self.base = len(self.number) + 1
+        while self.base**self.gram >= 1 << 62:  # so that every run has a number of its own
+            self.gram -= 1
         grams = [self.codes(w) for w in self.windows]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.int64)
         self.depth = int(self.sizes.max()) - self.gram + 1 if len(self.sizes) else 0
