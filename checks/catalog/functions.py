@@ -98,8 +98,8 @@ def _synthetic(s, d):
 
 def _synthetic_sql():
     def draw(stream, size):
-        start = f"((event_id % 2147483647 * 1103515245 + {12345 + 7919 * 42 + 104729 * stream}) % 2147483647)"
-        return f"({start} * 48271 % 2147483647 % {size})"
+        digest = f"md5('42:{stream}:' || cast(event_id as varchar))"
+        return f"(cast('0x' || substr({digest}, 1, 13) as bigint) % {size})"
 
     def pick(values, at):
         items = ", ".join("null" if v is None else f"'{v}'" for v in values)

@@ -33,7 +33,9 @@ AGENTS = [
 ]
 
 SECTIONS = ("blog", "docs", "shop", "help", "news", "about")
-ROOT_WEIGHT, PAGES_PER_SECTION = 300, 12
+# Fixed value: the share of the root page, against 1 of every other page.
+ROOT_WEIGHT = 300
+PAGES_PER_SECTION = 12
 
 REFERRERS = [
     None,
@@ -48,10 +50,9 @@ REFERRERS = [
 
 
 def draw(row_id: Column, seed: int, stream: int, size: int) -> Column:
-    """A number in [0, size) that depends on row, seed and stream only."""
-    prime = F.lit(2_147_483_647)
-    start = (row_id % prime * F.lit(1_103_515_245) + F.lit(12_345 + 7_919 * seed + 104_729 * stream)) % prime
-    return start * F.lit(48_271) % prime % F.lit(size)
+    """A number in [0, size) hashed from seed, stream and row: streams are independent of one another."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), row_id.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % F.lit(size)
 
 
 def _pick(values: Sequence[str | None], at: Column) -> Column:

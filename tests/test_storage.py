@@ -231,6 +231,10 @@ def test_synthetic_rows_are_repeatable(spark):
     assert rows_of(one) != rows_of(synthetic.synth_page_views(ids, 2))
     share = one.where("path = '/'").count() / 5000
     assert abs(share - 300 / 372) < 0.05
+    # browsers are spread alike whatever the campaign: the draws are independent
+    by = one.groupBy("utm_campaign").agg(F.avg((F.col("browser") == "Chrome").cast("double")).alias("c"), F.count("*").alias("n"))
+    shares = [r["c"] for r in by.collect() if r["n"] > 300]
+    assert len(shares) > 1 and max(shares) - min(shares) < 0.12
     assert 0 < one.where("referrer is null").count() < 2500
 
 
