@@ -30,7 +30,7 @@ def fit(rows: list[tuple[bytes, int]], settings: Settings = SETTINGS) -> Scorer:
     if len(rows) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Scorer(settings, np.zeros(settings.buckets, np.float32), float(np.log(share / (1 - share))))
-    corpus, model = Corpus([words(text) for text, _ in rows], settings), Softmax(settings)
+    corpus, model = Corpus((words(text) for text, _ in rows), settings), Softmax(settings)
     size = np.minimum(corpus.sizes, TRAIN_WORDS)
     picks = np.random.default_rng(settings.seed)
     for _ in range(settings.epochs):

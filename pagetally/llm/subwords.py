@@ -7,6 +7,7 @@ never seen shares vectors with those that look like it. A text is the mean of it
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,24 +74,29 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Corpus:
     """Training texts as numbers of their distinct words, with each word's features."""
 
-    def __init__(self, texts: list[list[bytes]], s: Settings):
+    def __init__(self, texts: Iterable[list[bytes]], s: Settings):
+        """Texts come one by one and are not kept: the driver's memory is small."""
         self.settings = s
         place: dict[bytes, int] = {}
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+        tokens = [np.fromiter((place.setdefault(w, len(place)) for w in t), np.int32, len(t)) for t in texts]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        numbers = (place.setdefault(w, len(place)) for t in texts for w in t)
-        self.tokens = np.fromiter(numbers, np.int32, int(self.sizes.sum()))
+        self.tokens = np.concatenate([*tokens, np.empty(0, np.int32)])
         distinct = list(place)
-        feature, owner = word_features(distinct, s)
-        order = np.argsort(owner, kind="stable")
-        self.features = feature[order].astype(np.int32)
-        self.counts = np.bincount(owner, minlength=len(distinct))
-        self.first = np.cumsum(self.counts) - self.counts
+        del place, tokens
+        features, counts = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for start in range(0, len(distinct), 20_000):
+            part = distinct[start : start + 20_000]
+            feature, owner = word_features(part, s)
+            features.append(feature[np.argsort(owner, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owner, minlength=len(part)).astype(np.int32))
+        self.features, self.counts = np.concatenate(features), np.concatenate(counts)
+        self.first = np.cumsum(self.counts, dtype=np.int64) - self.counts
         self.hashes = word_hashes(distinct) if s.pairs else None
 
     def word_pulls(self, pulls: np.ndarray) -> np.ndarray:
         """Mean pull of each token's features."""
-        return (np.add.reduceat(pulls[self.features], self.first) / self.counts)[self.tokens]
+        return (np.add.reduceat(pulls.astype(np.float32)[self.features], self.first) / self.counts)[self.tokens]
 
     def bags(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(feature, weight, row) of runs of tokens; the weights of a run sum to 1.
