@@ -49,6 +49,12 @@ def discard(frame: DataFrame) -> None:
             path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove all work tables of this application; results read before are gone with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "llm"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_text(column: str) -> Column:
     """An identifier as text; a missing one is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -127,14 +127,6 @@ def test_katz(spark, sf_dir):
     assert again == {(r.doc_id, round(r.score, 6)) for r in rows}
 
 
-def test_katz_chunks(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b") for i in range(50)], "doc_id long, text string")
-    want = {(r.doc_id, round(r.score, 9)) for r in katz.score_texts(docs).collect()}
-    whole = katz._chunks
-    monkeypatch.setattr(katz, "_chunks", lambda b, t, o: ((h[i : i + 7], r[i : i + 7]) for h, r in whole(b, t, o) for i in range(0, len(h), 7)))
-    assert {(r.doc_id, round(r.score, 9)) for r in katz.score_texts(docs).collect()} == want
-
-
 def test_word_edits(spark):
     """Random lines over few words: every line against every earlier one."""
     random_ = random.Random(3)
