@@ -57,8 +57,9 @@ def _near_candidates(lines: DataFrame) -> DataFrame:
         return [F.xxhash64(F.lit(side), m, part) for side, part in (("first", first), ("last", last))]
 
     keys = F.array_distinct(F.array(*ends(n), *ends(n - 1)))
-    keyed = lines.select("k", _words(F.col("line")).alias("w")).where(n >= LEAST_WORDS - 1)
-    keyed = stored(keyed.select("k", F.explode(keys).alias("key")), "line-halves")
+    # no filter on the words: it would move below and split every line once more
+    keyed = lines.select("k", _words(F.col("line")).alias("w"))
+    keyed = stored(keyed.select("k", F.explode(F.when(n >= LEAST_WORDS - 1, keys)).alias("key")), "line-halves")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(shared, "key").select("k").distinct()
 
