@@ -29,11 +29,11 @@ from pagetally.llm.common import discard, held_out, id_text, stored, texts, word
 
 FOLDS, FOLD = 7, 2  # the fold that is never learned from
 CUTOFF = 5  # larger counts are not discounted
-ROUNDS = 3  # contexts are dealt with in so many rounds, one after the other, to use less disk
-CHUNK_TOKENS = 1_000_000
+ROUNDS = 3  # contexts are evaluated in so many rounds, one after the other, to use less disk
+CHUNK_TOKENS = 700_000
 CHUNK_DOCS = 65_000
 _START, _END = b" ", b""  # never words
-_ROLE = 0x5851F42D4C957F2D  # turns a word's key into its key as a context
+_START_HASH = np.uint64(xxhash.xxh3_64_intdigest(_START))
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: XXH64
 
@@ -56,28 +56,23 @@ def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _hashed(right, _hashed(left, np.full(len(left), 42, np.uint64)))
 
 
-class _Hasher:
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+class _Hashes(dict):
+    """Hash of each word, kept once it was asked for."""
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Start, words, end, as hashes."""
-        if len(self.seen) > 500_000:
-            self.seen = {}
-        seen, word = self.seen, [_START, *words(text), _END]
-        for w in word:
-            if w not in seen:
-                seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, word), np.uint64, len(word))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        return self.setdefault(word, xxhash.xxh3_64_intdigest(word))
 
 
 def _chunks(batches, text_col: str, others: list[str]):
     """(hashes of each document, other columns of each) for chunks of whole documents."""
-    hasher, held, rows, tokens = _Hasher(), [], [], 0
+    hashes, held, rows, tokens = _Hashes(), [], [], 0
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in others]
         for i, text in enumerate(texts(batch, text_col)):
-            held.append(hasher(text))
+            word = [_START, *words(text), _END]
+            held.append(np.fromiter(map(hashes.__getitem__, word), np.uint64, len(word)))
             rows.append(tuple(c[i] for c in columns))
             tokens += len(held[-1])
             if tokens >= CHUNK_TOKENS or len(held) >= CHUNK_DOCS:
@@ -93,17 +88,16 @@ def _neighbours(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return left, right, np.repeat(np.arange(len(held)), [len(h) - 1 for h in held])
 
 
-def pair_counts(texts_: DataFrame, text_col: str, rounds: int, round_no: int) -> DataFrame:
-    """(h1, h2, c) of one round's contexts; equal pairs of a chunk are added up before the shuffle."""
+def pair_counts(texts_: DataFrame, text_col: str) -> DataFrame:
+    """(h1, h2, c); equal pairs of a chunk are added up before the shuffle."""
 
     def scan(batches):
         for held, _ in _chunks(batches, text_col, []):
             left, right, _ = _neighbours(held)
-            own = left % np.uint64(rounds) == round_no
-            left, right = left[own], right[own]
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(left)])
+            key = pair_key(left, right)
+            order = np.argsort(key)
+            key, left, right = key[order], left[order], right[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             count = np.diff(np.append(first, len(left)))
             columns = [pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(count)]
             yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "n"])
@@ -134,12 +128,9 @@ def _discounted(c: Column, factors: list[float]) -> Column:
     return value
 
 
-def _count_of_counts(frames: list[DataFrame], cutoff: int) -> dict[int, int]:
-    found: dict[int, int] = {}
-    for frame in frames:
-        for row in frame.where(F.col("c") <= cutoff + 1).groupBy("c").count().collect():
-            found[row["c"]] = found.get(row["c"], 0) + row["count"]
-    return found
+def _count_of_counts(frame: DataFrame, cutoff: int) -> dict[int, int]:
+    rows = frame.where(F.col("c") <= cutoff + 1).groupBy("c").count().collect()
+    return {row["c"]: row["count"] for row in rows}
 
 
 def _asked(docs: DataFrame, text_col: str, keys, columns: list[str]) -> DataFrame:
@@ -157,7 +148,7 @@ def _asked(docs: DataFrame, text_col: str, keys, columns: list[str]) -> DataFram
         for number, (held, rows) in enumerate(_chunks(batches, text_col, columns)):
             chunk = place + number
             key, doc = keys(*_neighbours(held))
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], doc[order].astype(np.uint16)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             ends = pa.py_buffer((np.append(first, len(key)) * 2).astype(np.int32).tobytes())
@@ -177,62 +168,100 @@ def _asked(docs: DataFrame, text_col: str, keys, columns: list[str]) -> DataFram
     return docs.select(text_col, *columns).mapInArrow(scan, f"chunk long, key long, who binary, doc int{fields}, n_tokens long")
 
 
+def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values in a row, size of each) of a binary column."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, np.diff(ends)
+
+
 def _summed(asked: DataFrame, values: DataFrame, sums: list[str], columns: list[str]) -> DataFrame:
     """For each document its columns, n_tokens and the sums of its keys' values.
 
-    ``values`` has key and the columns ``sums``; keys it lacks add nothing.
+    ``values`` has key and the columns ``sums``; keys it lacks add nothing. Tasks add up
+    what they have of each chunk and send one row for it, with the numbers and sums of
+    its documents; then each chunk's rows meet, and it is a bounded number of documents.
     """
     joined = asked.join(values, "key", "left").where(F.col("doc").isNotNull() | F.col(sums[0]).isNotNull()).drop("key")
     kinds = [to_arrow_type(asked.schema[c].dataType) for c in columns]
-    names = ["chunk", "doc", *columns, "n_tokens", *sums]
+    fixed = ["chunk", "who", "doc", *columns, "n_tokens"]
+    names = [*fixed, *sums]
 
     def add(batches):
         held, size = [], 0
 
-        def flush():
+        def rows():
             key = np.concatenate([h[0] for h in held])
             distinct, inverse = np.unique(key, return_inverse=True)
             found = [np.bincount(inverse, np.concatenate([h[1][i] for h in held]), len(distinct)) for i in range(len(sums))]
-            return distinct, found
-
-        def rows(distinct, found):
-            none = [pa.nulls(len(distinct), kind) for kind in (*kinds, pa.int64())]
-            chunk, doc = pa.array(distinct[:, 0]), pa.array(distinct[:, 1].astype(np.int32))
-            return pa.RecordBatch.from_arrays([chunk, doc, *none, *map(pa.array, found)], names)
+            chunk, doc = distinct >> 16, (distinct & 0xFFFF).astype(np.uint16)
+            first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)])
+            cuts = list(zip(first, np.append(first[1:], len(chunk)), strict=True))
+            who = pa.array([doc[a:b].tobytes() for a, b in cuts], pa.binary())
+            none = [pa.nulls(len(cuts), kind) for kind in (pa.int32(), *kinds, pa.int64())]
+            added = [pa.array([f[a:b].tobytes() for a, b in cuts], pa.binary()) for f in found]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[first]), who, *none, *added], names)
 
         for batch in batches:
-            own = np.flatnonzero(batch.column("doc").is_valid().to_numpy(zero_copy_only=False))
-            if len(own):
-                part = batch.take(pa.array(own))
-                zeros = [pa.array(np.zeros(len(own)))] * len(sums)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[: -len(sums)]), *zeros], names)
-            asks = np.flatnonzero(batch.column("who").is_valid().to_numpy(zero_copy_only=False))
-            if not len(asks):
+            is_doc = batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+            if is_doc.any():
+                part = batch.take(pa.array(np.flatnonzero(is_doc)))
+                none = [pa.nulls(part.num_rows, pa.binary())] * len(sums)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in fixed), *none], names)
+                batch = batch.take(pa.array(np.flatnonzero(~is_doc)))
+            if not batch.num_rows:
                 continue
-            part = batch.take(pa.array(asks))
-            blobs = part.column("who").to_pylist()
-            doc = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-            times = np.array([len(b) // 2 for b in blobs])
-            chunk = np.repeat(part.column("chunk").to_numpy(), times)
-            values_ = [np.repeat(part.column(n).to_numpy(), times) for n in sums]
-            # chunks are numbered by task and place: 16 bits more for the document
-            held.append(((chunk << 16) | doc, values_))
-            size += len(doc)
-            if size > 1_000_000:
-                key, found = flush()
-                held, size = [(key, found)], len(key)
-                if size > 500_000:
-                    yield rows(np.stack([key >> 16, key & 0xFFFF], 1), found)
-                    held, size = [], 0
+            raw, sizes = _blobs(batch.column("who"))
+            times = sizes // 2
+            # chunks are numbered by task and place, documents by 16 bits more
+            key = (np.repeat(batch.column("chunk").to_numpy(), times) << 16) | raw.view(np.uint16).astype(np.int64)
+            held.append((key, [np.repeat(batch.column(n).to_numpy(), times) for n in sums]))
+            size += len(key)
+            if size > 1_500_000:
+                yield rows()
+                held, size = [], 0
         if held:
-            key, found = flush()
-            yield rows(np.stack([key >> 16, key & 0xFFFF], 1), found)
+            yield rows()
 
     fields = "".join(f", `{c}` {asked.schema[c].dataType.simpleString()}" for c in columns)
-    schema = f"chunk long, doc int{fields}, n_tokens long" + "".join(f", {n} double" for n in sums)
-    parts = joined.mapInArrow(add, schema)
-    own = [F.max(c).alias(c) for c in (*columns, "n_tokens")]
-    return parts.groupBy("chunk", "doc").agg(*own, *(F.sum(n).alias(n) for n in sums)).drop("chunk", "doc")
+    schema = f"chunk long, who binary, doc int{fields}, n_tokens long" + "".join(f", {n} binary" for n in sums)
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = joined.mapInArrow(add, schema).repartition(tasks, "chunk").sortWithinPartitions("chunk")
+
+    def total(batches):
+        now, totals, docs = None, None, []
+
+        def rows():
+            own = pa.Table.from_batches(docs)
+            at = own.column("doc").to_numpy()
+            found = [pa.array(totals[i][at]) for i in range(len(sums))]
+            kept = [own.column(n).combine_chunks() for n in (*columns, "n_tokens")]
+            return pa.RecordBatch.from_arrays([*kept, *found], [*columns, "n_tokens", *sums])
+
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    if docs:
+                        yield rows()
+                    now, totals, docs = chunk[a], np.zeros((len(sums), 1 << 16)), []
+                piece = batch.slice(a, b - a)
+                is_doc = piece.column("doc").is_valid().to_numpy(zero_copy_only=False)
+                if is_doc.any():
+                    docs.append(piece.take(pa.array(np.flatnonzero(is_doc))))
+                for i in np.flatnonzero(~is_doc):
+                    at = np.frombuffer(piece.column("who")[i].as_py(), np.uint16)
+                    for j, n in enumerate(sums):
+                        totals[j][at] += np.frombuffer(piece.column(n)[i].as_py())
+        if docs:
+            yield rows()
+
+    out = "".join(f"`{c}` {asked.schema[c].dataType.simpleString()}, " for c in columns)
+    return parts.mapInArrow(total, f"{out}n_tokens long" + "".join(f", {n} double" for n in sums))
 
 
 def _context_weights(pairs: DataFrame) -> DataFrame:
@@ -249,6 +278,10 @@ def _context_weights(pairs: DataFrame) -> DataFrame:
     return sums.select("h1", scale.alias("scale"), F.log10(left / F.greatest(1 - F.col("seen1"), F.lit(1e-300))).alias("log_a"))
 
 
+def _round_of(context: Column, rounds: int) -> Column:
+    return context.bitwiseAND(F.lit(0xFFFF)) % rounds
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: int = CUTOFF, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -267,14 +300,11 @@ def score_texts(
     held = F.coalesce(held_out(id_col, FOLDS, FOLD), F.lit(False))
     docs = docs.select(F.col(id_col).alias("id"), held.alias("held"), row_key.alias("row_key"), F.col(text_col).alias("text"))
     train = docs.where(~F.col("held"))
-    pairs = [stored(pair_counts(train, "text", rounds, r), f"pairs-{r}") for r in range(rounds)]
-    every = pairs[0]
-    for more in pairs[1:]:
-        every = every.unionByName(more)
-    counts = stored(every.groupBy(F.col("h2").alias("h")).agg(F.sum("c").alias("c")), "word-counts")
+    pairs = stored(pair_counts(train, "text"), "pairs")
+    counts = stored(pairs.groupBy(F.col("h2").alias("h")).agg(F.sum("c").alias("c")), "word-counts")
     size = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     n, v = size.n or 0, size.v
-    singles = _count_of_counts([counts], cutoff)
+    singles = _count_of_counts(counts, cutoff)
     factors, pair_factors = discounts(singles, cutoff), discounts(_count_of_counts(pairs, cutoff), cutoff)
     freed = sum(singles.get(r, 0) * r * (1 - d) for r, d in enumerate(factors, 1))
     whole, freed = (n, freed) if freed > 0 else (n + 1, 1.0)
@@ -289,26 +319,33 @@ def score_texts(
     answers = known.select(F.col("h").alias("key"), F.log10("p1").alias("score"), base.alias("base"), F.lit(1.0).alias("known"))
     sums = []
     for r in range(rounds):
-        weighed = pairs[r].withColumn("w", _discounted(F.col("c"), pair_factors)).join(known.select(F.col("h").alias("h2"), "p1"), "h2")
+        own = pairs.where(_round_of(F.col("h1"), rounds) == r)
+        weighed = own.withColumn("w", _discounted(F.col("c"), pair_factors)).join(known.select(F.col("h").alias("h2"), "p1"), "h2")
         seen = stored(weighed, f"seen-pairs-{r}")
-        discard(pairs[r])
+        if r == rounds - 1:
+            discard(pairs)
         contexts = stored(_context_weights(seen), f"contexts-{r}")
         more = F.log10(F.col("w") * F.col("scale")) - F.col("log_a") - F.log10("p1")
         steps = stored(seen.join(contexts, "h1").select(F.xxhash64("h1", "h2").alias("key"), more.alias("score")), f"steps-{r}")
         discard(seen)
 
         def pairs_of(left, right, doc, r=r):
-            own = left % np.uint64(rounds) == r
+            own = (left & np.uint64(0xFFFF)) % np.uint64(rounds) == r
             return pair_key(left[own], right[own]), doc[own]
 
         asked = _asked(docs, "text", pairs_of, ["row_key"])
         sums.append(stored(_summed(asked, steps, ["score"], ["row_key"]).groupBy("row_key").agg(F.max("score").alias("more")), f"pair-scores-{r}"))
         discard(steps)
-        weights = contexts.select(F.col("h1").bitwiseXOR(F.lit(_ROLE)).alias("key"), F.col("log_a").alias("score"))
+        weights = contexts.select(F.col("h1").alias("key"), F.col("log_a").alias("score"))
         answers = answers.unionByName(weights.select("key", "score", zero.alias("base"), zero.alias("known")))
 
+    # every word is a token and a context once each time it stands; the start is a context
+    # only and the end a token only, so one key serves both roles
+    answers = answers.groupBy("key").agg(*(F.sum(c).alias(c) for c in values))
+
     def words_of(left, right, doc):
-        return np.concatenate([right, left ^ np.uint64(_ROLE)]), np.concatenate([doc, doc])
+        start = left == _START_HASH
+        return np.concatenate([right, left[start]]), np.concatenate([doc, doc[start]])
 
     own = ["id", "held", "row_key"]
     single = stored(_summed(_asked(docs, "text", words_of, own), answers, values, own), "word-scores")
