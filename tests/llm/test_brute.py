@@ -176,6 +176,44 @@ def test_passages(spark):
     assert left[9] == texts[9][:100] + texts[9][160:] and left[3] == texts[3]
 
 
+def test_passages_apart(spark):
+    """Two exact passages of the same two documents, with unlike words between, are both found."""
+    random_ = random.Random(8)
+    word = [f"w{i}" for i in range(50_000)]
+    rows, want = [], set()
+    for n, (size, gap) in enumerate([(60, 31), (60, 100), (60, 400), (100, 51), (100, 400)]):
+        one, two = random_.choices(word, k=size), random_.choices(word, k=size)
+        for i in (2 * n, 2 * n + 1):
+            rows.append((i, " ".join([*random_.choices(word, k=70), *one, *random_.choices(word, k=gap), *two, f"end{i}"])))
+        want |= {(2 * n + 1, start, size, 2 * n, start, size, 1.0) for start in (70, 70 + size + gap)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in passages.repeated_passages(docs).collect()} == want
+
+
+def test_segments_are_all_similar_parts():
+    """Every part between two matches that is similar enough is covered, and nothing else is told."""
+    random_ = random.Random(9)
+    for _ in range(300):
+        a, b, at, bt = [], [], [], []
+        for n in range(random_.randint(2, 9)):
+            at.append(len(a))
+            bt.append(len(b))
+            run = [f"{n}.{i}" for i in range(random_.randint(5, 15))]
+            a += run + [f"a{n}.{i}" for i in range(random_.choice([0, 0, 1, 2, 6, 20]))]
+            b += run + [f"b{n}.{i}" for i in range(random_.choice([0, 0, 1, 2, 6, 20]))]
+        found = chains.segments(a, b, at, bt, 5, 20, 0.8)
+        covered = set()
+        for a0, a1, b0, b1, same in found:
+            assert min(a1 - a0, b1 - b0) >= 20 and same >= 0.8 - 1e-6
+            assert chains.edits(a[a0:a1], b[b0:b1]) <= (1 - same) * max(a1 - a0, b1 - b0) + 1e-6
+            covered |= set(range(a0, a1))
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                x, y = a[at[i] : at[j] + 5], b[bt[i] : bt[j] + 5]
+                if min(len(x), len(y)) >= 20 and 1 - chains.edits(x, y) / max(len(x), len(y)) >= 0.8:
+                    assert set(range(at[i], at[j] + 5)) <= covered
+
+
 def test_repeated_windows_are_covered(spark, sf_dir):
     docs = {r.doc_id: r.text.encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
