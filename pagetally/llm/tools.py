@@ -78,7 +78,7 @@ def _read(arguments: str | None, name: str | None, schemas: dict[str, dict]) ->
     except ValueError:
         return None, "arguments: not JSON", []
     if name not in schemas:
-        return canonical(value), "unknown tool", []
+        return canonical(value), "unknown tool", sorted(set(references(value)))
     return canonical(value), problem(value, schemas[name]), sorted(set(references(value)))
 
 

@@ -178,6 +178,34 @@ def test_tools(spark):
     assert tools.link_calls(calls.limit(0), results, schemas).count() == 0
 
 
+def test_unknown_tools_are_ordered(spark):
+    """A tool without schema comes after the calls it uses too, and can be in a circle."""
+    schemas = {"f": {"type": "object"}}
+    calls = spark.createDataFrame(
+        [
+            (1, 1, 0, "a", "f", "{}", 0),
+            (1, 2, 0, "b", "f", '{"x": {"$call": "a"}}', 0),
+            (1, 3, 0, "c", "new", '{"x": [{"$call": "b"}, {"$call": "b"}]}', 0),
+            (1, 4, 0, "d", "f", '{"x": {"$call": "c"}}', 0),
+            (1, 5, 0, "e", "new", '{"x": {"$call": "e"}}', 0),
+            (1, 6, 0, "g", "f", '{"x": {"$call": "e"}}', 0),
+            (1, 7, 0, "h", "new", '{"x": {"$call": "nobody"}}', 0),
+        ],
+        CALLS,
+    )
+    results = spark.createDataFrame([(1, 9, i, "r", "") for i in "abcdegh"], RESULTS)
+    rows = {r.call_id: (r.level, r.status, r.detail) for r in tools.link_calls(calls, results, schemas).collect()}
+    assert rows == {
+        "a": (0, "ok", None),
+        "b": (1, "ok", None),
+        "c": (2, "invalid", "unknown tool"),
+        "d": (3, "ok", None),
+        "e": (None, "circular", None),
+        "g": (None, "circular", None),
+        "h": (0, "invalid", "unknown tool"),
+    }
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs, sf_dir):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for start in (odd_docs, no_docs):
