@@ -190,6 +190,23 @@ def test_passages_apart(spark):
     assert {tuple(r) for r in passages.repeated_passages(docs).collect()} == want
 
 
+def test_passages_seen_in_pieces(spark):
+    """Passages whose pieces were first seen in other documents, one of them with a third copy of its middle."""
+    random_ = random.Random(10)
+    word = [f"w{i}" for i in range(50_000)]
+    fill = lambda: random_.choices(word, k=50)
+    one, two, three = (random_.choices(word, k=n) for n in (60, 60, 300))
+    middle = [fill() + two[5:35] + fill(), fill() + two[:30] + fill(), fill() + two[30:] + fill()]
+    stock = [fill() + three[i : i + 30] + fill() for i in range(0, 300, 30)]
+    texts = [fill() + one[:30] + fill(), fill() + one[30:] + fill(), *middle, *stock]
+    for part in (one, two, three):
+        texts += [fill() + part + fill(), fill() + part + fill()]
+    n = len(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(n - 5, 50, 60, n - 6, 50, 60, 1.0), (n - 3, 50, 60, n - 4, 50, 60, 1.0), (n - 1, 50, 300, n - 2, 50, 300, 1.0)}
+
+
 def test_segments_are_all_similar_parts():
     """Every part between two matches that is similar enough is covered, and nothing else is told."""
     random_ = random.Random(9)
