@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.llm.bktree import Forest
+from pagetally.llm.bktree import Forest, distances
 from pagetally.llm.common import components, stored, texts, words
 from pagetally.llm.components import component_roots
 
@@ -178,6 +178,8 @@ def near_duplicates(
 
 WIDE = 4  # 64-bit words of a wide fingerprint
 SHARDS = 8  # least shingle hashes that name a document's shards
+SLACK = 4.0  # standard deviations of the fingerprint distance that a search for candidates allows
+TILE_SHINGLES = 1_000_000  # of the sets in one part of a group of candidates
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(1, SHARDS + WIDE + 1)], np.uint64)
 
 
@@ -186,16 +188,23 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _ODD[0]
 
 
-def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
-    """Wide SimHash of the set of word shingles, and for each shard number the least hash."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The set of word shingles as rising hashes; a shorter text is one shingle."""
     word = words(text)
     if not word:
-        return bytes(8 * WIDE), [0] * SHARDS
+        return np.empty(0, np.uint64)
     if len(word) < shingle:
         grams = [b" ".join(word)]
     else:
         grams = map(b" ".join, zip(*(word[i:] for i in range(shingle)), strict=False))
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams), np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams), np.uint64))
+
+
+def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int], int]:
+    """Wide SimHash of the set of word shingles, for each shard number the least hash, and the set's size."""
+    hashes = shingles(text, shingle)
+    if not len(hashes):
+        return bytes(8 * WIDE), [0] * SHARDS, 0
     fp = []
     for k in range(WIDE):
         bits = np.zeros(64, np.int64)
@@ -204,7 +213,8 @@ def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
             part = mixed[start : start + (1 << 16)]
             bits += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
         fp.append(np.packbits(2 * bits > len(hashes)).tobytes())
-    return b"".join(fp), [int(x) for x in np.array([_mixed(hashes, k).min() for k in range(SHARDS)]).view(np.int64)]
+    least = np.array([_mixed(hashes, k).min() for k in range(SHARDS)]).view(np.int64)
+    return b"".join(fp), [int(x) for x in least], len(hashes)
 
 
 def radius_for(similarity: float, bits: int = 64 * WIDE, slack: float = 1.0) -> int:
@@ -213,13 +223,72 @@ def radius_for(similarity: float, bits: int = 64 * WIDE, slack: float = 1.0) ->
     return int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
 
 
+def _similar(node: list[int], fp: np.ndarray, sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, radius: int, similarity: float):
+    """Links (node, node) that connect all pairs of a tile with that Jaccard similarity, a pair already connected left out."""
+    size = np.array([len(x) for x in sets])
+    at = np.flatnonzero(member)
+    label = np.arange(len(node))
+    out = []
+    for q in np.flatnonzero(query):
+        distance = distances(fp[at], fp[q][None])
+        fit = (distance <= radius) & (np.minimum(size[at], size[q]) >= similarity * np.maximum(size[at], size[q]) - 1e-9)
+        if member[q]:
+            fit &= at < q
+        for n in at[fit][np.argsort(distance[fit], kind="stable")]:
+            if label[n] == label[q]:
+                continue
+            shared = len(np.intersect1d(sets[n], sets[q], assume_unique=True))
+            if shared >= similarity * (size[n] + size[q] - shared) - 1e-9:
+                label[label == label[n]] = label[q]
+                out.append((node[q], node[n]))
+    return out
+
+
+def similar_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect the nodes whose sets have that Jaccard similarity, within groups.
+
+    ``sets`` has root (the group), parts (of the group), node, fp and hashes (binary, rising).
+    Each pair of parts of a group is a tile, as in ``shard_links``; the sets decide.
+    """
+    cut = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = cut.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "hashes"
+    )
+    key = ["root", "i", "j"]
+
+    def search(batches):
+        def run(rows):
+            fp = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
+            part = np.array([r[0] for r in rows])
+            hashes = [np.frombuffer(r[3], np.uint64) for r in rows]
+            found = _similar([r[1] for r in rows], fp, hashes, part == now[1], part == now[2], radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            names = (*key, "part", "node", "fp", "hashes")
+            for *tile, part, node, fp, hashes in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if tile != now:
+                    if held:
+                        yield run(held)
+                    now, held = tile, []
+                held.append((part, node, fp, hashes))
+        if held:
+            yield run(held)
+
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.repartition(tasks, *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(search, "a long, b long")
+
+
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest identifier.
 
-    Near are texts whose word shingles have a Jaccard similarity of ``similarity`` or more,
-    as far as 256 fingerprint bits tell; groups are what such links connect. Documents that
+    Near are texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or
+    more; groups are what such links connect. Fingerprints only find candidates, within
+    ``SLACK`` standard deviations of what that similarity gives; the sets of shingles decide. Documents that
     share the least of their shingle hashes, under one of ``SHARDS`` hash functions, form a
     shard and its BK-trees: of texts with similarity 0.8, less than one pair in a hundred
     thousand shares none. Texts equal but for case (A-Z) and white space are one node.
@@ -234,23 +303,38 @@ def keep_one(
 
     def scan(batches):
         for batch in batches:
-            digests, fps, shards = [], [], []
+            digests, fps, shards, sizes = [], [], [], []
             for text in texts(batch, text_col):
-                fp, shard = sketch(text, shingle)
+                fp, shard, size = sketch(text, shingle)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words(text))))
                 fps.append(fp)
                 shards.append(shard)
+                sizes.append(size)
             columns = [batch.column(id_col), batch.column("_row_key"), pa.array(digests, pa.binary())]
-            columns += [pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row_key", "digest", "fp", "shards"])
+            columns += [pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row_key", "digest", "fp", "shards", "size"])
 
-    schema = f"id {id_type}, row_key string, digest binary, fp binary, shards array<bigint>"
+    schema = f"id {id_type}, row_key string, digest binary, fp binary, shards array<bigint>, size long"
     rows = stored(keyed.select(id_col, text_col, "_row_key").mapInArrow(scan, schema), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row_key")).alias("first")
-    nodes = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("shards").alias("shards"))
+    nodes = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("shards").alias("shards"), F.min("size").alias("size"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
     keyed_nodes = nodes.select("node", "fp", F.posexplode("shards").alias("shard_no", "shard"))
-    roots = component_roots(shard_links(keyed_nodes, radius_for(similarity)))
+    radius = radius_for(similarity, slack=SLACK)
+    near = nodes.drop("shards").join(component_roots(shard_links(keyed_nodes, radius)), "node")
+    groups = near.groupBy("root").agg(F.expr(f"cast(ceil(sum(size) / {TILE_SHINGLES}) as int)").alias("parts"))
+    near = near.join(groups, "root").select(F.col("first.row_key").alias("_row_key"), "root", "parts", "node", "fp")
+
+    def collect(batches):
+        for batch in batches:
+            sets = pa.array([shingles(t, shingle).tobytes() for t in texts(batch, "_text")], pa.binary())
+            names = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), sets], [*names, "hashes"])
+
+    whole = keyed.select("_row_key", F.col(text_col).alias("_text")).join(near, "_row_key").select("root", "parts", "node", "fp", "_text")
+    sets = whole.mapInArrow(collect, "root long, parts int, node long, fp binary, hashes binary").dropDuplicates(["node"])
+    links_ = similar_links(stored(sets, "shingle-sets"), radius, similarity)
+    roots = component_roots(links_)
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     winners = rooted.agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_row_key"))
     kept = keyed.join(winners, "_row_key", "left_semi").dropDuplicates(["_row_key"])

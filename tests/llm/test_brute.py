@@ -80,6 +80,42 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(40))
 
 
+def test_near_copies_at_the_bound(spark):
+    """Jaccard similarity of the five-word shingles decides, on both sides of 0.8, for many pairs."""
+    random_ = random.Random(11)
+    word = [f"w{i}" for i in range(100_000)]
+    rows, gone = [], set()
+    for share in (0.70, 0.75, 0.78, 0.80, 0.82, 0.85):
+        for _ in range(40):
+            # a text of n shingles and one of its first n * share: the sets' similarity is share
+            text = random_.sample(word, 400 + 4)
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: round(400 * share) + 4]))]
+            if share >= 0.8:
+                gone.add(len(rows) - 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert {i for i, _ in rows} - left == gone
+
+
+def test_similar_links_in_parts(spark):
+    """The same groups however a group of candidates is cut."""
+    from pagetally.llm.components import component_roots
+
+    random_ = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[: random_.randint(40, 100)]).encode() for _ in range(40)]
+    sets = [simhash.shingles(t, 5) for t in texts]
+    pairs = [(a, b) for a in range(40) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.9 * len(np.union1d(sets[a], sets[b]))]
+    from pagetally.llm.common import components
+
+    label = components(40, *np.array(pairs).T)
+    for parts in (1, 5):
+        rows = [(0, parts, i, bytes(32), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+        frame = spark.createDataFrame(rows, "root long, parts int, node long, fp binary, hashes binary")
+        got = {r.node: r.root for r in component_roots(simhash.similar_links(frame, 60, 0.9)).collect()}
+        assert [got.get(i, i) for i in range(40)] == label.tolist()
+
+
 def test_katz(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: [" ", *(w.decode() for w in r.text.encode().lower().split()), ""] for r in docs.collect()}
