@@ -7,7 +7,21 @@ import uuid
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagetally.llm import decontaminate, katz, lines, mixing, passages, quality, simhash, tools, topk, toxicity
+from pagetally.llm import (
+    decontaminate,
+    filter_audit,
+    katz,
+    lines,
+    mixing,
+    passages,
+    quality,
+    shards,
+    simhash,
+    tools,
+    topk,
+    toxicity,
+    vector_codes,
+)
 from pagetally.llm.common import table
 
 
@@ -92,13 +106,52 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
+def op11_shards(spark, sf_dir):
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        "doc_id",
+        shards.text_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_katz, op4_decontaminate, op5_mixture, op6_quality, op7_lines, op8_tools, op9_passages, op10_toxicity, pipeline)}
+def op12_codes(spark, sf_dir):
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+    rows = vector_codes.with_group_error(found.rows, "label", name="label_error")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
 
 
+def op13_filters(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk,
+        op2_simhash,
+        op3_katz,
+        op4_decontaminate,
+        op5_mixture,
+        op6_quality,
+        op7_lines,
+        op8_tools,
+        op9_passages,
+        op10_toxicity,
+        op11_shards,
+        op12_codes,
+        op13_filters,
+        pipeline,
+    )
+}
 
 def _plain(text: str) -> str:
     return text.replace("{conversations}", "conversations").replace(" as string", " as varchar")
@@ -214,4 +267,107 @@ from told""".replace("CALLS", _plain(TOOL_CALLS)).replace(
     "RESULTS", _plain(TOOL_RESULTS)
 )
 
-SQL = {"op1_topk": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_mixture": OP5_SQL, "op7_lines": OP7_SQL, "op8_tools": OP8_SQL}
+# A row lies in the shard that holds the middle of its bytes when all rows are laid end to end.
+OP11_SQL = """
+with bits as (
+  select cast(i as bigint) as i,
+    list_reduce([cast(i as bigint)] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+  from range(256) r(i)),
+tab as (select list(c order by i) as tab from bits),
+d as (
+  select doc_id, coalesce(text, '') as t, octet_length(encode(coalesce(text, ''))) + 8 as size,
+    md5(coalesce(text, '')) || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 16) as k
+  from documents),
+placed as (
+  select *, sum(size) over (order by k rows unbounded preceding) - size as below, sum(size) over () as total
+  from d),
+dealt as (select *, cast(floor(cast(24 * (2 * below + size) as bigint) // cast(2 * total as bigint)) as integer) as shard from placed)
+select doc_id, cast(size as bigint) as size,
+  xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: cast('0x' || b as bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
+  'bytes' as law, shard, row_number() over (partition by shard order by k) - 1 as slot, cast(null as integer) as grown_shard
+from dealt, tab"""
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    def assigned(books: str) -> str:
+        return f"""select r, p, any_value(v) as v, min(struct_pack(d := d, j := j)) as best from (
+          select c.r, c.p, c.v, b.j, list_sum(list_transform(list_zip(c.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d
+          from cuts c join {books} b on c.p = b.p) group by r, p"""
+
+    steps = [
+        f"""kept as (
+      select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label,
+        list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as e
+      from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""cuts as materialized (
+      select r, p, e[len(e) // {parts} * p + 1 : len(e) // {parts} * (p + 1)] as v from kept, range({parts}) t(p))""",
+        f"b0 as materialized (select p, r - 1 as j, v from cuts where r <= {entries})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} as materialized ({assigned(f'b{i}')})")
+        steps.append(f"""m{i} as (
+      select p, j, list(mean order by pos) as v from (
+        select p, best.j as j, pos, cast(floor(sum(v[pos]) / count(*)) as bigint) as mean
+        from a{i}, unnest(range(1, len(v) + 1)) t(pos) group by p, best.j, pos) group by p, j)""")
+        steps.append(f"""b{i + 1} as materialized (
+      select b.p, b.j, coalesce(m.v, b.v) as v from b{i} b left join m{i} m on b.p = m.p and b.j = m.j)""")
+    steps.append(f"last as materialized ({assigned(f'b{rounds}')})")
+    steps.append("""coded as (
+      select r, string_agg(lpad(to_hex(best.j), 2, '0'), '' order by p) as code, cast(sum(best.d) as bigint) as error from last group by r)""")
+    steps.append(f"digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, j)) as sha from b{rounds})")
+    return f"""with {", ".join(steps)}
+    select vec_id, lower(code) as code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256
+    from kept join coded using (r), digest"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents),
+marks as (
+  select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+flagged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when d.doc_id > min(d.doc_id) over (partition by t) then 'E' else '' end as fails
+  from d left join marks on d.doc_id = marks.doc_id),
+masks as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from flagged group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+perms as (
+  select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select o, s, substr(o, s, 1) as f, substr(o, 1, s - 1) as earlier from perms, range(1, 6) t(s)),
+rows_ as (
+  select part, o, s, f,
+    sum(n) filter (translate(fails, earlier || f, '') = fails) as kept,
+    sum(n) filter (contains(fails, f) and translate(fails, earlier, '') = fails) as removed,
+    sum(n) filter (contains(fails, f) and translate(fails, earlier, '') <> fails) as redundant,
+    sum(n) filter (fails = f) as unique_fails,
+    sum(good) filter (contains(fails, f) and translate(fails, earlier, '') = fails) as good_lost,
+    sum(toxic) filter (contains(fails, f) and translate(fails, earlier, '') = fails) as toxic_lost
+  from masks, steps group by part, o, s, f)
+select part, o as filter_order, cast(s as integer) as step, cast(coalesce(kept, 0) as bigint) as kept,
+  cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+  cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+  cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(removed) over (partition by part, f), 0) as bigint) as shapley
+from rows_"""
+
+SQL = {
+    "op1_topk": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_mixture": OP5_SQL,
+    "op7_lines": OP7_SQL,
+    "op8_tools": OP8_SQL,
+    "op11_shards": OP11_SQL,
+    "op12_codes": OP12_SQL,
+    "op13_filters": OP13_SQL,
+}
