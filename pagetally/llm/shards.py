@@ -27,9 +27,7 @@ def _histogram(keys: DataFrame, prefixes: list[str]) -> DataFrame:
     named: dict[int, list[str]] = {}
     for prefix in prefixes:
         named.setdefault(len(prefix), []).append(prefix)
-    head = F.coalesce(
-        *[F.when(F.substring("key", 1, n).isin(ps), F.substring("key", 1, n)) if n else F.lit("") for n, ps in named.items()]
-    )
+    head = F.coalesce(*[F.when(F.substring("key", 1, n).isin(ps), F.substring("key", 1, n)) for n, ps in named.items()])
     rows = keys.withColumn("prefix", head).where(F.col("prefix").isNotNull())
     bucket = F.expr(f"substring(key, 1, length(prefix) + {STEP})")
     counted = rows.groupBy("prefix", bucket.alias("bucket")).agg(
