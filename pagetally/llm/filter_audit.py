@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import WORD_GAP
+from pagetally.llm.common import WORD_GAP, stored
 
 MOST_FILTERS = 8  # their orders are 40,320
 
@@ -175,7 +175,8 @@ def audit(
     spark = docs.sparkSession
     told = labels.select(F.col(id_col).alias("id"), *[F.coalesce(c, F.lit(False)).alias(name) for name, c in outcomes.items()])
     told = told.groupBy("id").agg(*[F.max(name).alias(name) for name in outcomes])
-    counts = failures(docs, told, filters, id_col, part_col)
+    # read by every sum below, and at most 2^n rows a part
+    counts = stored(failures(docs, told, filters, id_col, part_col), "filter-failures")
     edges = edge_removals(spark, counts, n, list(outcomes))
     steps = F.broadcast(orders(spark, names))
     rows = edges.join(steps, ["state", "filter"])
