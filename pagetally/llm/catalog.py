@@ -237,7 +237,7 @@ with recursive calls as (CALLS), results as (RESULTS),
 first as (
   select distinct on (conv_id, call_id) *, regexp_extract(arguments, '"c(-?[0-9]+)"', 1) as ref
   from calls where conv_id is not null and turn is not null order by conv_id, call_id, turn, call_no, name, arguments),
-used as (select *, case when ref = '' or name = 'fetch' then null else 'c' || ref end as on_call from first),
+used as (select *, case when ref = '' then null else 'c' || ref end as on_call from first),
 known as (select u.*, t.call_id as target from used u left join first t on u.conv_id = t.conv_id and u.on_call = t.call_id),
 lv as (
   select conv_id, call_id, 0 as level from known where target is null
