@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from pagetally.functions import agents, uri
 from pagetally.model import DIMENSIONS
+from pagetally.operators import agents as agent_rules
 from pagetally.operators import ingest as ing
 from pagetally.operators import lookups as lk
 
@@ -119,6 +120,22 @@ def _agent_table(s, d):
 QUERIES["ingest_agent_table"] = _agent_table
 SQL["ingest_agent_table"] = f"{B}, a as (select *, {AGENTS_SQL} from beacons) select beacon_id, {', '.join(_AGENT)}, bot_agent from a"
 
+_RULED = ("user_agent", "browser", "browser_version", "operating_system", "operating_system_version", "is_bot")
+QUERIES["ingest_agent_rules"] = lambda s, d: agent_rules.agent_columns(
+    fx.frame(s, d, fx.SEEN_AGENTS), fx.frame(s, d, fx.AGENT_RULES)
+).select("beacon_id", *_RULED[:-1], F.col("bot_agent").alias("is_bot"))
+SQL["ingest_agent_rules"] = f"""with seen as ({fx.sql(fx.SEEN_AGENTS)}), rules as ({fx.sql(fx.AGENT_RULES)}),
+  fired as (select a.user_agent, r.*, row_number() over (partition by a.user_agent, kind order by r.position) as n
+    from (select distinct user_agent from seen where user_agent is not null) a join rules r
+    on (literal is null or contains(user_agent, literal))
+      and (pattern is null or case when pattern = '(broken' then false else regexp_matches(user_agent, pattern) end)),
+  told as (select user_agent, kind, family, replace(nullif(regexp_extract(user_agent, version, 1), ''), '_', '.') as v from fired where n = 1)
+  select beacon_id, s.user_agent, b.family as browser, b.v as browser_version, o.family as operating_system,
+    o.v as operating_system_version, x.user_agent is not null as is_bot
+  from seen s left join told b on s.user_agent = b.user_agent and b.kind = 'browser'
+  left join told o on s.user_agent = o.user_agent and o.kind = 'system'
+  left join told x on s.user_agent = x.user_agent and x.kind = 'bot'"""
+
 QUERIES["ingest_paths"] = lambda s, d: ing.cast_beacons(fx.beacons(s, d)).select(
     "beacon_id", "path", F.coalesce("invalid_path", F.lit(False)).alias("invalid_path")
 )
@@ -149,6 +166,21 @@ QUERIES["ingest_referrer_sources"] = lambda s, d: lk.with_referrer_source(
 ).select("beacon_id", "referrer_source")
 SQL["ingest_referrer_sources"] = f"{FULL_SQL} select beacon_id, referrer_source from ingested"
 
+
+def _referrer_paths(s, d):
+    rows = fx.frame(s, d, fx.SEEN_REFERRERS)
+    return lk.with_referrer_source(rows, uri.host(F.col("r")), fx.frame(s, d, fx.PATH_RULES), uri.path(F.col("r")))
+
+
+QUERIES["ingest_referrer_paths"] = _referrer_paths
+SQL["ingest_referrer_paths"] = f"""with seen as ({fx.sql(fx.SEEN_REFERRERS)}), given as ({fx.sql(fx.PATH_RULES)}),
+  rules as (select split_part(host, '/', 1) as domain, rtrim(case when contains(host, '/') then substr(host, instr(host, '/')) else '' end, '/') as prefix,
+    min(source) as source from given group by 1, 2),
+  places as (select distinct r, regexp_extract(r, '^https?://([^/?#]+)', 1) as h, regexp_extract(r, '^https?://[^/?#]+([^?#]*)', 1) as path from seen),
+  ranked as (select r, source, row_number() over (partition by r order by length(domain) desc, length(prefix) desc) as n from places join rules
+    on (h = domain or h like '%.' || domain) and starts_with(rtrim(path, '/') || '/', prefix || '/'))
+  select beacon_id, s.r, source as referrer_source from seen s left join ranked t on s.r = t.r and n = 1"""
+
 QUERIES["ingest_origins"] = lambda s, d: ing.cast_beacons(fx.beacons(s, d)).select("beacon_id", "namespace")
 SQL["ingest_origins"] = f"{B} select beacon_id, {ORIGIN_SQL} as namespace from beacons"
 
@@ -184,6 +216,16 @@ for _name in ("inline", "distinct"):
 QUERIES["ingest_matched_hosts"] = lambda s, d: ing.matched_hosts(ing.cast_beacons(fx.beacons(s, d)), fx.registry(s, d))
 SQL["ingest_matched_hosts"] = f"{FULL_SQL} select i as service_id, namespace from accepted_pairs where namespace is not null"
 
+QUERIES["ingest_matched_hosts_strict"] = lambda s, d: ing.matched_hosts(
+    ing.cast_beacons(fx.beacons(s, d)), fx.registry(s, d), "strict"
+)
+SQL["ingest_matched_hosts_strict"] = rf"""{FULL_SQL},
+  strict as (select service_id, case "type" when 'regex' then case when value not like '*%' then value end
+    when 'exact' then '^' || regexp_replace(value, '([.^$*+?()\[\]{{}}|\\])', '\\\1', 'g') || '$' else '^' || replace(regexp_replace(value, '([.^$+?()\[\]{{}}|\\])', '\\\1', 'g'), '*', '[A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?') || '$' end as p
+    from ({fx.sql(fx.SERVICE_MATCHERS)}))
+  select distinct i as service_id, namespace from cast_rows c where namespace is not null
+  and exists (select 1 from strict m where m.service_id = c.i and regexp_matches(c.namespace, m.p))"""
+
 QUERIES["ingest_allowed_query"] = lambda s, d: fx.beacons(s, d).select("beacon_id", uri.keep_allowed(F.col("q")).alias("q"))
 SQL["ingest_allowed_query"] = f"""{B}, p as (select beacon_id, q, unnest(string_split(regexp_replace(q, '^[?]+', ''), '&')) as x,
     generate_subscripts(string_split(regexp_replace(q, '^[?]+', ''), '&'), 1) as n from beacons),

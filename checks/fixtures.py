@@ -100,6 +100,36 @@ select concat('m', cast(c_custkey as varchar(20))) as matcher_id,
        else concat('^site-', cast(c_custkey as varchar(20)), '[.]') end as value
 from {customer}"""
 
+# every event's user agent, with a system per nation, one of many applications, some robots
+SEEN_AGENTS = """
+select e.event_id as beacon_id, case when e.event_id % 50 = 49 then null else
+  concat('Mozilla/5.0 (X; OS-', n.n_name, ' ', cast(e.event_id % 20 as varchar(20)), '_', cast(e.event_id % 3 as varchar(20)),
+    ') App', cast(e.event_id % 2377 as varchar(20)), '/', cast(e.event_id % 10 as varchar(20)), '.', cast(e.event_id % 4 as varchar(20)),
+    case when e.user_id % 9 = 0 then concat(' FETCH-', cast(e.user_id as varchar(20)), '-x') else '' end) end as user_agent
+from {events} e join {nation} n on e.user_id % 25 = n.n_nationkey"""
+
+# a browser rule per part, one for the rest and one before all others; a system per nation; a robot per supplier
+AGENT_RULES = """
+select 'browser' as kind, cast(p_partkey as int) as "position", concat('App', cast(p_partkey as varchar(20)), '/') as literal,
+  cast(null as varchar(20)) as pattern, p_brand as family, concat('App', cast(p_partkey as varchar(20)), '/([0-9.]+)') as version from {part}
+union all select 'browser', 100000000, null, 'App[0-9]+/', 'Some App', '/([0-9])[.][0-9]*$'
+union all select 'browser', -1, 'App77', null, 'First', null
+union all select 'system', cast(n_nationkey as int), concat('OS-', n_name, ' '), null, n_name, 'OS-[A-Z0-9_]+ ([0-9_]+)' from {nation}
+union all select 'bot', cast(s_suppkey as int), null, concat('(?i)fetch-', cast(s_suppkey as varchar(20)), '-'), s_name, null from {supplier}
+union all select 'bot', 0, null, '(broken', 'never', null"""
+
+# every event's page as a referrer, and rules for some hosts, domains and paths
+SEEN_REFERRERS = f"""
+select e.event_id as beacon_id, p.url as r from {_VISITS.replace("WHERE", "")}"""
+PATH_RULES = """
+select concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+)', 1)) as host,
+  concat('section ', cast(min(page_id) as varchar(20))) as source from {pages} where page_id % 3 = 0 group by 1
+union all select concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+/[0-9]+)', 1), '/'),
+  concat('page ', cast(min(page_id) as varchar(20))) from {pages} where page_id % 7 = 0 group by 1
+union all select regexp_extract(url, '^https?://([^/?#]+)', 1), concat('host ', cast(min(page_id) as varchar(20))) from {pages}
+  where page_id % 5 = 0 group by 1
+union all select 'example.com/en', 'english' union all select 'example.net', 'net' union all select 'example.org/e', 'no whole segment'"""
+
 # small lookup tables joined to the derived data
 SPAM_HOSTS = "select * from (values ('spam-farm.example.org'), ('www.cheap-pills.example.com')) as t(host)"
 ZONES = """select * from (values ('Europe/Paris', 'FR'), ('America/New_York', 'US'),
@@ -109,12 +139,13 @@ SOURCES = """select * from (values ('google.com', 'Google'), ('mail.google.com',
 TERRITORIES = """select * from (values ('FR', 'France'), ('DE', 'Germany'), ('ES', 'Spain'),
   ('US', 'United States')) as t(country_code, name)"""
 
-TABLES = ("events", "pages", "supplier", "customer")
+TABLES = ("events", "pages", "supplier", "customer", "part", "nation")
 
 
 def frame(spark: SparkSession, sf_dir: str, text: str, **given: DataFrame) -> DataFrame:
     """A fixture in Spark; ``given`` frames take the place of tables."""
     used = [name for name in TABLES if "{" + name + "}" in text and name not in given]
+    text = text.replace('"position"', "`position`")
     frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used}
     return spark.sql(text, **frames, **given)
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.functions import agents, clock, uri
+from pagetally.functions import clock, uri
+from pagetally.functions.agents import system_name
 from pagetally.model import DIMENSIONS, PAGE_VIEW_TYPE
+from pagetally.operators import agents
 from pagetally.operators import lookups as lk
 from pagetally.operators.joins import join_on
-from pagetally.operators.registry import Registry, compile_matchers
+from pagetally.operators.registry import Registry, accepts, matcher_candidates
 
 # Texts accepted as a boolean.
 TRUE_TEXTS = ("1", "true")
@@ -54,7 +56,7 @@ def cast_beacons(beacons: DataFrame) -> DataFrame:
         "bot_flag": parse_flag(b),
         "__path": uri.path(p),
         "__scheme": uri.scheme(r),
-        "__bare": uri.path(r),
+        "referrer_path": uri.path(r),
         "referrer_host": uri.host(r),
         "namespace": uri.host(o),
         "service_id": blank_to_null(F.col("i")),
@@ -65,10 +67,10 @@ def cast_beacons(beacons: DataFrame) -> DataFrame:
         "invalid_params": unread | (b.isNotNull() & F.col("bot_flag").isNull()),
         "invalid_path": p.isNotNull() & path.isNull(),
         "path": uri.rooted(path),
-        "referrer": uri.referrer_from(F.col("__scheme"), F.col("referrer_host"), F.col("__bare")),
+        "referrer": uri.referrer_from(F.col("__scheme"), F.col("referrer_host"), F.col("referrer_path")),
     }
     done = beacons.withColumns(fields).withColumns(parts).withColumns(results)
-    return done.drop(*fields, "__path", "__scheme", "__bare")
+    return done.drop(*fields, "__path", "__scheme")
 
 
 def utm_columns(rows: DataFrame) -> DataFrame:
@@ -78,72 +80,48 @@ def utm_columns(rows: DataFrame) -> DataFrame:
     return pairs.withColumns(values).drop("__pairs")
 
 
-def bot_verdict(rows: DataFrame) -> DataFrame:
-    """Whether the user agent is a robot's, by the built-in rules."""
-    # lowered once in a column of its own: several tests read it
-    lowered = rows.withColumn("__lowered", F.lower("user_agent"))
-    return lowered.withColumn("bot_agent", agents.is_bot_name(F.col("__lowered"))).drop("__lowered")
-
-
-def browser_columns(rows: DataFrame) -> DataFrame:
-    """Browser, operating system and their versions, by the built-in rules."""
-    agent = F.col("user_agent")
-    return rows.withColumns(
-        {
-            "browser": agents.browser(agent),
-            "browser_version": agents.browser_version(agent),
-            "operating_system": agents.operating_system(agent),
-            "operating_system_version": agents.operating_system_version(agent),
-        }
-    )
-
-
-def agent_table_columns(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The same columns from a finished table of agents."""
-    names = ("browser", "browser_version", "operating_system", "operating_system_version")
-    values = {**{name: name for name in names}, "is_bot": "bot_agent"}
+def agent_columns(
+    rows: DataFrame, table: DataFrame | None = None, rules: DataFrame | None = None, seen: DataFrame | None = None
+) -> DataFrame:
+    """All columns derived from the user agent, from a finished table of agents or by rules."""
+    if table is None:
+        return agents.agent_columns(rows, rules, seen)
+    values = {**{name: name for name in agents.AGENT_COLUMNS}, "is_bot": "bot_agent"}
     joined = lk.lookup(rows, F.col("user_agent"), table, "user_agent", values)
     return joined.withColumns(
         {
-            "operating_system": agents.system_name(F.col("operating_system")),
+            "operating_system": system_name(F.col("operating_system")),
             "bot_agent": F.coalesce("bot_agent", F.lit(False)),
         }
     )
 
 
-def agent_columns(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """All columns derived from the user agent."""
-    return browser_columns(bot_verdict(rows)) if table is None else agent_table_columns(rows, table)
-
-
 def matched_hosts(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
     """Distinct (site, host) pairs of the rows of which some matcher accepts the host.
 
-    Each pair meets the matchers of its own site. An exact matcher is a plain text
-    test; only the others need their pattern.
+    Host and matchers meet in an equi-join on a piece of text that the matcher needs (see
+    ``registry.indexed_matchers``), so that a site with many hosts and many matchers tests
+    few of its pairs.
     """
     keys = registry.keys
     pairs = rows.where(F.col("service_id").isNotNull() & F.col("namespace").isNotNull())
     pairs = pairs.select(*keys, "namespace").distinct()
-    compiled = compile_matchers(registry.matchers, mode).where(F.col("pattern").isNotNull())
-    compiled = compiled.select(*[F.col(k).alias(f"__{k}") for k in keys], "type", "value", "pattern")
-    host, value = F.col("namespace"), F.col("value")
-    exact = host == value if mode == "strict" else host.contains(value)
-    accepted = F.when(F.col("type") == "exact", exact).otherwise(F.regexp_like(host, F.col("pattern")))
-    for k in keys:
-        accepted = accepted & (F.col(k) == F.col(f"__{k}"))
-    return pairs.join(compiled, accepted, "left_semi")
+    found = matcher_candidates(pairs, registry.matchers, keys, mode).where(accepts(mode))
+    return found.select(*keys, "namespace").distinct()
 
 
-def match_sites(rows: DataFrame, registry: Registry, mode: str = "reference") -> DataFrame:
+def match_sites(
+    rows: DataFrame, registry: Registry, mode: str = "reference", seen: DataFrame | None = None
+) -> DataFrame:
     """Add ``service_found`` and ``host_matched``.
 
     One plan for a registry of any size: every distinct (site, host) pair is tested
     once, and the accepted pairs are joined back. Nothing is written, and no job
-    starts before the result is asked for.
+    starts before the result is asked for. ``seen`` is a frame that has all pairs of ``rows``
+    and takes less work to read.
     """
     keys = registry.keys
-    accepted = matched_hosts(rows, registry, mode).withColumn("host_matched", F.lit(True))
+    accepted = matched_hosts(rows if seen is None else seen, registry, mode).withColumn("host_matched", F.lit(True))
     sites = registry.services.select(*keys).distinct().withColumn("service_found", F.lit(True))
     joined = join_on(join_on(rows, sites, keys), accepted, [*keys, "namespace"])
     return joined.withColumns(
@@ -186,9 +164,11 @@ def ingest(
     rows = cast_beacons(beacons)
     if drop_local:
         rows = rows.where(~F.coalesce(uri.is_local_host(F.col("namespace")), F.lit(False)))
-    rows = bot_verdict(rows) if lookups.agents is None else agent_table_columns(rows, lookups.agents)
+    # Distinct agents, hosts and referrers are all taken from here, before any join.
+    seen = rows
+    rows = agent_columns(rows, lookups.agents, lookups.agent_rules, seen)
     rows = lk.with_spam_flag(rows, F.col("namespace"), lookups.spam_hosts)
-    rows = match_sites(rows, registry, mode)
+    rows = match_sites(rows, registry, mode, seen)
     rows = rows.withColumn("reason", reject_reason())
 
     # Then what describes a page view. A filter on the reason moves below these
@@ -196,9 +176,7 @@ def ingest(
     # halves apart also keeps the generated code of each small enough to compile.
     rows = utm_columns(rows)
     rows = lk.with_country(rows, F.col("z"), lookups.zones)
-    rows = lk.with_referrer_source(rows, F.col("referrer_host"), lookups.sources)
-    if lookups.agents is None:
-        rows = browser_columns(rows)
+    rows = lk.with_referrer_source(rows, F.col("referrer_host"), lookups.sources, F.col("referrer_path"), seen)
     moment = clock.trunc_column("second", F.col("received_at")).alias("timestamp")
     return rows.select(*raw, "service_id", moment, *DIMENSIONS, "reason")
 

@@ -16,14 +16,15 @@ class Lookups:
     """``spam_hosts``: host. ``zones``: zone, country_code. ``sources``: host, source.
 
     ``agents`` (user_agent, browser, browser_version, operating_system,
-    operating_system_version, is_bot) is optional; without it the built-in
-    agent rules are used.
+    operating_system_version, is_bot) is optional; without it every distinct agent is
+    read by ``agent_rules`` (see ``operators.agents``), or by the built-in rules.
     """
 
     spam_hosts: DataFrame
     zones: DataFrame
     sources: DataFrame
     agents: DataFrame | None = None
+    agent_rules: DataFrame | None = None
 
 
 def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str, values: dict[str, str]) -> DataFrame:
@@ -57,23 +58,61 @@ def with_country(rows: DataFrame, zone: Column, zones: DataFrame) -> DataFrame:
 MOST_LABELS = 127
 
 
-def with_referrer_source(rows: DataFrame, host: Column, sources: DataFrame) -> DataFrame:
-    """Source of the longest rule that is the host or a parent domain of it.
+def _head(path: Column, segments: Column) -> Column:
+    """The first segments of a path, each with the slash before it."""
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda part: part != "")
+    kept = F.slice(parts, F.lit(1), segments)
+    return F.when(F.size(kept) > 0, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(F.lit(""))
 
-    Distinct hosts are matched, not rows: each host meets the rules with its domains
-    in one join, and the longest rule found is joined back to the rows.
+
+def _depth(path: Column) -> Column:
+    return F.regexp_count(path, F.lit("/"))
+
+
+def source_rules(sources: DataFrame) -> DataFrame:
+    """(domain, prefix, source), one row each, from rules ``host`` or ``host/path``.
+
+    A prefix is whole path segments: ``/shop`` is not one of ``/shopping``.
     """
-    named = rows.withColumn("__host", host)
+    text = F.col("host")
+    domain = F.substring_index(text, "/", 1)
+    path = F.when(F.contains(text, F.lit("/")), F.substr(text, F.length(domain) + 1))
+    rules = sources.where(text.isNotNull()).select(domain.alias("domain"), _head(path, F.length(text) + 1).alias("prefix"), "source")
+    return rules.groupBy("domain", "prefix").agg(F.min("source").alias("source"))
+
+
+def with_referrer_source(
+    rows: DataFrame, host: Column, sources: DataFrame, path: Column | None = None, seen: DataFrame | None = None
+) -> DataFrame:
+    """Source of the rule that fits best: the longest domain, and of its rules the longest path.
+
+    Rules are ``host`` or ``host/path``; a rule fits its domain and all below it, and every path that
+    starts with its segments. Distinct (host, path) are matched, not rows, and of a path only
+    as many segments as the longest rule has, none if no rule has a path. Each meets the
+    rules with its domains and path prefixes in one equi-join; the best is joined back. ``seen``
+    is a frame that has all referrers of ``rows`` and takes less work to read.
+    """
+    rules = source_rules(sources)
+    if path is None:
+        path = F.lit(None).cast("string")
+    deepest = F.coalesce(rules.agg(F.max(_depth(F.col("prefix"))).alias("n")).scalar(), F.lit(0))
+    place = host.alias("__host"), _head(path, deepest).alias("__head")
     parts = F.split("__host", "[.]")
     ends = F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MOST_LABELS))),
         lambda n: F.struct(n.alias("labels"), F.array_join(F.slice(parts, -n, n), ".").alias("domain")),
     )
-    hosts = named.where(F.col("__host").isNotNull()).select("__host").distinct().select("__host", F.inline(ends))
-    rules = sources.groupBy(F.col("host").alias("domain")).agg(F.min("source").alias("source"))
-    found = join_on(hosts, rules, ["domain"], "inner")
-    longest = found.groupBy("__host").agg(F.max_by("source", "labels").alias("referrer_source"))
-    return join_on(named, longest, ["__host"]).drop("__host")
+    heads = F.transform(
+        F.sequence(F.lit(0), _depth(F.col("__head"))),
+        lambda n: _head(F.col("__head"), n),
+    )
+    places = (rows if seen is None else seen).select(*place).where(F.col("__host").isNotNull()).distinct()
+    places = places.select("__host", "__head", F.inline(ends)).select("*", F.explode(heads).alias("prefix"))
+    found = join_on(places, rules, ["domain", "prefix"], "inner")
+    best = found.groupBy("__host", "__head").agg(
+        F.max_by("source", F.struct(F.col("labels"), _depth(F.col("prefix")))).alias("referrer_source")
+    )
+    return join_on(rows.select("*", *place), best, ["__host", "__head"]).drop("__host", "__head")
 
 
 # A small table of our own; pass a larger one for production.

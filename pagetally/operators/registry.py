@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetally.functions.literals import ascii_lower, required_literal
+from pagetally.operators.literal_index import with_piece, with_pieces
+
 # The kinds of host matchers.
 MATCHER_TYPES = ("regex", "exact", "wildcard")
 
@@ -135,3 +138,56 @@ def matcher_pattern(kind: Column, value: Column, mode: str = "reference") -> Col
 def compile_matchers(matchers: DataFrame, mode: str = "reference") -> DataFrame:
     """Add ``pattern``; it is NULL for an unknown type or a broken expression."""
     return matchers.withColumn("pattern", matcher_pattern(F.col("type"), F.col("value"), mode))
+
+
+# A pattern's ``$`` also matches before the line break that ends a text.
+_LINE_END = "(\r\n|[\n\r\u0085\u2028\u2029])$"
+
+
+def _labels_key(count: Column, labels: Column) -> Column:
+    return F.concat(count.cast("string"), F.lit("/"), F.array_join(labels, "."))
+
+
+def indexed_matchers(matchers: DataFrame, keys: list[str], mode: str = "reference") -> DataFrame:
+    """Usable matchers (site keys, type, value, pattern) with the ``piece`` a host must have to be tested.
+
+    ``strict``: an exact matcher is found by the whole host, a wildcard by the number of labels and
+    the literal labels at the end. All else, and in ``reference`` mode every matcher, is
+    found by the rarest three characters of what its matches must contain; a regular
+    expression without any such text meets all hosts of its site.
+    """
+    # compiling costs far more than reading: spread over all tasks, however small the file
+    tasks = matchers.sparkSession.sparkContext.defaultParallelism
+    spread = matchers.select(*keys, "type", "value").repartition(tasks, *keys, "value")
+    compiled = compile_matchers(spread, mode).where(F.col("pattern").isNotNull())
+    kind, value = F.col("type"), F.col("value")
+    literal = F.when(kind == "exact", ascii_lower(value)).otherwise(required_literal(F.col("pattern")))
+    if mode != "strict":
+        return with_piece(compiled, literal, keys)
+    labels = F.split(value, "[.]", -1)
+    starred = F.transform(labels, lambda label, i: F.when(F.contains(label, F.lit("*")), i + 1).otherwise(F.lit(0)))
+    tail = F.slice(labels, F.array_max(starred) + 1, F.size(labels))
+    direct = F.when(kind == "exact", F.concat(F.lit("="), value)).when(
+        (kind == "wildcard") & (F.size(tail) > 0), _labels_key(F.size(labels), tail)
+    )
+    told = compiled.withColumn("piece", direct)
+    rest = with_piece(told.where(F.col("piece").isNull()).drop("piece"), literal, keys)
+    return told.where(F.col("piece").isNotNull()).unionByName(rest)
+
+
+def matcher_candidates(pairs: DataFrame, matchers: DataFrame, keys: list[str], mode: str = "reference") -> DataFrame:
+    """(site, host) pairs with each matcher of their site that has a piece in common with the host."""
+    host = F.regexp_replace("namespace", _LINE_END, "")
+    more = []
+    if mode == "strict":
+        labels = F.split(host, "[.]", -1)
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _labels_key(F.size(labels), F.slice(labels, -n, n)))
+        more = [F.array(F.concat(F.lit("="), F.col("namespace"))), ends]
+    return with_pieces(pairs, F.col("namespace"), *more).join(indexed_matchers(matchers, keys, mode), [*keys, "piece"])
+
+
+def accepts(mode: str = "reference") -> Column:
+    """Whether the matcher of a candidate accepts its host; an exact one is a plain text test."""
+    host, value = F.col("namespace"), F.col("value")
+    exact = host == value if mode == "strict" else host.contains(value)
+    return F.when(F.col("type") == "exact", exact).otherwise(F.regexp_like(host, F.col("pattern")))

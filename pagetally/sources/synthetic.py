@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.functions import agents, uri
+from pagetally.functions import uri
 from pagetally.model import DIMENSIONS
+from pagetally.operators.agents import AGENT_COLUMNS, agent_columns
 
 # (utm_source, utm_medium, utm_campaign, utm_content); a tuple of NULLs is no campaign.
 CAMPAIGNS = [
@@ -73,7 +74,7 @@ def synth_page_views(rows: DataFrame, seed: int = 0) -> DataFrame:
     slot = draw(row, seed, 4, ROOT_WEIGHT + others) - F.lit(ROOT_WEIGHT)
     section = _pick(SECTIONS, F.pmod(slot, F.lit(len(SECTIONS))))
     page = F.concat(F.lit("/"), section, F.lit("/"), F.floor(slot / len(SECTIONS)).cast("string"))
-    drawn = rows.withColumns({"__agent": agent, "__referrer": referrer})
+    drawn = agent_columns(rows.withColumns({"user_agent": agent, "__referrer": referrer}))
     columns = {
         "namespace": F.concat(F.col("service_id"), F.lit(".example.com")),
         "path": F.when(slot < 0, F.lit("/")).otherwise(page),
@@ -84,10 +85,7 @@ def synth_page_views(rows: DataFrame, seed: int = 0) -> DataFrame:
         "utm_campaign": _pick([c[2] for c in CAMPAIGNS], campaign),
         "utm_content": _pick([c[3] for c in CAMPAIGNS], campaign),
         "country_code": F.lit(None).cast("string"),
-        "operating_system": agents.operating_system(F.col("__agent")),
-        "operating_system_version": agents.operating_system_version(F.col("__agent")),
-        "browser": agents.browser(F.col("__agent")),
-        "browser_version": agents.browser_version(F.col("__agent")),
+        **{name: F.col(name) for name in AGENT_COLUMNS},
     }
     return drawn.select("id", "service_id", "timestamp", *[columns[d].alias(d) for d in DIMENSIONS])
 
