@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.catalog.ingest import FULL_SQL
 from pagetally.model import DIMENSIONS
+from pagetally.operators import ingest as ing
 from pagetally.plans.spec import QuerySpec
 from pagetally.session import shared_dir
 from pagetally.sources import lake
@@ -18,7 +19,7 @@ QUERIES, SQL = {}, {}
 ONCE = {"availableNow": True}
 
 
-def run_ingest(s, d, name):
+def run_ingest(s, d, name, metrics=False):
     """Stream all beacons through ingest; gives the paths of events and rejects."""
     root = shared_dir(s, f"stream/{name}/{uuid4().hex}")
     query = ingest_stream.start_ingest(
@@ -29,9 +30,10 @@ def run_ingest(s, d, name):
         lambda: fx.registry(s, d),
         lambda: fx.lookups(s),
         ONCE,
+        metrics_path=f"{root}/metrics" if metrics else None,
     )
     query.awaitTermination()
-    return f"{root}/events", f"{root}/rejects"
+    return f"{root}/metrics" if metrics else (f"{root}/events", f"{root}/rejects")
 
 
 def _events(s, d):
@@ -104,3 +106,33 @@ def _batch_counts(s, d):
 QUERIES["stream_batch_counts"] = _batch_counts
 SQL["stream_batch_counts"] = f"""{FULL_SQL} select count(*) filter (reason is null) as accepted,
   count(*) filter (reason is not null) as rejected, count(*) as received from ingested"""
+
+
+def _metrics(s, d):
+    """Numbers told by the stream itself, without reading its tables."""
+    metrics = ingest_stream.read_metrics(s, run_ingest(s, d, "metrics", metrics=True))
+    return metrics.groupBy("reason").agg(F.sum("count").alias("count"))
+
+
+QUERIES["stream_metrics"] = _metrics
+_REASONS = ", ".join(f"('{reason}')" for reason in ing.REASONS)
+SQL["stream_metrics"] = f"""{FULL_SQL}, named as (select cast(null as varchar) as reason union all select * from (values {_REASONS}))
+  select n.reason, count(i.beacon_id) as "count" from named n left join ingested i on n.reason is not distinct from i.reason group by n.reason"""
+
+
+def _closed(unit):
+    def query(s, d):
+        root = shared_dir(s, f"stream/closed/{uuid4().hex}")
+        events = fx.event_stream(s, d).withColumnRenamed("ts", "timestamp")
+        series_stream.start_closed_scale(events, unit, f"{root}/series", f"{root}/checkpoint", "2 hours", ONCE).awaitTermination()
+        closed = series_stream.read_closed(s, f"{root}/series").withColumn("closed", F.lit(True))
+        return closed.unionByName(series_stream.read_open(s, f"{root}/series").withColumn("closed", F.lit(False)))
+
+    return query
+
+
+for _name in ("hour", "day", "week", "month"):
+    QUERIES[f"stream_closed_{_name}"] = _closed(_name)
+    SQL[f"stream_closed_{_name}"] = f"""select date_trunc('{_name}', ts)::timestamp as period, count(*) as "count",
+      date_trunc('{_name}', ts)::timestamp + interval 1 {_name} + interval 2 hours <= (select max(ts) from events) as closed
+      from events group by 1"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +57,7 @@ def _placed(events: DataFrame) -> DataFrame:
     return with_timestamp(events).withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
 
 
-def _save(rows: DataFrame, path: str, batch: str, layout: str) -> None:
+def _save(rows: DataFrame, path: str, batch: str, layout: str, observed: Observation | None = None) -> None:
     # Sorted by site and time, so row groups and pages have narrow ranges to skip by.
     # The writer needs the directory columns first, and none of them nullable: else it
     # sorts again, by them alone. An empty name and NULL are the same directory.
@@ -65,6 +65,8 @@ def _save(rows: DataFrame, path: str, batch: str, layout: str) -> None:
     named = {c: F.coalesce(c, F.lit("")) for c in folders if c not in ("year", "month")}
     named |= {c: F.coalesce(c, F.lit(0)) for c in ("year", "month")}
     order = [*folders, *(c for c in CLUSTER_COLUMNS if c not in folders), "timestamp"]
+    if observed is not None:
+        rows = rows.observe(observed, F.count(F.lit(1)).alias("rows"))
     (
         rows.withColumns(named)
         .sortWithinPartitions(*order)
@@ -75,7 +77,14 @@ def _save(rows: DataFrame, path: str, batch: str, layout: str) -> None:
     )
 
 
-def write_events(events: DataFrame, path: str, batch: str, encoding: str = "struct", layout: str = "sorted") -> None:
+def write_events(
+    events: DataFrame,
+    path: str,
+    batch: str,
+    encoding: str = "struct",
+    layout: str = "sorted",
+    observed: Observation | None = None,
+) -> None:
     """Store events (instance, entity_id, timestamp, type, properties struct) as one batch.
 
     REBALANCE brings the rows of a site and month together in files of the
@@ -84,7 +93,7 @@ def write_events(events: DataFrame, path: str, batch: str, encoding: str = "stru
     """
     rows = _placed(events).withColumn("properties", encode_properties(F.col("properties"), encoding))
     rows = rows.select("timestamp", "type", "properties", *CLUSTER_COLUMNS)
-    _save(rows.hint("rebalance", *CLUSTER_COLUMNS), path, batch, layout)
+    _save(rows.hint("rebalance", *CLUSTER_COLUMNS), path, batch, layout, observed)
 
 
 def properties_type(encoding: str) -> T.DataType | None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -30,6 +31,75 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class KeptRegistry:
+    """A registry loader that keeps what it loaded until the version changes or the time is over.
+
+    ``load`` reads the registry; ``version`` gives a token that changes with it, such as the
+    label of the last load, and is asked on every call, so it must be cheap. Services and
+    matchers are persisted, and read again where an executor is lost. Without ``version`` only the
+    time counts.
+    """
+
+    def __init__(self, load: Callable[[], Registry], version: Callable[[], object] | None = None, seconds: float = 30.0):
+        self.load, self.version, self.seconds = load, version, seconds
+        self.kept: Registry | None = None
+        self.token: object = None
+        self.until = 0.0
+
+    def __call__(self) -> Registry:
+        token = self.version() if self.version else None
+        if self.kept is None or token != self.token or time.monotonic() >= self.until:
+            self.drop()
+            loaded = self.load()
+            self.kept = Registry(loaded.services.persist(), loaded.matchers.persist())
+            self.token, self.until = token, time.monotonic() + self.seconds
+        return self.kept
+
+    def drop(self) -> None:
+        """Forget what is kept; the next call loads anew."""
+        if self.kept is not None:
+            self.kept.services.unpersist()
+            self.kept.matchers.unpersist()
+        self.kept = None
+
+
+def write_counted(rows: DataFrame, columns: list[str], events: str, rejects: str, batch: str, encoding: str) -> list[tuple]:
+    """Write the events and rejects of ingested rows and tell their numbers: (reason, count).
+
+    The rows are counted by the tasks that write them; nothing is read again. The reason of
+    accepted rows is NULL, and zeros are included.
+    """
+    kept, left = Observation(), Observation()
+    lake.write_events(ing.to_events(rows), events, batch, encoding, observed=kept)
+    by_reason = [F.count(F.when(F.col("reason") == reason, F.lit(1))).alias(reason) for reason in ing.REASONS]
+    write_rejects(ing.rejected(rows, columns).observe(left, *by_reason), rejects, batch)
+    rejected = left.get
+    return [(None, kept.get["rows"]), *((reason, rejected[reason]) for reason in ing.REASONS)]
+
+
+METRICS_SCHEMA = "batch long, reason string, count long"
+
+
+def write_metrics(spark: SparkSession, counts: list[tuple], path: str, batch: int) -> None:
+    """The numbers of one micro-batch, a dozen rows, as one directory; a repeated batch replaces its own."""
+    rows = spark.createDataFrame([(batch, *row) for row in counts], METRICS_SCHEMA).coalesce(1)
+    rows.drop("batch").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, reason, count): what every micro-batch accepted (reason NULL) and rejected by reason."""
+    return spark.read.schema("reason string, count long, batch long").parquet(path).select("batch", "reason", "count")
+
+
+def metric_totals(metrics: DataFrame) -> DataFrame:
+    """Accepted, rejected and received beacons of every micro-batch, batches without beacons included."""
+    accepted = F.sum(F.when(F.col("reason").isNull(), F.col("count")).otherwise(0))
+    received = F.sum("count")
+    return metrics.groupBy("batch").agg(
+        accepted.alias("accepted"), (received - accepted).alias("rejected"), received.alias("received")
+    )
+
+
 def start_ingest(
     beacons: DataFrame,
     events_path: str,
@@ -39,11 +109,14 @@ def start_ingest(
     load_lookups: Callable[[], Lookups],
     trigger: dict | None = None,
     encoding: str = "struct",
+    metrics_path: str | None = None,
 ) -> StreamingQuery:
     """Start the stream: accepted beacons to the event table, the rest to the rejects.
 
-    Registry and lookups are loaded anew for every micro-batch, so a change is
-    seen within one trigger. Each micro-batch writes to directories named after
+    Registry and lookups are loaded for every micro-batch, so a change is
+    seen within one trigger; give a ``KeptRegistry`` to load it less often. With
+    ``metrics_path`` the numbers of accepted and rejected beacons, counted while they are
+    written, go to a table of their own. Each micro-batch writes to directories named after
     its number and replaces them when Spark repeats it, which makes the result
     exactly-once. The micro-batch is persisted because two writes read it; a lost
     executor only costs a recomputation from the source.
@@ -53,8 +126,9 @@ def start_ingest(
     def write_batch(batch: DataFrame, number: int) -> None:
         rows = ing.ingest(batch, load_registry(), load_lookups()).persist()
         try:
-            lake.write_events(ing.to_events(rows), events_path, str(number), encoding)
-            write_rejects(ing.rejected(rows, columns), rejects_path, str(number))
+            counts = write_counted(rows, columns, events_path, rejects_path, str(number), encoding)
+            if metrics_path is not None:
+                write_metrics(batch.sparkSession, counts, metrics_path, number)
         finally:
             rows.unpersist()
 
