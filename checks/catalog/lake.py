@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.catalog.ingest import FULL_SQL
-from checks.catalog.panels import WA, top
+from checks.catalog.ingest import SQL as INGEST_SQL
+from checks.catalog.panels import FULL, WA, top
+from pagetally.functions import uri
 from pagetally.model import DIMENSIONS, LAYOUTS
 from pagetally.operators import ingest as ing
 from pagetally.operators import panels
@@ -185,6 +187,41 @@ QUERIES["panel_export_streams"] = _export_streams
 SQL["panel_export_streams"] = f"{WA} {top(300)}"
 
 
+def _export_chunks(s, d):
+    """Every value of every dimension as pieces of Arrow streams, stored and read back."""
+    path = shared_dir(s, f"panel_chunks/{uuid4().hex}")
+    export.write_panel_streams(panels.panel(fx.page_views(s, d), limit=None), path)
+    return export.read_chunks(s.read.schema("chunk long, data binary, grouping_id int").parquet(path))
+
+
+QUERIES["panel_export_chunks"] = _export_chunks
+SQL["panel_export_chunks"] = f'{WA} select grouping_id, value, "count", "max" from ({FULL})'
+
+
+def _requests(s, d):
+    """Beacons written as request targets and read back."""
+    beacons = fx.beacons(s, d)
+    told = src.to_requests(beacons)
+    return src.from_requests(told, "request", F.col("received_at"), F.col("user_agent"), F.col("instance"), F.col("beacon_id"))
+
+
+QUERIES["beacon_requests"] = _requests
+SQL["beacon_requests"] = fx.sql(fx.BEACONS)
+
+
+def _bracketed(s, d):
+    """The page's query string in fields of its own, as q[name]=value; campaign values as ingest finds them."""
+    pairs = uri.query_pairs(F.regexp_replace(ing.blank_to_null(F.col("q")), "^[?]+", ""))
+    fields = F.transform(pairs, lambda p: F.concat(F.lit("q%5B"), F.url_encode(p["key"]), F.lit("%5D="), F.url_encode(p["value"])))
+    request = F.concat(F.lit("GET /t?b=0&"), F.coalesce(F.array_join(fields, "&"), F.lit("")), F.lit(" HTTP/1.1"))
+    read = src.from_requests(fx.beacons(s, d).select("beacon_id", request.alias("request")), beacon_id=F.col("beacon_id"))
+    return ing.utm_columns(ing.cast_beacons(read)).select("beacon_id", *uri.ALLOWED_QUERY_KEYS)
+
+
+QUERIES["beacon_bracketed_requests"] = _bracketed
+SQL["beacon_bracketed_requests"] = INGEST_SQL["ingest_utm"]
+
+
 def _mixed_batches(s, d):
     """Four small batches, two of them compacted and not removed: each event is read once."""
     root = shared_dir(s, f"mixed/{uuid4().hex}")

@@ -46,6 +46,10 @@ SQL["panel_top300_grouping_sets"] = SQL["panel_top300"]
 QUERIES["panel_top10"] = lambda s, d: panels.panel(fx.page_views(s, d), 10)
 SQL["panel_top10"] = f"{WA} {top(10)}"
 
+for _limit in (10, 300):
+    QUERIES[f"panel_top{_limit}_threshold"] = lambda s, d, n=_limit: panels.panel(fx.page_views(s, d), n, selection="threshold")
+    SQL[f"panel_top{_limit}_threshold"] = f"{WA} {top(_limit)}"
+
 QUERIES["panel_all_values"] = lambda s, d: panels.panel(fx.page_views(s, d), None)
 SQL["panel_all_values"] = f'{WA} select grouping_id, value, "count", "max" from ({FULL})'
 

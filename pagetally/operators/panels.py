@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetally.functions import labels
 from pagetally.model import DEFAULT_LIMIT, DIMENSIONS, GROUPING_IDS
+from pagetally.session import written
 
 
 def dimension_values(page_views: DataFrame, *extra: Column, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
@@ -50,6 +51,47 @@ def top_values(counts: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     return ranked.where(F.col("position") <= limit).drop("position")
 
 
+def count_thresholds(counts: DataFrame, limit: int) -> DataFrame:
+    """(grouping_id, cut, room): the count at which a dimension reaches the limit, and how many values with it have room.
+
+    A histogram of the counts tells; it has a row per different count, which for n page views
+    are at most the root of 2 n. A dimension with fewer values than the limit has no row.
+    """
+    histogram = counts.groupBy("grouping_id", "count").agg(F.count(F.lit(1)).alias("n"))
+    larger = Window.partitionBy("grouping_id").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    above = histogram.withColumn("above", F.coalesce(F.sum("n").over(larger), F.lit(0)))
+    reached = above.where((F.col("above") < limit) & (F.col("above") + F.col("n") >= limit))
+    return reached.select("grouping_id", F.col("count").alias("cut"), (F.lit(limit) - F.col("above")).alias("room"))
+
+
+def top_values_by_threshold(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``top_values``, for limits so large that one task must not rank a dimension.
+
+    Values above the threshold count of their dimension are kept by a filter. Those at it are
+    dealt to tasks by ranges of values and written; whole ranges are kept by their sizes, and
+    only the range in which the room ends is ranked. ``counts`` is read several times: pass a
+    stored table.
+    """
+    # one row per dimension, hence the fixed broadcast
+    cuts = F.broadcast(written(count_thresholds(counts, limit), "thresholds"))
+    marked = counts.join(cuts, "grouping_id", "left")
+    above = marked.where(F.col("cut").isNull() | (F.col("count") > F.col("cut"))).select(counts.columns)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = marked.where(F.col("count") == F.col("cut"))
+    ranged = ties.repartitionByRange(tasks, "grouping_id", F.asc_nulls_first("value")).withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, "ties")
+
+    sizes = ranged.groupBy("grouping_id", "range", "room").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("grouping_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("room") - F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    sizes = sizes.withColumn("left", left).where("left > 0").select("grouping_id", "range", "n", "left")
+    held = ranged.drop("room").join(sizes, ["grouping_id", "range"])
+    order = Window.partitionBy("grouping_id", "range").orderBy(F.asc_nulls_first("value"))
+    border = held.where("left < n").withColumn("position", F.row_number().over(order)).where("position <= left")
+    whole = held.where("left >= n")
+    return above.unionByName(whole.select(counts.columns)).unionByName(border.select(counts.columns))
+
+
 def with_max(top: DataFrame) -> DataFrame:
     """Largest count of each dimension, for rows already cut by ``top_values``.
 
@@ -63,9 +105,12 @@ def with_max_uncut(counts: DataFrame) -> DataFrame:
 
     Thirteen maxima are joined back; no dimension is gathered in one task.
     """
-    maxima = counts.groupBy("grouping_id").agg(F.max("count").alias("max"))
     # never more than one row per dimension, hence the fixed broadcast
-    return counts.join(F.broadcast(maxima), "grouping_id")
+    return counts.join(F.broadcast(_maxima(counts)), "grouping_id")
+
+
+def _maxima(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("grouping_id").agg(F.max("count").alias("max"))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -78,16 +123,28 @@ def panel(
     limit: int | None = DEFAULT_LIMIT,
     form: str = "explode",
     dimensions: Sequence[str] = DIMENSIONS,
+    selection: str = "window",
 ) -> DataFrame:
     """The report (grouping_id, value, count, max), ordered; ``limit=None`` keeps every value.
 
+    ``selection="threshold"`` gives the same rows by ``top_values_by_threshold``, for limits of a
+    million and more; it writes the counts to a work folder.
+
     Of the page views only the columns of ``dimensions`` are read. The grouping-sets
     form knows its ids by all thirteen.
     """
     if form == "grouping_sets" and len(dimensions) != len(DIMENSIONS):
         raise ValueError("the grouping-sets form has all dimensions")
     counts = panel_counts(page_views, form, dimensions)
-    rows = with_max_uncut(counts) if limit is None else with_max(top_values(counts, limit))
+    if selection not in ("window", "threshold"):
+        raise ValueError(f"unknown selection: {selection!r}")
+    if limit is None:
+        rows = with_max_uncut(counts)
+    elif selection == "window":
+        rows = with_max(top_values(counts, limit))
+    else:
+        counts = written(counts, "counts")
+        rows = top_values_by_threshold(counts, limit).join(F.broadcast(_maxima(counts)), "grouping_id")
     return ordered(rows.select("grouping_id", "value", "count", "max"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Results depend on UTC wall clocks. The adaptive settings let Spark size
 # partitions and split hot keys at run time. The JVM never compiles a method above
@@ -61,3 +62,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _test_roots[application] = tempfile.mkdtemp(prefix="pagetally-")
         root = _test_roots[application]
     return f"{root.rstrip('/')}/pagetally/{application}/{name}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to a work folder of its own and read back: computed once, whatever reads it."""
+    path = shared_dir(frame.sparkSession, f"work/{name}-{uuid.uuid4().hex[:12]}")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

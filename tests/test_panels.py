@@ -90,8 +90,48 @@ def test_uncut_panel_is_exported_whole(spark, sf_dir):
     panel = panels.panel(fx.page_views(spark, sf_dir), limit=None)
     rows = sum(pa.ipc.open_stream(s[4:]).read_all().num_rows for s in export.panel_streams(panel).values())
     assert rows == panel.count()
-    with pytest.raises(ValueError):
-        export.panel_streams(panel, most_rows=rows - 1)
+
+
+def test_export_has_no_limit(spark, tmp_path):
+    """More than 100,000 rows, in pieces that no task and not the driver holds together."""
+    import pyarrow as pa
+
+    views = spark.range(130_000).select(
+        F.lit("s").alias("service_id"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+        *[F.col("id").cast("string").alias(d) if d == "path" else F.lit("x").alias(d) for d in DIMENSIONS],
+    )
+    panel = panels.present(panels.panel(views, limit=None))
+    export.write_panel_streams(panel, str(tmp_path / "streams"))
+    chunks = spark.read.schema("chunk long, data binary, grouping_id int").parquet(str(tmp_path / "streams"))
+    assert chunks.count() > 13 + 10
+    assert rows_of(export.read_chunks(chunks, labelled=True)) == rows_of(panel)
+    schema = pa.schema([("value", pa.string()), ("count", pa.int64()), ("max", pa.int64()), ("present", pa.string())])
+    data = b"".join(export.iterate_stream(chunks, GROUPING_IDS["path"], schema))
+    assert int.from_bytes(data[:4], "big") == GROUPING_IDS["path"]
+    values = pa.ipc.open_stream(data[4:]).read_all().column("value").to_pylist()
+    assert len(values) == 130_000 and values == sorted(values)
+    assert list(export.iterate_stream(chunks.limit(0), GROUPING_IDS["path"])) == []
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7, 50, 999, 1000, 1500, 5000])
+def test_thresholds_select_what_ranks_select(spark, limit):
+    """Many ties, NULL among them, dimensions below and above the limit."""
+    big = spark.range(3000).select(F.lit(1).alias("grouping_id"), F.col("id").cast("string").alias("value"), (1 + F.col("id") % 3).alias("count"))
+    ties = spark.range(1000).select(F.lit(2).alias("grouping_id"), F.nullif(F.col("id").cast("string"), F.lit("5")).alias("value"), F.lit(4).cast("long").alias("count"))
+    few = spark.createDataFrame([(3, None, 9), (3, "a", 9), (3, "b", 1)], "grouping_id int, value string, count long")
+    counts = big.unionByName(ties).unionByName(few).repartition(7)
+    assert rows_of(panels.top_values_by_threshold(counts, limit)) == rows_of(panels.top_values(counts, limit))
+
+
+def test_a_limit_of_a_million(spark):
+    counts = spark.range(1_500_000).select(
+        F.lit(1).alias("grouping_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"), F.lit(1).cast("long").alias("count")
+    )
+    top = panels.top_values_by_threshold(counts, 1_000_000)
+    assert top.count() == 1_000_000
+    assert top.agg(F.max("value")).first()[0] == counts.orderBy("value").limit(1_000_000).agg(F.max("value")).first()[0]
+    # only the border range is ranked: no window over a whole dimension
+    assert "Window" in plan_of(top) and "windowspecdefinition(grouping_id, value" not in plan_of(top)
 
 
 def test_panel_of_one_dimension_reads_one_column(spark, sf_dir, tmp_path):
