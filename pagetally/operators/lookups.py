@@ -34,8 +34,7 @@ def lookup(rows: DataFrame, key: Column, table: DataFrame, table_key: str, value
     """
     entry = F.struct(*[F.col(column).alias(name) for column, name in values.items()])
     unique = table.groupBy(F.col(table_key).alias("__key")).agg(F.min(entry).alias("__entry"))
-    unique = unique.select("__key", "__entry.*")
-    return join_on(rows.withColumn("__key", key), unique, ["__key"]).drop("__key")
+    return join_on(rows, unique.select("__key", "__entry.*"), {"__key": key})
 
 
 def with_spam_flag(rows: DataFrame, host: Column, spam_hosts: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def with_referrer_source(
     if path is None:
         path = F.lit(None).cast("string")
     deepest = F.coalesce(rules.agg(F.max(_depth(F.col("prefix"))).alias("n")).scalar(), F.lit(0))
-    place = host.alias("__host"), _head(path, deepest).alias("__head")
+    place = {"__host": host, "__head": _head(path, deepest)}
     parts = F.split("__host", "[.]")
     ends = F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MOST_LABELS))),
@@ -106,13 +105,14 @@ def with_referrer_source(
         F.sequence(F.lit(0), _depth(F.col("__head"))),
         lambda n: _head(F.col("__head"), n),
     )
-    places = (rows if seen is None else seen).select(*place).where(F.col("__host").isNotNull()).distinct()
+    places = (rows if seen is None else seen).select(*[c.alias(name) for name, c in place.items()])
+    places = places.where(F.col("__host").isNotNull()).distinct()
     places = places.select("__host", "__head", F.inline(ends)).select("*", F.explode(heads).alias("prefix"))
     found = join_on(places, rules, ["domain", "prefix"], "inner")
     best = found.groupBy("__host", "__head").agg(
         F.max_by("source", F.struct(F.col("labels"), _depth(F.col("prefix")))).alias("referrer_source")
     )
-    return join_on(rows.select("*", *place), best, ["__host", "__head"]).drop("__host", "__head")
+    return join_on(rows, best, place)
 
 
 # A small table of our own; pass a larger one for production.

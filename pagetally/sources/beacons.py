@@ -46,8 +46,8 @@ def from_messages(
     outer = {"received_at": received_at, "user_agent": user_agent, "instance": instance}
     given = {name: value for name, value in outer.items() if value is not None}
     kept = [value.alias(f"__{name}") for name, value in given.items()]
-    rows = messages.select(text.alias("__text"), parsed.alias("beacon"), *kept)
-    rows = rows.select("beacon.*", "__text", *(f"__{name}" for name in given))
+    # a generator, so that every message is parsed once and not once per field
+    rows = messages.select(text.alias("__text"), F.inline(F.array(parsed)), *kept)
     rows = rows.withColumns({name: F.coalesce(f"__{name}", name) for name in given})
     # an empty message or a bare null parses to nothing at all
     nothing = F.col("__text").isNull() | (F.trim("__text").isin("", "null"))
