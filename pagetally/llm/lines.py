@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import WORD, WORD_GAP, stored
+from pagetally.llm.common import WORD, WORD_GAP, free_name, stored
 
 LEAST_WORDS = 5  # one edit in this many words is a similarity of 0.8
 _PLACE = ("missing", "id", "line_no")
@@ -152,13 +152,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is replaced. Lines are told apart by 128 bits, variants by 64 and then by comparison.
     """
     gone = stored(dropped_lines(docs, id_col, text_col), "dropped-lines")
-    keyed = docs.drop("n_removed").withColumn("_row_key", _row_key(id_col, text_col))
-    joined = keyed.join(gone.select(F.col("row_key").alias("_row_key"), F.col("lines").alias("_gone")), "_row_key", "left")
+    row, dropped = free_name(docs, "_row_key"), free_name(docs, "_gone")
+    keyed = docs.drop("n_removed").withColumn(row, _row_key(id_col, text_col))
+    joined = keyed.join(gone.select(F.col("row_key").alias(row), F.col("lines").alias(dropped)), row, "left")
     parts = F.split(text_col, "\n", -1)
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(dropped)))
     left = F.when(F.size(stay) > 0, F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).otherwise("")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
+    removed = F.coalesce(F.size(dropped), F.lit(0)).cast("long")
+    text = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(left)
     return joined.withColumn("n_removed", removed).withColumn(text_col, text).select(
         *(F.col(f"`{c}`") for c in docs.columns if c != "n_removed"), "n_removed"
     )

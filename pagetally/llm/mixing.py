@@ -68,22 +68,23 @@ def poisson_mixture(
     empty text. Null sources are a source of their own. Empty tables give no rows. Names
     already taken get underscores in front.
     """
-    copy, key, rate = (free_name(docs, n) for n in ("copy", "shuffle_key", "rate"))
+    names = "copy", "shuffle_key", "rate", "_mixed", "_parts", "_cdf", "_copies"
+    copy, key, rate, mixed, n_parts, cdf, copies_ = (free_name(docs, n) for n in names)
     rates = source_rates(docs, weights, size)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int")
-    tables = rates.select(F.col("source").alias("_mixed"), parts.alias("_parts"), (F.col("rate") / parts).alias(rate))
+    tables = rates.select(F.col("source").alias(mixed), parts.alias(n_parts), (F.col("rate") / parts).alias(rate))
     # written, so that Spark knows the table's size and broadcasts it only if it is small
-    tables = stored(tables.withColumn("_cdf", _cumulative(F.col(rate))).drop(rate), "source-rates")
-    joined = docs.join(tables, docs["source"].eqNullSafe(F.col("_mixed")))
+    tables = stored(tables.withColumn(cdf, _cumulative(F.col(rate))).drop(rate), "source-rates")
+    joined = docs.join(tables, docs["source"].eqNullSafe(F.col(mixed)))
     name = F.concat_ws(":", F.lit(str(seed)), id_text(id_col))
     # copies of one part: the probabilities that do not reach above the hashed number
     drawn = F.transform(
-        F.sequence(F.lit(0), F.col("_parts") - 1),
-        lambda p: F.size(F.filter("_cdf", lambda c: c <= _uniform(F.concat_ws(":", name, p.cast("string"))))),
+        F.sequence(F.lit(0), F.col(n_parts) - 1),
+        lambda p: F.size(F.filter(cdf, lambda c: c <= _uniform(F.concat_ws(":", name, p.cast("string"))))),
     )
     count = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
-    counted = joined.withColumn("_copies", count).where("_copies > 0").drop("_mixed", "_parts", "_cdf")
-    copies = counted.withColumn(copy, F.explode(F.expr("sequence(0, _copies - 1)"))).drop("_copies")
+    counted = joined.withColumn(copies_, count).where(F.col(copies_) > 0).drop(mixed, n_parts, cdf)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies_) - 1))).drop(copies_)
     keyed = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit("order"), name, F.col(copy).cast("string"))))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(tasks, key).sortWithinPartitions(key, id_col)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetally.llm.bktree import Forest, distances
-from pagetally.llm.common import components, stored, texts, words
+from pagetally.llm.common import components, free_name, stored, texts, words
 from pagetally.llm.components import component_roots
 
 HASH_SEED = 42
@@ -298,7 +298,8 @@ def keep_one(
     near copies of one another. Columns are as in ``docs``; an empty table gives no rows.
     """
     row_key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col)))
-    keyed = docs.withColumn("_row_key", row_key)
+    row = free_name(docs, "_row_key")
+    keyed = docs.withColumn(row, row_key)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
@@ -310,12 +311,12 @@ def keep_one(
                 fps.append(fp)
                 shards.append(shard)
                 sizes.append(size)
-            columns = [batch.column(id_col), batch.column("_row_key"), pa.array(digests, pa.binary())]
+            columns = [batch.column(id_col), batch.column(row), pa.array(digests, pa.binary())]
             columns += [pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "row_key", "digest", "fp", "shards", "size"])
 
     schema = f"id {id_type}, row_key string, digest binary, fp binary, shards array<bigint>, size long"
-    rows = stored(keyed.select(id_col, text_col, "_row_key").mapInArrow(scan, schema), "sketches")
+    rows = stored(keyed.select(id_col, text_col, row).mapInArrow(scan, schema), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row_key")).alias("first")
     nodes = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("shards").alias("shards"), F.min("size").alias("size"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
@@ -323,7 +324,7 @@ def keep_one(
     radius = radius_for(similarity, slack=SLACK)
     near = nodes.drop("shards").join(component_roots(shard_links(keyed_nodes, radius)), "node")
     groups = near.groupBy("root").agg(F.expr(f"cast(ceil(sum(size) / {TILE_SHINGLES}) as int)").alias("parts"))
-    near = near.join(groups, "root").select(F.col("first.row_key").alias("_row_key"), "root", "parts", "node", "fp")
+    near = near.join(groups, "root").select(F.col("first.row_key").alias("row_key"), "root", "parts", "node", "fp")
 
     def collect(batches):
         for batch in batches:
@@ -331,11 +332,11 @@ def keep_one(
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), sets], [*names, "hashes"])
 
-    whole = keyed.select("_row_key", F.col(text_col).alias("_text")).join(near, "_row_key").select("root", "parts", "node", "fp", "_text")
+    whole = keyed.select(F.col(row).alias("row_key"), F.col(text_col).alias("_text")).join(near, "row_key").select("root", "parts", "node", "fp", "_text")
     sets = whole.mapInArrow(collect, "root long, parts int, node long, fp binary, hashes binary").dropDuplicates(["node"])
     links_ = similar_links(stored(sets, "shingle-sets"), radius, similarity)
     roots = component_roots(links_)
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    winners = rooted.agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_row_key"))
-    kept = keyed.join(winners, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    winners = rooted.agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(row))
+    kept = keyed.join(winners, row, "left_semi").dropDuplicates([row])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -12,7 +12,7 @@ def worker_path(spark):
 
 
 # names that operators use inside
-CLASHES = "fp", "score", "n_words", "matches", "copy", "rate", "shuffle_key", "hash", "seed", "node", "chunk"
+CLASHES = "fp", "score", "n_words", "matches", "copy", "rate", "shuffle_key", "hash", "seed", "node", "chunk", "_row_key", "_gone", "_copies", "_cdf", "_mixed", "_parts", "_of", "_spans", "_text"
 
 
 @pytest.fixture(scope="session")
