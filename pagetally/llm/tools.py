@@ -23,7 +23,7 @@ _KINDS = {
 
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def problem(value, schema: dict, path: str = "") -> str | None:
@@ -72,14 +72,18 @@ def references(value) -> list[str]:
 
 
 def _read(arguments: str | None, name: str | None, schemas: dict[str, dict]) -> tuple[str | None, str | None, list[str]]:
-    """(canonical arguments, problem, references) of one call."""
+    """(canonical arguments, problem, references) of one call.
+
+    No JSON are also NaN and infinite numbers, halves of surrogate pairs, which no UTF-8 text
+    can hold, and values nested deeper than Python's stack.
+    """
     try:
         value = json.loads(arguments) if arguments is not None else None
-    except ValueError:
+        text, used = canonical(value), sorted(set(references(value)))
+        text.encode()
+        return text, problem(value, schemas[name]) if name in schemas else "unknown tool", used
+    except (ValueError, RecursionError):
         return None, "arguments: not JSON", []
-    if name not in schemas:
-        return canonical(value), "unknown tool", sorted(set(references(value)))
-    return canonical(value), problem(value, schemas[name]), sorted(set(references(value)))
 
 
 def parsed_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:

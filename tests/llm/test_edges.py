@@ -215,3 +215,14 @@ def test_pipeline_stages(spark, odd_docs, no_docs, sf_dir):
             assert docs.columns == start.columns and set(names) <= set(docs.columns)
         mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert mixed.count() >= 0
+
+
+def test_arguments_that_are_no_json(spark):
+    texts = ["[" * 200_000 + "]" * 200_000, '{"a": "\\ud800"}', '{"a": NaN}', '{"a": 1e999}', '{"a": -Infinity}', '{"a": 1}']
+    calls = spark.createDataFrame(
+        [(1, i, 0, f"c{i}", "tool", text) for i, text in enumerate(texts)],
+        "conv_id long, turn long, call_no int, call_id string, name string, arguments string",
+    )
+    results = spark.createDataFrame([(1, 9, "c5", "done")], "conv_id long, turn long, call_id string, content string")
+    rows = {r.call_id: r for r in tools.link_calls(calls, results, {"tool": {"type": "object"}}).collect()}
+    assert [rows[f"c{i}"].detail for i in range(5)] == ["arguments: not JSON"] * 5 and rows["c5"].status == "ok"
