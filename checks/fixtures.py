@@ -122,12 +122,10 @@ union all select 'bot', 0, null, '(broken', 'never', null"""
 SEEN_REFERRERS = f"""
 select e.event_id as beacon_id, p.url as r from {_VISITS.replace("WHERE", "")}"""
 PATH_RULES = """
-select concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+)', 1)) as host,
-  concat('section ', cast(min(page_id) as varchar(20))) as source from {pages} where page_id % 3 = 0 group by 1
-union all select concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+/[0-9]+)', 1), '/'),
-  concat('page ', cast(min(page_id) as varchar(20))) from {pages} where page_id % 7 = 0 group by 1
-union all select regexp_extract(url, '^https?://([^/?#]+)', 1), concat('host ', cast(min(page_id) as varchar(20))) from {pages}
-  where page_id % 5 = 0 group by 1
+select case page_id % 3 when 0 then concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+)', 1))
+    when 1 then concat(regexp_extract(url, '^https?://([^/?#]+)', 1), regexp_extract(url, '^https?://[^/?#]+(/[a-z]+/[0-9]+)', 1), '/')
+    else regexp_extract(url, '^https?://([^/?#]+)', 1) end as host,
+  concat('rule ', cast(min(page_id) as varchar(20))) as source from {pages} group by 1
 union all select 'example.com/en', 'english' union all select 'example.net', 'net' union all select 'example.org/e', 'no whole segment'"""
 
 # small lookup tables joined to the derived data
