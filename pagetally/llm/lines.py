@@ -15,7 +15,7 @@ _PLACE = ("missing", "id", "line_no")
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(line, WORD_GAP), "")
 
 
 def _place(prefix: str = "") -> Column:
@@ -47,16 +47,18 @@ def _near_candidates(lines: DataFrame) -> DataFrame:
     """k of the lines that share their first or last half with a line of about their length.
 
     One edit leaves the first or the last half of the words alone, half of the shorter
-    line. So no two lines within an edit are lost here.
+    line. A line of n words is filed under halves of n and of n - 1 words, rounded down, which are the
+    same for an odd n; any two lines that differ by at most a word in length have one size in common.
+    So no two lines within an edit are lost here.
     """
     n = F.size("w")
 
-    def ends(m: Column) -> list[Column]:
-        k = F.floor(m / 2).cast("int")
+    def ends(k: Column) -> list[Column]:
         first, last = F.slice("w", F.lit(1), k), F.slice("w", n - k + 1, k)
-        return [F.xxhash64(F.lit(side), m, part) for side, part in (("first", first), ("last", last))]
+        return [F.xxhash64(F.lit(side), k, part) for side, part in (("first", first), ("last", last))]
 
-    keys = F.array_distinct(F.array(*ends(n), *ends(n - 1)))
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    keys = F.when(n % 2 == 1, F.array(*ends(half))).otherwise(F.array(*ends(half), *ends(less)))
     # no filter on the words: it would move below and split every line once more
     keyed = lines.select("k", _words(F.col("line")).alias("w"))
     keyed = stored(keyed.select("k", F.explode(F.when(n >= LEAST_WORDS - 1, keys)).alias("key")), "line-halves")
@@ -65,7 +67,7 @@ def _near_candidates(lines: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, role, at, k, place): hashed keys of each line and of each line less a word.
+    """(key, role, at, turn): hashed keys of each line and of each line less a word.
 
     Role 0: a line of n words less its word ``at``, keyed by n and ``at`` too: all lines
     with that key differ in that word only. Role 1: the same without n and ``at``; role 2:
@@ -79,40 +81,41 @@ def _variants(lines: DataFrame) -> DataFrame:
         each = F.transform("w", lambda word, j: F.xxhash64(word, (j + 1 - shift).cast("int")))
         return F.aggregate(each, zero, lambda have, h: F.concat(have, F.array(F.element_at(have, -1).bitwiseXOR(h))))
 
-    summed = lines.select("k", "missing", "id", "line_no", _words(F.col("line")).alias("w"))
-    summed = summed.select("*", F.size("w").alias("n"), folded(0).alias("p"), folded(1).alias("q")).drop("w")
-    last = F.col("n")
-    whole = F.get("p", last)
+    summed = lines.select("turn", _words(F.col("line")).alias("w"))
+    summed = summed.select("turn", F.size("w").alias("n"), folded(0).alias("p"), folded(1).alias("q"))
+    last, i = F.col("n"), F.col("i")
+    # exploded first, so that the keys are made by generated code and not in a lambda
+    each = summed.select("*", F.explode(F.sequence(F.lit(0), F.when(last >= LEAST_WORDS, last).otherwise(0))).alias("i"))
+    whole, before = F.get("p", last), F.get("p", i - 1)
+    one = F.get("p", i).bitwiseXOR(before)
+    rest = before.bitwiseXOR(F.get("q", last)).bitwiseXOR(F.get("q", i))
 
-    def at_word(i: Column) -> Column:
-        own = F.get("p", i).bitwiseXOR(F.get("p", i - 1))
-        rest = F.get("p", i - 1).bitwiseXOR(F.get("q", last)).bitwiseXOR(F.get("q", i))
-        swapped = F.struct(F.xxhash64(F.lit(0), "n", i, whole.bitwiseXOR(own)).alias("key"), F.lit(0).alias("role"), i.alias("at"))
-        deleted = F.struct(F.xxhash64(F.lit(1), last - 1, rest).alias("key"), F.lit(1).alias("role"), i.alias("at"))
-        return F.array(swapped, deleted)
+    def variant(role: int, *key: Column) -> Column:
+        return F.struct(F.xxhash64(*key).alias("key"), F.lit(role).alias("role"), i.alias("at"))
 
-    own = F.struct(F.xxhash64(F.lit(1), "n", whole).alias("key"), F.lit(2).alias("role"), F.lit(0).alias("at"))
-    edited = F.flatten(F.transform(F.sequence(F.lit(1), last), at_word))
-    every = F.when(last >= LEAST_WORDS, F.concat(F.array(own), edited)).otherwise(F.array(own))
-    return summed.select("k", *_PLACE, F.inline(every))
+    own = variant(2, F.lit(1), last, whole)
+    swapped, deleted = variant(0, F.lit(0), last, i, whole.bitwiseXOR(one)), variant(1, F.lit(1), last - 1, rest)
+    return each.select("turn", F.inline(F.when(i == 0, F.array(own)).otherwise(F.array(swapped, deleted))))
 
 
 def _near_copies(lines: DataFrame) -> DataFrame:
     """k of the lines that are one word edit away from an earlier line."""
-    some = stored(lines.join(_near_candidates(lines), "k", "left_semi").select("k", "line", *_PLACE), "line-candidates")
+    some = lines.join(_near_candidates(lines), "k", "left_semi").select("k", "line", *_PLACE).orderBy(*_PLACE)
+    # turns rise with places: the least turn of a key is its earliest line
+    some = stored(some.select("*", F.monotonically_increasing_id().alias("turn")), "line-candidates")
     variants = stored(_variants(some), "line-variants")
     # each group is known by its earliest members only: no pair of a group is formed
-    own = F.struct(*_PLACE, "k", "at")
+    of = {r: F.when(F.col("role") == r, F.col("turn")) for r in (0, 1, 2)}
     earliest = variants.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), *(F.min(F.when(F.col("role") == r, own)).alias(f"first{r}") for r in (0, 1, 2))
+        F.count(F.lit(1)).alias("n"), *(F.min(of[r]).alias(f"first{r}") for r in of), F.min_by("at", of[1]).alias("at1")
     )
     met = variants.join(earliest.where("n > 1").drop("n"), "key")
     partner = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
-    pairs = met.withColumn("partner", partner).where(_place("partner.") < _place())
-    pairs = pairs.select("k", "role", "at", F.col("partner.k").alias("other"), F.col("partner.at").alias("other_at"))
-    pairs = stored(pairs.distinct(), "line-pairs")
-    texts = some.select("k", _words(F.col("line")).alias("a"))
-    both = pairs.join(texts, "k").join(texts.select(F.col("k").alias("other"), F.col("a").alias("b")), "other")
+    pairs = met.withColumn("other", partner).where("other < turn")
+    pairs = stored(pairs.select("turn", "role", "at", "other", F.col("at1").alias("other_at")).distinct(), "line-pairs")
+    texts = some.select("turn", "k", _place().alias("place"), _words(F.col("line")).alias("a"))
+    others = texts.select(F.col("turn").alias("other"), F.col("place").alias("other_place"), F.col("a").alias("b"))
+    both = pairs.join(texts, "turn").join(others, "other").where("other_place < place")
     edit = (
         F.when(F.col("role") == 0, _without(F.col("a"), F.col("at")) == _without(F.col("b"), F.col("at")))
         .when(F.col("role") == 1, _without(F.col("a"), F.col("at")) == F.col("b"))
@@ -155,9 +158,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row, dropped = free_name(docs, "_row_key"), free_name(docs, "_gone")
     keyed = docs.drop("n_removed").withColumn(row, _row_key(id_col, text_col))
     joined = keyed.join(gone.select(F.col("row_key").alias(row), F.col("lines").alias(dropped)), row, "left")
-    parts = F.split(text_col, "\n", -1)
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(dropped)))
-    left = F.when(F.size(stay) > 0, F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).otherwise("")
+    # a column of its own: inside the lambda the text would be split once a line
+    split = free_name(joined, "_parts")
+    joined = joined.withColumn(split, F.when(F.col(dropped).isNotNull(), F.split(text_col, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(dropped))  # keeps the order
+    left = F.when(F.size(stay) > 0, F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).otherwise("")
     removed = F.coalesce(F.size(dropped), F.lit(0)).cast("long")
     text = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(left)
     return joined.withColumn("n_removed", removed).withColumn(text_col, text).select(
