@@ -243,6 +243,60 @@ def test_passages_seen_in_pieces(spark):
     assert found == {(n - 5, 50, 60, n - 6, 50, 60, 1.0), (n - 3, 50, 60, n - 4, 50, 60, 1.0), (n - 1, 50, 300, n - 2, 50, 300, 1.0)}
 
 
+@pytest.mark.parametrize(
+    ("size", "edited", "piece", "share"),
+    [(60, 0, 30, 0.99), (43, 0, 22, 0.99), (60, 3, 20, 0.95), (60, 6, 30, 0.95), (100, 10, 25, 0.95), (60, 6, 0, 0.95)],
+)
+def test_edited_passages_seen_in_pieces(spark, size, edited, piece, share):
+    """Of 40 passages with changed words, whose pieces other documents had first, this share of words is covered."""
+    random_ = random.Random(size + edited + piece)
+    word = [f"w{i}" for i in range(50_000)]
+    fill = lambda: random_.choices(word, k=50)
+    early, whole, late = [], [], []
+    for _ in range(40):
+        passage = random_.choices(word, k=size)
+        copy = list(passage)
+        for n in range(edited):  # spread evenly, so that the similarity of every part is that of the whole
+            copy[(2 * n + 1) * size // (2 * edited)] = f"new{n}"
+        early += [fill() + passage[i : i + piece] + fill() for i in range(0, size, piece)] if piece else []
+        whole.append(fill() + passage + fill())
+        late.append(fill() + copy + fill())
+    texts = early + whole + late
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        covered[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+    first = len(texts) - 40
+    found = sum(len(covered[i] & set(range(50, 50 + size))) for i in range(first, len(texts)))
+    assert found >= share * 40 * size
+    assert not any(covered[i] & set(range(45)) for i in range(len(texts)))
+
+
+def test_links_of_places(spark):
+    """First and last places before, over any cut into tasks, for a seed of very many places too."""
+    random_ = random.Random(5)
+    rows = [(False, i, 0, random_.choice([1, 1, 1, 2, 3, *range(10, 200)]), p) for i in range(60) for p in range(8)]
+    frame = spark.createDataFrame([*rows, rows[7]], "missing boolean, id long, hash long, seed long, pos int")
+    want, seen = {}, {}
+    for _, i, _, seed, p in sorted(rows):
+        if seed in seen:
+            first, last = seen[seed]
+            want[i, p] = (first, None if last == first else last)
+        seen[seed] = (seen.get(seed, ((i, p),))[0], (i, p))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found = passages._matches(passages._links(frame)).collect()
+            cut = lambda x: x and (x.id, x.pos)
+            assert len(found) == len(want)
+            assert {(r.id, r.pos): (cut(r.first), cut(r.last)) for r in found} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_segments_are_all_similar_parts():
     """Every part between two matches that is similar enough is covered, and nothing else is told."""
     random_ = random.Random(9)
