@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from pagetally.llm.common import stored
 
 SCALE = 256  # fixed-point steps to one
-LARGEST = 65536.0  # components at or beyond this do not fit the fixed-point form
 GROUP_ROWS = 8192  # candidates that one task holds
 BLOCK_ROWS = 512  # candidates compared at once
 SAMPLE_ROWS = 4096  # vectors that the rotation is fitted on
 SEED_ROWS = 2048  # longest vectors that give each query its first threshold
-_NONE = -(1 << 62)
+WHOLE = 2.0**62  # scores that may be larger are summed as Python integers
+TOP = (1 << 63) - 1  # larger scores are given as this, smaller than its negative as that
 
 
 def fixed_point(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(row_no, id, dim, ints, norm): valid vectors, components as floor(256 x)."""
+    """(row_no, id, dim, ints, norm): valid vectors, components as floor(256 x), whole numbers in doubles.
+
+    A double from 2^52 on is whole already, so these are exact at any size.
+    """
     x = F.col(vector_col)
-    valid = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < LARGEST))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
-    rows = vectors.where(valid & (F.size(x) > 0)).select(F.col(id_col).cast("long").alias("id"), ints.alias("ints"))
-    square = F.aggregate("ints", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    scaled = lambda v: v.cast("double") * SCALE
+    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(scaled(v)) < F.lit(float("inf"))))
+    ints = F.transform(x, lambda v: F.when(F.abs(scaled(v)) < 2.0**52, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
+    valid = F.col(id_col).isNotNull() & x.isNotNull() & finite & (F.size(x) > 0)
+    rows = vectors.where(valid).select(F.col(id_col).cast("long").alias("id"), ints.alias("ints"))
+    square = F.aggregate("ints", F.lit(0.0), lambda s, v: s + v * v)
     return rows.select(
         F.monotonically_increasing_id().alias("row_no"), "id", F.size("ints").alias("dim"), "ints", F.sqrt(square).alias("norm")
     )
@@ -40,59 +45,103 @@ def rotations(vectors: DataFrame, sample: int = SAMPLE_ROWS) -> dict[int, np.nda
     by_dim: dict[int, list] = {}
     for row in rows:
         by_dim.setdefault(row.dim, []).append(row.ints)
-    return {d: np.linalg.svd(np.array(v, float), full_matrices=True)[2].T for d, v in by_dim.items()}
+    scaled = {d: np.array(v) / max(1.0, np.abs(v).max()) for d, v in by_dim.items()}
+    return {d: np.linalg.svd(v, full_matrices=True)[2].T for d, v in scaled.items()}
+
+
+def _turn(ints: np.ndarray, rotation: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotated vectors, lengths, lengths of what is left after ``head`` terms).
+
+    Vectors too long for a double have infinite lengths, which prune nothing.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        turned = ints @ rotation
+        norm, rest = np.linalg.norm(turned, axis=1), np.linalg.norm(turned[:, head:], axis=1)
+    far = ~np.isfinite(norm)
+    turned[far], norm[far], rest[far] = 0.0, np.inf, np.inf
+    return turned, norm, rest
+
+
+def _scores(a: np.ndarray, b: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Inner products of rows; ``longest`` is above each. Python integers where 64 bits may not do."""
+    fits = longest < WHOLE
+    if fits.all():
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    out = np.empty(len(a), object)
+    out[fits] = np.einsum("ij,ij->i", a[fits].astype(np.int64), b[fits].astype(np.int64))
+    for i in np.flatnonzero(~fits):
+        out[i] = sum(int(x) * int(y) for x, y in zip(a[i], b[i], strict=True))
+    return out
+
+
+def _sortable(n: int) -> bytes | None:
+    """Bytes in the order of the numbers of one sign; none for what fits a long."""
+    if abs(n) < TOP:
+        return None
+    body = abs(n).to_bytes((abs(n).bit_length() + 7) // 8, "big")
+    raw = len(body).to_bytes(2, "big") + body
+    return raw if n > 0 else bytes(255 - x for x in raw)
 
 
 class Group:
     """Candidates in order of falling length, rotated, with the lengths of what is left."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, ints: np.ndarray, rotation: np.ndarray | None):
-        order = np.argsort(-np.linalg.norm(ints.astype(float), axis=1), kind="stable")
-        self.rows, self.ids, self.ints = rows[order], ids[order], ints[order]
         self.rotation = np.eye(ints.shape[1]) if rotation is None else rotation
-        self.turned = self.ints @ self.rotation
         self.head = max(1, ints.shape[1] // 4)
-        self.norm = np.linalg.norm(self.turned, axis=1)
-        self.rest = np.linalg.norm(self.turned[:, self.head :], axis=1)
+        turned, norm, rest = _turn(ints, self.rotation, self.head)
+        order = np.argsort(-norm, kind="stable")
+        self.rows, self.ids, self.ints = rows[order], ids[order], ints[order]
+        self.turned, self.norm, self.rest = turned[order], norm[order], rest[order]
 
     def search(self, rows: np.ndarray, ints: np.ndarray, least: np.ndarray, k: int):
         """(query, id, score) arrays: up to k best of each query that reach ``least``."""
-        turned = ints @ self.rotation
-        norm, rest = np.linalg.norm(turned, axis=1), np.linalg.norm(turned[:, self.head :], axis=1)
+        turned, norm, rest = _turn(ints, self.rotation, self.head)
         least = least.copy()
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         for start in range(0, len(self.ids), BLOCK_ROWS):
             block = slice(start, start + BLOCK_ROWS)
-            longest = norm * self.norm[start]
-            open_ = np.flatnonzero(longest * (1 + 1e-9) + 1e-6 >= least)
-            if not len(open_):
-                break  # all that follow are shorter still
-            # partial sum plus Cauchy-Schwarz on the rest is above every score
-            bound = turned[open_, : self.head] @ self.turned[block, : self.head].T
-            bound += np.outer(rest[open_], self.rest[block]) + (1e-9 * longest[open_] + 1e-6)[:, None]
-            q, c = np.nonzero(bound >= least[open_][:, None])
+            # infinite lengths may give NaN, which must count as within reach
+            with np.errstate(over="ignore", invalid="ignore"):
+                longest = norm * self.norm[start]
+                open_ = np.flatnonzero(~(longest * (1 + 1e-9) + 1e-6 < least))
+                if not len(open_):
+                    break  # all that follow are shorter still
+                # partial sum plus Cauchy-Schwarz on the rest is above every score
+                bound = turned[open_, : self.head] @ self.turned[block, : self.head].T
+                bound += np.outer(rest[open_], self.rest[block]) + (1e-9 * longest[open_] + 1e-6)[:, None]
+            q, c = np.nonzero(~(bound < least[open_][:, None]))
             q, c = open_[q], c + start
             other = rows[q] != self.rows[c]
             q, c = q[other], c[other]
             for cut in range(0, len(q), 1 << 16):
                 part = slice(cut, cut + (1 << 16))
-                score = np.einsum("ij,ij->i", ints[q[part]], self.ints[c[part]])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = _scores(ints[q[part]], self.ints[c[part]], norm[q[part]] * self.norm[c[part]] * (1 + 1e-9))
                 best = _best(*(np.concatenate(x) for x in zip(best, (q[part], self.ids[c[part]], score), strict=True)), k)
             full = np.flatnonzero(np.bincount(best[0], minlength=len(least)) >= k)
             if len(full):
                 last = np.searchsorted(best[0], full, "right") - 1
-                least[full] = np.maximum(least[full], best[2][last])
+                least[full] = np.maximum(least[full], _floats(best[2][last]))
         return best
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
-    order = np.lexsort((ids, -score, query))
+    by = score if score.dtype != object else np.unique(score, return_inverse=True)[1]
+    order = np.lexsort((ids, -by, query))
     query, ids, score = query[order], ids[order], score[order]
     place = np.arange(len(query)) - np.searchsorted(query, query, "left")
     keep = place < k
     return query[keep], ids[keep], score[keep]
 
 
+def _floats(score: np.ndarray) -> np.ndarray:
+    """Scores as doubles; below every score that a double cannot tell from them, with the bounds' margin."""
+    if score.dtype != object:
+        return score.astype(float)
+    return np.array([float(x) if abs(x) < 1 << 1023 else -np.inf for x in score])
+
+
 def _ints(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return batch.column("ints").flatten().to_numpy().reshape(-1, dim)
 
@@ -110,20 +159,20 @@ def _thresholds(queries: DataFrame, index: DataFrame, turns: dict[int, np.ndarra
             for d, s in seeds.items()
         }
         for batch in batches:
-            least = np.full(batch.num_rows, _NONE, np.int64)
+            least = np.full(batch.num_rows, -np.inf)
             dims = batch.column("dim").to_numpy()
             numbers = batch.column("row_no").to_numpy()
             for d in np.unique(dims):
                 if int(d) in groups:
                     at = np.flatnonzero(dims == d)
                     ints = _ints(batch.take(pa.array(at)), int(d))
-                    q, _, score = groups[int(d)].search(numbers[at], ints, np.full(len(at), _NONE, np.int64), k)
+                    q, _, score = groups[int(d)].search(numbers[at], ints, np.full(len(at), -np.inf), k)
                     full = np.flatnonzero(np.bincount(q, minlength=len(at)) >= k)
-                    least[at[full]] = score[np.searchsorted(q, full, "right") - 1]
+                    least[at[full]] = _floats(score[np.searchsorted(q, full, "right") - 1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], [*batch.schema.names, "least"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInArrow(scan, f"{schema}, least long")
+    return queries.mapInArrow(scan, f"{schema}, least double")
 
 
 def top_k(
@@ -145,8 +194,9 @@ def top_k(
     groups whose longest vector can still reach it, and there passes over candidates whose
     partial sum and rest cannot. A task holds one group, and queries in batches.
 
-    Vectors that are null or empty, or hold a null, non-finite or too large component
-    (65536 or more), take no part, nor do rows without identifier. Rows that repeat an
+    Vectors that are null or empty, or hold a null or a component that times 256 is not
+    finite, take no part, nor do rows without identifier. Scores beyond 63 bits are ranked
+    exactly and given as the largest or smallest of those. Rows that repeat an
     identifier are rows of their own: they are candidates for one another, and each asks.
     An empty table gives no rows; other columns do not matter.
     """
@@ -161,7 +211,7 @@ def top_k(
     reach = F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least")
     sent = asked.drop("part").join(bounds, "dim").where(reach)
     columns = ["dim", "part", "kind", "row_no", "id", "ints", "least"]
-    candidates = index.select("*", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("least")).select(columns)
+    candidates = index.select("*", F.lit(0).alias("kind"), F.lit(0.0).alias("least")).select(columns)
     tiles = candidates.unionByName(sent.select("*", F.lit(1).alias("kind")).select(columns))
     tasks = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = tiles.repartition(tasks, "dim", "part").sortWithinPartitions("dim", "part", "kind")
@@ -185,12 +235,16 @@ def top_k(
                 if group is None:
                     group = Group(*(np.concatenate(x) for x in zip(*held, strict=True)), turns.get(dim))
                 q, found, score = group.search(numbers, _ints(piece, dim), piece.column("least").to_numpy(), k)
+                beyond = pa.nulls(len(q), pa.binary())
+                if score.dtype == object:
+                    beyond = pa.array([_sortable(x) for x in score], pa.binary())
+                    score = np.array([max(-TOP, min(TOP, x)) for x in score], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[q]), pa.array(ids[q]), pa.array(found), pa.array(score)],
-                    ["query_no", "query_id", "vec_id", "score"],
+                    [pa.array(numbers[q]), pa.array(ids[q]), pa.array(found), pa.array(score), beyond],
+                    ["query_no", "query_id", "vec_id", "score", "beyond"],
                 )
 
-    found = dealt.mapInArrow(search, "query_no long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(search, "query_no long, query_id long, vec_id long, score long, beyond binary")
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -389,6 +390,28 @@ def test_top_k(spark):
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_of_large_components(spark):
+    """Scores that 64 bits do not hold are ranked as whole numbers; nothing is left out for its size."""
+    from pyspark.sql import functions as F
+
+    random_ = np.random.default_rng(8)
+    scale = 10.0 ** random_.choice([0, 3, 7, 12, 30, 170, 300], 300)
+    vectors = random_.normal(0, 1, (300, 6)) * scale[:, None]
+    vectors[:2] = [[70_000, 0, 0, 0, 0, 0], [70_000, 1, 0, 0, 0, 0]]
+    vectors[250:] = vectors[20] * random_.choice([1, -1], (50, 1))  # ties and opposites
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    ints = [[math.floor(Fraction(x) * 256) for x in v] for v in vectors.tolist()]
+    top = (1 << 63) - 1
+    for group_rows in (40, 8192):
+        got = defaultdict(list)
+        for r in topk.top_k(frame, F.col("id") % 5 == 0, group_rows=group_rows).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        for q in range(0, 300, 5):
+            score = [sum(a * b for a, b in zip(ints[q], v, strict=True)) for v in ints]
+            best = sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]
+            assert sorted(got[q]) == [(k + 1, i, max(-top, min(top, -s))) for k, (s, i) in enumerate(best)]
+
+
 def _labelled(spark, label):
     docs = spark.read.parquet(f"{LARGE}/documents.parquet").join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id")
     rows = docs.orderBy("doc_id").select("doc_id", "text", label).collect()
