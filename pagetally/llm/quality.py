@@ -10,7 +10,6 @@ from pagetally.llm.subwords import Corpus, Scorer, Settings, Softmax
 
 FOLDS, FOLD = 5, 0  # the fold that is never learned from
 TRAIN_ROWS = 3000  # most labelled rows that are learned from
-TRAIN_WORDS = 2000  # longest run of one text that a training pass looks at
 THRESHOLD = 0.3
 SETTINGS = Settings(pairs=True, epochs=3)
 
@@ -21,20 +20,17 @@ def words(text: bytes) -> list[bytes]:
 
 
 def fit(rows: list[tuple[bytes, int]], settings: Settings = SETTINGS) -> Scorer:
-    """Learn from (text, label) rows, each text as the mean of its word, pair and n-gram vectors.
+    """Learn from (text, label) rows, each whole text as the mean of its word, pair and n-gram vectors.
 
-    A pass looks at the whole of each text, or at another run of ``TRAIN_WORDS`` of a
-    longer one each time. Without rows, or with one class only, every text gets that class's share.
+    Without rows, or with one class only, every text gets that class's share.
     """
     labels = np.array([y for _, y in rows], np.int64)
     if len(rows) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Scorer(settings, np.zeros(settings.buckets, np.float32), float(np.log(share / (1 - share))))
     corpus, model = Corpus((words(text) for text, _ in rows), settings), Softmax(settings)
-    size = np.minimum(corpus.sizes, TRAIN_WORDS)
-    picks = np.random.default_rng(settings.seed)
     for _ in range(settings.epochs):
-        model.learn(corpus, corpus.begin + picks.integers(0, corpus.sizes - size + 1), size, labels)
+        model.learn(corpus, corpus.begin, corpus.sizes, labels)
     return model.scorer()
 
 

@@ -7,7 +7,7 @@ never seen shares vectors with those that look like it. A text is the mean of it
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +15,7 @@ import numpy as np
 _PRIME = np.uint64(1099511628211)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 400_000  # words a task remembers
+BLOCK_WORDS = 50_000  # words whose features are held at once in training
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,10 @@ def word_features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarr
 
 def pair_features(hashes: np.ndarray, s: Settings) -> np.ndarray:
     """Hashed pairs of neighbours; a word that follows itself is one feature, whatever the word."""
-    left, right = hashes[:-1], hashes[1:]
+    return _pair_features(hashes[:-1], hashes[1:], s)
+
+
+def _pair_features(left: np.ndarray, right: np.ndarray, s: Settings) -> np.ndarray:
     return _bucket(np.where(left == right, np.uint64(0), left * _PRIME + right) + np.uint64(1 << 41), s.buckets)
 
 
@@ -98,26 +102,61 @@ class Corpus:
         """Mean pull of each token's features."""
         return (np.add.reduceat(pulls.astype(np.float32)[self.features], self.first) / self.counts)[self.tokens]
 
-    def bags(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(feature, weight, row) of runs of tokens; the weights of a run sum to 1.
+    def bags(self, start: np.ndarray, size: np.ndarray, block: int = BLOCK_WORDS) -> "Bags":
+        """Runs of tokens as features, in blocks of at most ``block`` tokens."""
+        return Bags(self, start, size, block)
 
-        Each word counts once, as the mean of its features; each pair counts once.
+    def features_of(self, at: np.ndarray, end: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, weight, place in ``at``) of tokens at given places.
+
+        Each word counts once, as the mean of its features; each pair counts once, with its
+        first word. ``end`` is where a token's run ends, ``total`` what the run counts.
         """
-        at = spread(start, size)
-        row = np.repeat(np.arange(len(start)), size)
         token = self.tokens[at]
         count = self.counts[token]
         feature = self.features[spread(self.first[token], count)]
-        total = size + np.maximum(size - 1, 0) if self.settings.pairs else size
-        weight = np.repeat(1 / (count * total[row]), count)
-        row_of = np.repeat(row, count)
+        weight = np.repeat(1 / (count * total), count)
+        place = np.repeat(np.arange(len(at)), count)
         if self.settings.pairs:
-            left = np.flatnonzero(row[1:] == row[:-1])
-            pairs = pair_features(self.hashes[token], self.settings)[left]
+            left = np.flatnonzero(at + 1 < end)
+            following = self.tokens[at[left] + 1]
+            pairs = _pair_features(self.hashes[token[left]], self.hashes[following], self.settings)
             feature = np.concatenate([feature, pairs])
-            weight = np.concatenate([weight, 1 / total[row[left]]])
-            row_of = np.concatenate([row_of, row[left]])
-        return feature, weight, row_of
+            weight = np.concatenate([weight, 1 / total[left]])
+            place = np.concatenate([place, left])
+        return feature, weight, place
+
+
+class Bags:
+    """(feature, weight, row) of whole runs of tokens, block by block; the weights of a run sum to 1.
+
+    What a run of any length needs at once is bounded by the block. A single block is kept
+    for the next pass over it; more are made again.
+    """
+
+    def __init__(self, corpus: Corpus, start: np.ndarray, size: np.ndarray, block: int):
+        self.corpus, self.start, self.size, self.block = corpus, start, size, block
+        self.total = size + np.maximum(size - 1, 0) if corpus.settings.pairs else size
+        self.words = int(size.sum())
+        self._kept: tuple | None = None
+
+    def _block(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens from low to high, counted through all runs."""
+        ends = np.cumsum(self.size)
+        number = np.arange(low, high)
+        row = np.searchsorted(ends, number, "right")
+        at = self.start[row] + number - (ends - self.size)[row]
+        feature, weight, place = self.corpus.features_of(at, (self.start + self.size)[row], self.total[row])
+        return feature, weight, row[place]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.words <= self.block:
+            if self._kept is None:
+                self._kept = self._block(0, self.words)
+            yield self._kept
+            return
+        for low in range(0, self.words, self.block):
+            yield self._block(low, min(low + self.block, self.words))
 
 
 @dataclass
@@ -137,16 +176,25 @@ class Softmax:
         self.bias = np.zeros(2)
         self._past = [np.full(s.buckets, 1e-8), np.full((s.dim, 2), 1e-8), np.full(2, 1e-8)]
 
-    def step(self, bags: tuple, labels: np.ndarray) -> None:
+    def step(self, bags: Bags, labels: np.ndarray) -> None:
         """One stochastic gradient step with Adagrad's step sizes."""
-        (feature, weight, row), s = bags, self.settings
-        part = self.vectors[feature] * weight[:, None]
-        mean = np.stack([np.bincount(row, part[:, d], len(labels)) for d in range(s.dim)], 1)
+        s = self.settings
+        mean = np.zeros((len(labels), s.dim))
+        for feature, weight, row in bags:
+            part = self.vectors[feature] * weight[:, None]
+            mean += np.stack([np.bincount(row, part[:, d], len(labels)) for d in range(s.dim)], 1)
         error = softmax(mean @ self.weights + self.bias)
         error[np.arange(len(labels)), labels] -= 1
         back = error @ self.weights.T
-        keys, inverse = np.unique(feature, return_inverse=True)
-        pull = np.stack([np.bincount(inverse, weight * back[row, d], len(keys)) for d in range(s.dim)], 1)
+        keys, pull = np.empty(0, np.int64), np.empty((0, s.dim))
+        for feature, weight, row in bags:
+            # one row for each feature so far, then those of the block
+            every = np.concatenate([keys, feature])
+            added, inverse = np.unique(every, return_inverse=True)
+            old, new = inverse[: len(keys)], inverse[len(keys) :]
+            total = np.stack([np.bincount(new, weight * back[row, d], len(added)) for d in range(s.dim)], 1)
+            total[old] += pull
+            keys, pull = added, total
         w_pull, b_pull = mean.T @ error / len(labels), error.mean(axis=0)
         self._past[0][keys] += (pull**2).mean(axis=1)
         self.vectors[keys] *= 1 - s.decay

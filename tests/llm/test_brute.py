@@ -441,13 +441,40 @@ def test_scorer_equals_model():
     texts = [(b"good words here again", 1), (b"bad bad noise", 0), (b"", 1), (b"more good words", 1)] * 5
     scorer = quality.fit(texts, settings)
     corpus = subwords.Corpus([t.split() for t, _ in texts], settings)
-    feature, weight, row = corpus.bags(corpus.begin, corpus.sizes)
+    (feature, weight, row), = corpus.bags(corpus.begin, corpus.sizes)
     pull = np.bincount(row, weight * scorer.pulls[feature], len(texts))
     want = 1 / (1 + np.exp(-pull - scorer.bias))
     got = [scorer.whole(t.split()) for t, _ in texts]
     assert np.allclose(got, want)
 
 
+@pytest.mark.parametrize("pairs", [True, False])
+def test_blocks_of_a_text_add_up(pairs):
+    """A step over texts cut into blocks is the step over whole ones, pairs at the cuts included."""
+    settings = subwords.Settings(pairs=pairs)
+    random_ = np.random.default_rng(4)
+    texts = [[b"w%d" % x for x in random_.integers(0, 40, n)] for n in (90, 1, 0, 300, 2)]
+    corpus, labels = subwords.Corpus(texts, settings), np.array([0, 1, 1, 0, 1])
+    whole, cut = subwords.Softmax(settings), subwords.Softmax(settings)
+    for _ in range(3):
+        whole.step(corpus.bags(corpus.begin, corpus.sizes), labels)
+        cut.step(corpus.bags(corpus.begin, corpus.sizes, block=7), labels)
+    assert np.allclose(whole.vectors, cut.vectors) and np.allclose(whole.weights, cut.weights)
+
+
+def test_quality_learns_from_the_end_of_long_texts():
+    random_ = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        body = random_.choice([b"one", b"two", b"three", b"four"], 20_000).tolist()
+        end = [b"lucid" if i % 2 else b"gibber"] * 1_000
+        rows.append((b" ".join(body[:-1_000] + end), i % 2))
+    scorer = quality.fit(rows)
+    assert scorer.whole([b"lucid"]) > 0.5 > scorer.whole([b"gibber"])
+    scores = [scorer.whole(t.split()) for t, _ in rows]
+    assert min(s for s, (_, y) in zip(scores, rows, strict=True) if y) > max(s for s, (_, y) in zip(scores, rows, strict=True) if not y)
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against what its operator says of its own input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
