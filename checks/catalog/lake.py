@@ -105,6 +105,22 @@ for _name in lake.ENCODINGS:
     SQL[f"lake_page_views_{_name}"] = VIEW_SQL
 
 
+_PATHS = ("/en/471", "/fr/414", "/en/334/")
+
+
+def _skipping(s, d):
+    """A path filter over a table compacted to be skipped by path and referrer."""
+    root = shared_dir(s, f"skipping/{uuid4().hex}")
+    source, target = f"{root}/small", f"{root}/large"
+    lake.write_events(stored_events(s, d), source, "1")
+    lake.compact(s, source, target, "1", skip_by=["path", "referrer"])
+    return lake.read_page_views(s, target, QuerySpec({"paths": list(_PATHS)}), instance=None)
+
+
+QUERIES["lake_compact_skipping"] = _skipping
+SQL["lake_compact_skipping"] = f"{VIEW_SQL} and ({' or '.join(f"path = '{p}'" for p in _PATHS)})"
+
+
 def _properties(kind):
     """Property extraction without storage."""
 

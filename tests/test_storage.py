@@ -345,3 +345,51 @@ def test_common_sources(spark):
     rows = spark.createDataFrame([("www.google.com",), ("mail.google.com",)], "h string")
     got = dict(rows_of(lk.with_referrer_source(rows, F.col("h"), lk.common_sources(spark)), "h", "referrer_source"))
     assert got == {"www.google.com": "Google", "mail.google.com": "Gmail"}
+
+
+def _rows_scanned(frame):
+    """(rows that the frame's scans hand on after skipping row groups and pages, rows of the result)."""
+    count = len(frame.collect())
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())), count
+
+
+def test_compaction_by_dimensions_lets_filters_skip(spark, tmp_path):
+    """Frequent paths, rare referrers and NULL are found in few row groups; the rows stay the same."""
+    import pyarrow.parquet as pq
+
+    moments = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pmod(hash(id), 2600000))"
+    values = {"path": "concat('/p', pmod(hash(id, 1), 60))", "referrer": "if(id % 50 = 0, null, concat('https://', xxhash64(id), '.org'))"}
+    rows = spark.range(60_000).selectExpr(
+        "'main' as instance", "'hot' as entity_id", f"{moments} as timestamp", "'pageview' as type",
+        "named_struct(" + ", ".join(f"'{d}', {values.get(d, 'cast(null as string)')}" for d in DIMENSIONS) + ") as properties",
+    )
+    source, plain, skipping = (str(tmp_path / name) for name in ("e", "plain", "skipping"))
+    lake.write_events(rows, source, "1")
+    small = 16 * 1024
+    lake.compact(spark, source, plain, "1", row_group_bytes=small)
+    lake.compact(spark, source, skipping, "1", skip_by=["path", "referrer"], row_group_bytes=small)
+    files = glob.glob(f"{skipping}/**/*.parquet", recursive=True)
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) >= 100  # a site of a real size has as many
+    wanted = lake.read_events(spark, plain).where("properties.referrer is not null").first()["properties"]["referrer"]
+    for spec in ({"paths": ["/p7"]}, {"referrers": [wanted]}):
+        old, new = (lake.read_page_views(spark, path, QuerySpec(spec)) for path in (plain, skipping))
+        assert rows_of(old) == rows_of(new)
+        scanned, found = _rows_scanned(new)
+        assert 0 < found <= scanned < 60_000 / 4
+    assert _rows_scanned(lake.read_page_views(spark, plain, QuerySpec({"paths": ["/p7"]})))[0] > 60_000 / 4
+    assert rows_of(lake.read_page_views(spark, plain)) == rows_of(lake.read_page_views(spark, skipping))
+
+
+def test_compaction_by_dimensions_refuses(spark, tmp_path):
+    with pytest.raises(ValueError):
+        lake.compact(spark, "x", "y", "1", encoding="json", skip_by=["path"])
+    with pytest.raises(ValueError):
+        lake.skip_key(["colour"])
+
+
+def test_interleaved_bits(spark):
+    got = spark.range(64).select("id", lake.interleaved([F.shiftright("id", 3), F.col("id") % 8], 3).alias("key")).collect()
+    for r in got:
+        a, b = r["id"] >> 3, r["id"] % 8
+        assert r["key"] == sum((a >> i & 1) << (2 * i + 1) | (b >> i & 1) << (2 * i) for i in range(3))
