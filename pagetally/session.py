@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 # Results depend on UTC wall clocks. The adaptive settings let Spark size
 # partitions and split hot keys at run time. The JVM never compiles a method above
 # 8000 bytes, so a stage whose fused code is larger is better run unfused.
+# Variants are stored in typed parts, and a query reads those of the properties it names.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.variant.writeShredding.enabled": "true",
+    "spark.sql.variant.inferShreddingSchema": "true",
+    "spark.sql.variant.pushVariantIntoScan": "true",
 }
 
 

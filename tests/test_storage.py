@@ -393,3 +393,36 @@ def test_interleaved_bits(spark):
     for r in got:
         a, b = r["id"] >> 3, r["id"] % 8
         assert r["key"] == sum((a >> i & 1) << (2 * i + 1) | (b >> i & 1) << (2 * i) for i in range(3))
+
+
+def test_variants_are_stored_in_typed_parts(spark, sf_dir, tmp_path):
+    """A property of a variant has a column of its own; one filter and one column read that alone."""
+    import pyarrow.parquet as pq
+
+    def column_bytes(path, part):
+        total = 0
+        for file in glob.glob(f"{path}/**/*.parquet", recursive=True):
+            meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                columns = [meta.row_group(g).column(c) for c in range(meta.num_columns)]
+                total += sum(c.total_compressed_size for c in columns if c.path_in_schema.startswith(part))
+        return total
+
+    typed, whole = str(tmp_path / "typed"), str(tmp_path / "whole")
+    events = stored_events(spark, sf_dir)
+    lake.write_events(events, typed, "1", "variant")
+    spark.conf.set("spark.sql.variant.writeShredding.enabled", "false")
+    try:
+        lake.write_events(events, whole, "1", "variant")
+    finally:
+        configure(spark)
+    part = "properties.typed_value.country_code"
+    assert 0 < column_bytes(typed, part) < column_bytes(whole, "properties") / 4
+    assert column_bytes(whole, part) == 0
+    spec = QuerySpec({"country_codes": ["FR", "DE"]})
+    old, new = (lake.read_page_views(spark, p, spec, None, "variant").select("service_id", "country_code") for p in (whole, typed))
+    assert rows_of(old) == rows_of(new)
+    assert rows_of(lake.read_page_views(spark, typed, None, None, "variant")) == rows_of(lake.read_page_views(spark, whole, None, None, "variant"))
+    plan = plan_of(new)
+    assert "PushedFilters" in plan and "properties.`0`" in plan  # the typed part's own statistics are asked
+    assert "variant" not in plan.split("ReadSchema:")[1].split("\n")[0]
