@@ -62,14 +62,16 @@ def _turn(ints: np.ndarray, rotation: np.ndarray, head: int) -> tuple[np.ndarray
     return turned, norm, rest
 
 
-def _scores(a: np.ndarray, b: np.ndarray, longest: np.ndarray) -> np.ndarray:
-    """Inner products of rows; ``longest`` is above each. Python integers where 64 bits may not do."""
-    fits = longest < WHOLE
-    if fits.all():
-        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+def _longs(ints: np.ndarray) -> np.ndarray:
+    """As 64-bit integers; those that do not fit are not looked at, but for products with zeros."""
+    with np.errstate(invalid="ignore"):
+        return ints.astype(np.int64)
+
+
+def _long_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows as Python integers."""
     out = np.empty(len(a), object)
-    out[fits] = np.einsum("ij,ij->i", a[fits].astype(np.int64), b[fits].astype(np.int64))
-    for i in np.flatnonzero(~fits):
+    for i in range(len(a)):
         out[i] = sum(int(x) * int(y) for x, y in zip(a[i], b[i], strict=True))
     return out
 
@@ -92,12 +94,13 @@ class Group:
         turned, norm, rest = _turn(ints, self.rotation, self.head)
         order = np.argsort(-norm, kind="stable")
         self.rows, self.ids, self.ints = rows[order], ids[order], ints[order]
+        self.longs = _longs(self.ints)
         self.turned, self.norm, self.rest = turned[order], norm[order], rest[order]
 
     def search(self, rows: np.ndarray, ints: np.ndarray, least: np.ndarray, k: int):
         """(query, id, score) arrays: up to k best of each query that reach ``least``."""
         turned, norm, rest = _turn(ints, self.rotation, self.head)
-        least = least.copy()
+        least, longs = least.copy(), _longs(ints)
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         for start in range(0, len(self.ids), BLOCK_ROWS):
             block = slice(start, start + BLOCK_ROWS)
@@ -116,8 +119,12 @@ class Group:
             q, c = q[other], c[other]
             for cut in range(0, len(q), 1 << 16):
                 part = slice(cut, cut + (1 << 16))
+                score = np.einsum("ij,ij->i", longs[q[part]], self.longs[c[part]])
                 with np.errstate(over="ignore", invalid="ignore"):
-                    score = _scores(ints[q[part]], self.ints[c[part]], norm[q[part]] * self.norm[c[part]] * (1 + 1e-9))
+                    large = np.flatnonzero(~(norm[q[part]] * self.norm[c[part]] * (1 + 1e-9) < WHOLE))
+                if len(large):
+                    score = score.astype(object)
+                    score[large] = _long_scores(ints[q[part][large]], self.ints[c[part][large]])
                 best = _best(*(np.concatenate(x) for x in zip(best, (q[part], self.ids[c[part]], score), strict=True)), k)
             full = np.flatnonzero(np.bincount(best[0], minlength=len(least)) >= k)
             if len(full):
