@@ -180,6 +180,7 @@ WIDE = 4  # 64-bit words of a wide fingerprint
 SHARDS = 8  # least shingle hashes that name a document's shards
 SLACK = 4.0  # standard deviations of the fingerprint distance that a search for candidates allows
 TILE_SHINGLES = 1_000_000  # of the sets in one part of a group of candidates
+SEARCH_PAIRS = 1 << 20  # of queries and fingerprints of a tile that one search may meet
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(1, SHARDS + WIDE + 1)], np.uint64)
 
 
@@ -224,23 +225,54 @@ def radius_for(similarity: float, bits: int = 64 * WIDE, slack: float = 1.0) ->
 
 
 def _similar(node: list[int], fp: np.ndarray, sets: list[np.ndarray], member: np.ndarray, query: np.ndarray, radius: int, similarity: float):
-    """Links (node, node) that connect all pairs of a tile with that Jaccard similarity, a pair already connected left out."""
+    """Links (node, node) that connect all pairs of a tile with that Jaccard similarity, a pair already connected left out.
+
+    The tile's BK-tree finds the pairs within the radius; their sets decide. Queries of the largest
+    component known so far search a tree of what is not in it, so copies are not expanded into all pairs.
+    """
+    at, asks = np.flatnonzero(member), np.flatnonzero(query)
+    if not len(at):
+        return []
     size = np.array([len(x) for x in sets])
-    at = np.flatnonzero(member)
     label = np.arange(len(node))
     out = []
-    for q in np.flatnonzero(query):
-        distance = distances(fp[at], fp[q][None])
-        fit = (distance <= radius) & (np.minimum(size[at], size[q]) >= similarity * np.maximum(size[at], size[q]) - 1e-9)
-        if member[q]:
-            fit &= at < q
-        for n in at[fit][np.argsort(distance[fit], kind="stable")]:
-            if label[n] == label[q]:
-                continue
-            shared = len(np.intersect1d(sets[n], sets[q], assume_unique=True))
-            if shared >= similarity * (size[n] + size[q] - shared) - 1e-9:
-                label[label == label[n]] = label[q]
-                out.append((node[q], node[n]))
+
+    def tree_of(rows: np.ndarray):
+        values, value = np.unique(fp[rows], axis=0, return_inverse=True)  # equal fingerprints are one node of the tree
+        value = value.ravel()
+        having = np.split(rows[np.argsort(value, kind="stable")], np.cumsum(np.bincount(value))[:-1])
+        return Forest(values, np.zeros(len(values), np.int64)), having
+
+    def search(part: np.ndarray, forest: Forest, having: list[np.ndarray]) -> None:
+        found_q, found_v = forest.search(fp[part], np.zeros(len(part), np.int64), radius)
+        order = np.lexsort((distances(fp[part[found_q]], forest.values[found_v]), found_q))  # the nearest first
+        found_v, cuts = found_v[order], np.searchsorted(found_q[order], np.arange(len(part) + 1))
+        for i, q in enumerate(part):
+            near = [having[v] for v in found_v[cuts[i] : cuts[i + 1]]]
+            near = np.concatenate(near) if near else at[:0]
+            if member[q]:
+                near = near[near < q]
+            fit = np.minimum(size[near], size[q]) >= similarity * np.maximum(size[near], size[q]) - 1e-9
+            for n in near[fit & (label[near] != label[q])]:
+                if label[n] == label[q]:
+                    continue
+                shared = len(np.intersect1d(sets[n], sets[q], assume_unique=True))
+                if shared >= similarity * (size[n] + size[q] - shared) - 1e-9:
+                    label[label == label[n]] = label[q]
+                    out.append((node[q], node[n]))
+
+    whole, start, step = tree_of(at), 0, 1
+    while start < len(asks):
+        part = asks[start : start + step]
+        largest = np.bincount(label[at]).argmax()
+        inside = label[part] == largest
+        others = at[label[at] != largest]
+        if not inside.all():
+            search(part[~inside], *whole)
+        if inside.any() and len(others):
+            search(part[inside], *tree_of(others))
+        start += step
+        step = max(1, min(2 * step, SEARCH_PAIRS // len(at)))
     return out
 
 
@@ -248,7 +280,8 @@ def similar_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b): links that connect the nodes whose sets have that Jaccard similarity, within groups.
 
     ``sets`` has root (the group), parts (of the group), node, fp and hashes (binary, rising).
-    Each pair of parts of a group is a tile, as in ``shard_links``; the sets decide.
+    Each pair of parts of a group is a tile, as in ``shard_links``: a BK-tree of one part is
+    searched by the other; the sets decide.
     """
     cut = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(

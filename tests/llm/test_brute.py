@@ -117,6 +117,41 @@ def test_similar_links_in_parts(spark):
         assert [got.get(i, i) for i in range(40)] == label.tolist()
 
 
+def test_similar_pairs_come_from_the_tree(monkeypatch):
+    """What the BK-tree of a tile finds, and nothing beside it, goes to the sets, which decide."""
+    random_ = np.random.default_rng(13)
+    bases = random_.integers(0, 1 << 62, (6, 120), dtype=np.uint64)
+    sets = [np.unique(random_.choice(bases[i % 6], random_.integers(90, 120), replace=False)) for i in range(60)]
+    centers = random_.integers(0, 1 << 62, (6, simhash.WIDE), dtype=np.uint64)
+    fp = np.array([centers[i % 6] ^ (np.uint64(1) << np.uint64(i % 3)) for i in range(60)])  # many are equal
+    asked = []
+
+    class Spied(simhash.Forest):
+        def search(self, queries, tree, radius):
+            q, n = super().search(queries, tree, radius)
+            asked.append((len(queries), len(q)))
+            return q, n
+
+    monkeypatch.setattr(simhash, "Forest", Spied)
+    monkeypatch.setattr(simhash, "SEARCH_PAIRS", 100)
+    everyone = np.ones(60, bool)
+    for member, query in ((everyone, everyone), (np.arange(60) < 30, np.arange(60) >= 30)):
+        asked.clear()
+        links = simhash._similar(list(range(60)), fp, sets, member, query, 8, 0.8)
+        assert sum(n for _, n in asked) >= len(links) > 0
+        want = [
+            (a, b)
+            for a in np.flatnonzero(query)
+            for b in np.flatnonzero(member)
+            if a != b and simhash.distances(fp[[a]], fp[[b]])[0] <= 8 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+        ]
+        from pagetally.llm.common import components
+
+        roots = [components(60, *np.array(x).T) for x in (links, want)]
+        assert len(links) < len(want) and roots[0].tolist() == roots[1].tolist()
+    assert simhash._similar([1, 2], fp[:2], sets[:2], np.zeros(2, bool), np.ones(2, bool), 8, 0.8) == []
+
+
 def test_katz(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: [" ", *(w.decode() for w in r.text.encode().lower().split()), ""] for r in docs.collect()}
