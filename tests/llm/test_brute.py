@@ -308,6 +308,61 @@ def test_edited_passages_seen_in_pieces(spark, size, edited, piece, share):
     assert not any(covered[i] & set(range(45)) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize(("size", "edited", "piece"), [(60, 3, 20), (60, 6, 30), (100, 10, 25)])
+def test_edited_passages_between_pieces(spark, size, edited, piece):
+    """As above, where documents after the whole passage have the pieces, too: it is no seed's first or last place.
+
+    As many words are covered as without the documents that have pieces.
+    """
+    random_ = random.Random(size + edited + piece)
+    word = [f"w{i}" for i in range(50_000)]
+    fill = lambda: random_.choices(word, k=50)
+    early, whole, again, late = [], [], [], []
+    for _ in range(40):
+        passage = random_.choices(word, k=size)
+        copy = list(passage)
+        for n in range(edited):
+            copy[(2 * n + 1) * size // (2 * edited)] = f"new{n}"
+        for side in (early, again):
+            side += [fill() + passage[i : i + piece] + fill() for i in range(0, size, piece)]
+        whole.append(fill() + passage + fill())
+        late.append(fill() + copy + fill())
+    found = []
+    for texts in (whole + late, early + whole + again + late):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        covered = defaultdict(set)
+        for r in passages.repeated_passages(docs).collect():
+            covered[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+        found.append(sum(len(covered[i] & set(range(50, 50 + size))) for i in range(len(texts) - 40, len(texts))))
+        assert not any(covered[i] & set(range(45)) for i in range(len(texts)))
+    assert found[1] >= found[0] > 30 * size, found
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_near_pairs(spark, rows_a_batch):
+    """All pairs of seeds of a document within the distance, wherever a batch ends; equal rows are one."""
+    random_ = random.Random(6)
+    rows = [(i % 3 == 0, i // 2, i, random_.randrange(30), p) for i in range(20) for p in sorted(random_.sample(range(300), 60))]
+    want = {(*a[:3], a[4], a[3], b[4], b[3]) for a in rows for b in rows if a[:3] == b[:3] and 15 <= b[4] - a[4] <= 47}
+    frame = spark.createDataFrame(rows + rows[::3], "missing boolean, id long, hash long, seed long, pos int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        found = [tuple(r) for r in passages._near_pairs(frame, 15, 47).collect()]
+        once = [tuple(r) for r in passages._near_pairs(frame, 15, 47, once=True).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(want) and {r[:-1] for r in found} == want
+    assert len({r[-1] for r in found}) == len({(r[4], r[6]) for r in found})
+    firsts = []
+    for side in (found, once):
+        of = {}
+        for r in sorted(side, key=lambda r: (r[3], r[5])):
+            of.setdefault((*r[:3], r[-1]), r)
+        firsts.append(of)
+    assert set(once) <= set(found) and firsts[0] == firsts[1]
+
+
 def test_links_of_places(spark):
     """First and last places before, over any cut into tasks, for a seed of very many places too."""
     random_ = random.Random(5)
