@@ -1,16 +1,19 @@
-"""Katz backoff language model: counted, stored and evaluated as tables.
-
-Words, and the end of a text, are known by 64-bit hashes. ``pairs`` has the counts of
-neighbours; from it come the words' counts, Good-Turing discounts, and for each context
-the weight that makes its probabilities sum to one. A token's probability is its discounted
-pair count if the pair was seen, else the context's weight times the word's own probability,
-which in turn is its discounted count if the word was seen, else the open share.
-
-    log P(text) = sum over tokens of A(context) + L1(word) + [pair seen] * D(pair)
-
-with A the log weight, L1 the word's log probability and D = L2 - A - L1. So each token asks
-its context and word for their values, and its pair for D: equal keys of a chunk of
-documents ask once, and the answers are added up per document.
+"""Katz backoff language model: counted and evaluated in chunks of documents that ask for sums by key.
+
+Words, and the end of a text, are known by 64-bit hashes, pairs of neighbours by a hash of
+both. The texts are read once: a chunk of documents becomes a row with its own words and
+its tokens as numbers of them. Then each chunk asks three times, with its distinct keys and
+what it adds to each, and gets what all chunks add: its words and pairs are counted so, and
+the sums of each context, for which one of the chunks that learn from a pair owns it. From the
+counts come Good-Turing discounts, and from a context's sums the weight that makes its
+probabilities sum to one. A token's probability is its discounted pair count if the pair was
+seen, else the context's weight times the word's own probability, which in turn is its
+discounted count if the word was seen, else the open share.
+
+    log P(text) = sum over tokens of L2(pair) + S(context) if the pair was seen, else A(context) + L1(word)
+
+with L2 the log of the discounted count, S the log scale of the context, A its log weight and L1
+the word's log probability.
 """
 
 from __future__ import annotations
@@ -21,19 +24,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagetally.llm.common import discard, held_out, id_text, stored, texts, words
+from pagetally.llm.common import discard, held_out, stored, texts, words
 
 FOLDS, FOLD = 7, 2  # the fold that is never learned from
 CUTOFF = 5  # larger counts are not discounted
-ROUNDS = 3  # contexts are evaluated in so many rounds, one after the other, to use less disk
+ROUNDS = 3  # chunks meet their counts in so many rounds, one after the other, to use less disk
 CHUNK_TOKENS = 700_000
 CHUNK_DOCS = 65_000
-_START, _END = b" ", b""  # never words
-_START_HASH = np.uint64(xxhash.xxh3_64_intdigest(_START))
+PART_TOKENS = 3_000_000  # tokens whose keys one task adds up, about
+_START, _END = b" ", b""  # never words; the first two words of each chunk
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: XXH64
 
@@ -56,54 +60,159 @@ def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _hashed(right, _hashed(left, np.full(len(left), 42, np.uint64)))
 
 
-class _Hashes(dict):
-    """Hash of each word, kept once it was asked for."""
+class _Numbers(dict):
+    """Number of each word, by first use."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        return self.setdefault(word, xxhash.xxh3_64_intdigest(word))
+        return self.setdefault(word, len(self))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the lowest first, and only as many as the largest needs; compressed."""
+    values = values.astype(np.uint64)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + (_ZSTD.compress(planes, asbytes=True) if planes else b"")
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of ``packed``."""
+    out, width = np.zeros((n, 8), np.uint8), data[0]
+    if n and width:
+        planes = _ZSTD.decompress(memoryview(data)[1:], n * width)
+        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def _chunked(docs: DataFrame, id_col: str, held_col: str, text_col: str) -> DataFrame:
+    """A row for each chunk of whole documents.
+
+    ``tokens`` are numbers of the chunk's words, whose hashes are ``vocab``: for each document the start, its
+    words, and the end. ``learned`` has how often each word is a token to learn from.
+    """
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    names = ["chunk", "n_tokens", "n_words", "n_docs", "vocab", "learned", "tokens", "sizes", "held", "ids"]
+
+    def scan(batches):
+        place, number = TaskContext.get().partitionId() << 20, 0
+        found, ids, held, size = _Numbers({_START: 0, _END: 1}), [], [], 0
+        tokens: list[np.ndarray] = []
+
+        def row():
+            sizes, every = np.array([len(t) for t in tokens]), np.concatenate(tokens)
+            learned = np.bincount(every[np.repeat(~np.array(held), sizes)], minlength=len(found))
+            learned[0] = 0  # the start is no token
+            vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+            numbers = [pa.array([x]) for x in (place + number, len(every), len(found), len(tokens))]
+            data = [pa.array([packed(x)], pa.binary()) for x in (vocab, learned, every, sizes, np.array(held))]
+            return pa.RecordBatch.from_arrays([*numbers, *data, pa.array([ids], pa.list_(kind))], names)
+
+        for batch in batches:
+            own, away = batch.column(id_col).to_pylist(), batch.column(held_col).to_pylist()
+            for i, text in enumerate(texts(batch, text_col)):
+                word = [_START, *words(text), _END]
+                tokens.append(np.fromiter(map(found.__getitem__, word), np.uint32, len(word)))
+                ids.append(own[i])
+                held.append(away[i])
+                size += len(word)
+                if size >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
+                    yield row()
+                    number += 1
+                    found, ids, held, size = _Numbers({_START: 0, _END: 1}), [], [], 0
+                    tokens = []
+        if tokens:
+            yield row()
+
+    data = "vocab binary, learned binary, tokens binary, sizes binary, held binary"
+    fields = f"chunk long, n_tokens long, n_words long, n_docs long, {data}, ids array<{docs.schema[id_col].dataType.simpleString()}>"
+    return docs.select(id_col, held_col, text_col).mapInArrow(scan, fields)
+
+
+def _pairs(vocab: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place of each pair's left word, order by key, what is first of its key in that order, distinct keys)."""
+    at = np.flatnonzero(tokens[1:] != 0)  # nothing leads to a start
+    key = pair_key(vocab[tokens[at]], vocab[tokens[at + 1]])
+    order = np.argsort(key)
+    key = key[order]
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    return at, order, first, key[first]
+
+
+_ASKS = "part int, chunk long, n long, keys binary, sums array<binary>"
+
+
+def _asked(chunk: int, keys: np.ndarray, sums: list[np.ndarray], parts: int) -> list[tuple]:
+    """Rows (part, chunk, n, keys, sums) of a chunk's ascending keys and what it adds to each."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the key
+    cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    rows = []
+    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            steps = np.diff(keys[a:b], prepend=np.uint64(0))
+            rows.append((p, chunk, int(b - a), packed(steps), [packed(x[a:b]) for x in sums]))
+    return rows
 
 
-def _chunks(batches, text_col: str, others: list[str]):
-    """(hashes of each document, other columns of each) for chunks of whole documents."""
-    hashes, held, rows, tokens = _Hashes(), [], [], 0
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in others]
-        for i, text in enumerate(texts(batch, text_col)):
-            word = [_START, *words(text), _END]
-            held.append(np.fromiter(map(hashes.__getitem__, word), np.uint64, len(word)))
-            rows.append(tuple(c[i] for c in columns))
-            tokens += len(held[-1])
-            if tokens >= CHUNK_TOKENS or len(held) >= CHUNK_DOCS:
-                yield held, rows
-                held, rows, tokens = [], [], 0
-    if held:
-        yield held, rows
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _neighbours(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    left = np.concatenate([h[:-1] for h in held])
-    right = np.concatenate([h[1:] for h in held])
-    return left, right, np.repeat(np.arange(len(held)), [len(h) - 1 for h in held])
+_ASK_FIELDS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("sums", pa.list_(pa.binary()))])
 
 
-def pair_counts(texts_: DataFrame, text_col: str) -> DataFrame:
-    """(h1, h2, c); equal pairs of a chunk are added up before the shuffle."""
+def _added(asks: DataFrame, parts: int, counts: int | None = None) -> DataFrame:
+    """(part, chunk, n, sums, seen): the asking rows, with what all chunks together add to their keys.
+
+    With ``counts`` the one sum is told twice over, and one more where the key is owned: by the first chunk that adds to it. A row of each part without chunk has in ``seen`` the sum
+    over its keys, the number of them, and the numbers of those with 1, 2, ... ``counts``.
+    """
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.binary())), ("seen", pa.list_(pa.int64()))])
+
+    def whole(part, held):
+        keys = np.concatenate([h[2] for h in held])
+        order = np.argsort(keys)
+        new = np.append(True, np.diff(keys[order]) != 0)[: len(keys)]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        del keys
+        answers, seen = [], None
+        for i in range(len(held[0][3])):
+            own = np.concatenate([h[3][i] for h in held])
+            total = np.add.reduceat(own[order], first)
+            answer = np.empty(len(order), own.dtype)
+            answer[order] = total[group]
+            if counts:
+                answer <<= np.uint64(1)
+                owner = np.minimum.reduceat(np.where(own[order] > 0, order, len(order)), first)
+                answer[owner[owner < len(order)]] |= np.uint64(1)
+                few = np.bincount(total[total <= counts].astype(np.int64), minlength=counts + 1)[1:]
+                seen = [int(total.sum()), int((total > 0).sum()), *few.tolist()]
+            answers.append(answer)
+        cuts = np.cumsum([0, *(h[1] for h in held)])
+        rows = [(part, h[0], h[1], [packed(x[a:b]) for x in answers], None) for h, a, b in zip(held, cuts[:-1], cuts[1:], strict=True)]
+        return _rows([*rows, *([(part, None, 0, [], seen)] if counts else [])], schema)
 
     def scan(batches):
-        for held, _ in _chunks(batches, text_col, []):
-            left, right, _ = _neighbours(held)
-            key = pair_key(left, right)
-            order = np.argsort(key)
-            key, left, right = key[order], left[order], right[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            count = np.diff(np.append(first, len(left)))
-            columns = [pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "n"])
+        now, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "chunk", "n", "keys", "sums")]
+            for part, chunk, n, keys, sums in zip(*columns, strict=True):
+                if part != now and held:
+                    yield whole(now, held)
+                    held = []
+                now = part
+                held.append((chunk, n, np.cumsum(unpacked(keys, n)), [unpacked(x, n) for x in sums]))
+        if held:
+            yield whole(now, held)
+
+    dealt = asks.repartition(parts, "part").sortWithinPartitions("part", "chunk")
+    return dealt.mapInArrow(scan, "part int, chunk long, n long, sums array<binary>, seen array<long>")
+
 
-    rows = texts_.select(text_col).mapInArrow(scan, "h1 long, h2 long, n long")
-    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("c"))
+def _seen(added: DataFrame, counts: int) -> list[int]:
+    """What the rows without chunk of ``_added`` tell, of all parts."""
+    seen = F.col("seen")
+    row = added.where(F.col("chunk").isNull()).agg(*(F.sum(seen[i]).alias(str(i)) for i in range(counts + 2))).first()
+    return [x or 0 for x in row]
 
 
 def discounts(counts: dict[int, int], cutoff: int = CUTOFF) -> list[float]:
@@ -121,165 +230,44 @@ def discounts(counts: dict[int, int], cutoff: int = CUTOFF) -> list[float]:
     return found
 
 
-def _discounted(c: Column, factors: list[float]) -> Column:
-    value = c.cast("double")
+def _discounted(c: np.ndarray, factors: list[float]) -> np.ndarray:
+    value = c.astype(np.float64)
     for r, d in enumerate(factors, 1):
-        value = F.when(c == r, F.lit(r * d)).otherwise(value)
+        value[c == r] = r * d
     return value
 
 
-def _count_of_counts(frame: DataFrame, cutoff: int) -> dict[int, int]:
-    rows = frame.where(F.col("c") <= cutoff + 1).groupBy("c").count().collect()
-    return {row["c"]: row["count"] for row in rows}
+def _met(chunks: DataFrame, answers: list[DataFrame], tasks: int, work, schema: str) -> DataFrame:
+    """``work(row, answers)`` of each chunk: its row, and the sums that each table of ``answers`` has for it, in order of keys."""
+    fields = [f for f in chunks.schema if f.name != "chunk"]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    both = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<binary>").alias("sums"), *(f.name for f in fields))
+    for kind, told in enumerate(answers, 1):
+        both = both.unionByName(told.where(F.col("chunk").isNotNull()).select("chunk", F.lit(kind).alias("kind"), "part", "n", "sums", *none))
 
-
-def _asked(docs: DataFrame, text_col: str, keys, columns: list[str]) -> DataFrame:
-    """Each chunk's distinct keys with the documents that have them, and a row for each document.
-
-    ``keys`` turns (left, right, document) arrays into keys and the document of each.
-    ``who`` lists document numbers of the chunk as 16 bits each, once for each time the key
-    occurs there. A document's own row has its number, its columns and n_tokens.
-    """
-    kinds = [to_arrow_type(docs.schema[c].dataType) for c in columns]
-    names = ["chunk", "key", "who", "doc", *columns, "n_tokens"]
+    tables = len(answers)
 
     def scan(batches):
-        place = TaskContext.get().partitionId() << 20
-        for number, (held, rows) in enumerate(_chunks(batches, text_col, columns)):
-            chunk = place + number
-            key, doc = keys(*_neighbours(held))
-            order = np.argsort(key)
-            key, doc = key[order], doc[order].astype(np.uint16)
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            ends = pa.py_buffer((np.append(first, len(key)) * 2).astype(np.int32).tobytes())
-            who = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(doc.tobytes())])
-            asks = [pa.array(np.full(len(first), chunk)), pa.array(key[first].view(np.int64)), who]
-            empty = [pa.nulls(len(first), kind) for kind in (pa.int32(), *kinds, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*asks, *empty], names)
-            number_of = np.arange(len(rows), dtype=np.int64)
-            spread = pair_key(np.full(len(rows), chunk, np.uint64), number_of.view(np.uint64)).view(np.int64)
-            marks = [pa.array(np.full(len(rows), chunk)), pa.array(spread), pa.nulls(len(rows), pa.binary())]
-            marks.append(pa.array(number_of.astype(np.int32)))
-            own = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            sizes = pa.array(np.array([len(h) - 1 for h in held], np.int64))
-            yield pa.RecordBatch.from_arrays([*marks, *own, sizes], names)
-
-    fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(text_col, *columns).mapInArrow(scan, f"chunk long, key long, who binary, doc int{fields}, n_tokens long")
-
-
-def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all values in a row, size of each) of a binary column."""
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
-    return raw, np.diff(ends)
-
-
-def _summed(asked: DataFrame, values: DataFrame, sums: list[str], columns: list[str]) -> DataFrame:
-    """For each document its columns, n_tokens and the sums of its keys' values.
-
-    ``values`` has key and the columns ``sums``; keys it lacks add nothing. Tasks add up
-    what they have of each chunk and send one row for it, with the numbers and sums of
-    its documents; then each chunk's rows meet, and it is a bounded number of documents.
-    """
-    joined = asked.join(values, "key", "left").where(F.col("doc").isNotNull() | F.col(sums[0]).isNotNull()).drop("key")
-    kinds = [to_arrow_type(asked.schema[c].dataType) for c in columns]
-    fixed = ["chunk", "who", "doc", *columns, "n_tokens"]
-    names = [*fixed, *sums]
-
-    def add(batches):
-        held, size = [], 0
-
-        def rows():
-            key = np.concatenate([h[0] for h in held])
-            distinct, inverse = np.unique(key, return_inverse=True)
-            found = [np.bincount(inverse, np.concatenate([h[1][i] for h in held]), len(distinct)) for i in range(len(sums))]
-            chunk, doc = distinct >> 16, (distinct & 0xFFFF).astype(np.uint16)
-            first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)])
-            cuts = list(zip(first, np.append(first[1:], len(chunk)), strict=True))
-            who = pa.array([doc[a:b].tobytes() for a, b in cuts], pa.binary())
-            none = [pa.nulls(len(cuts), kind) for kind in (pa.int32(), *kinds, pa.int64())]
-            added = [pa.array([f[a:b].tobytes() for a, b in cuts], pa.binary()) for f in found]
-            return pa.RecordBatch.from_arrays([pa.array(chunk[first]), who, *none, *added], names)
-
-        for batch in batches:
-            is_doc = batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
-            if is_doc.any():
-                part = batch.take(pa.array(np.flatnonzero(is_doc)))
-                none = [pa.nulls(part.num_rows, pa.binary())] * len(sums)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in fixed), *none], names)
-                batch = batch.take(pa.array(np.flatnonzero(~is_doc)))
-            if not batch.num_rows:
-                continue
-            raw, sizes = _blobs(batch.column("who"))
-            times = sizes // 2
-            # chunks are numbered by task and place, documents by 16 bits more
-            key = (np.repeat(batch.column("chunk").to_numpy(), times) << 16) | raw.view(np.uint16).astype(np.int64)
-            held.append((key, [np.repeat(batch.column(n).to_numpy(), times) for n in sums]))
-            size += len(key)
-            if size > 1_500_000:
-                yield rows()
-                held, size = [], 0
-        if held:
-            yield rows()
-
-    fields = "".join(f", `{c}` {asked.schema[c].dataType.simpleString()}" for c in columns)
-    schema = f"chunk long, who binary, doc int{fields}, n_tokens long" + "".join(f", {n} binary" for n in sums)
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = joined.mapInArrow(add, schema).repartition(tasks, "chunk").sortWithinPartitions("chunk")
+        row, held = None, [[] for _ in range(tables)]
 
-    def total(batches):
-        now, totals, docs = None, None, []
-
-        def rows():
-            own = pa.Table.from_batches(docs)
-            at = own.column("doc").to_numpy()
-            found = [pa.array(totals[i][at]) for i in range(len(sums))]
-            kept = [own.column(n).combine_chunks() for n in (*columns, "n_tokens")]
-            return pa.RecordBatch.from_arrays([*kept, *found], [*columns, "n_tokens", *sums])
+        def done():
+            sums = [[np.concatenate(x) for x in zip(*h, strict=True)] for h in held]
+            return work(row, sums)
 
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if chunk[a] != now:
-                    if docs:
-                        yield rows()
-                    now, totals, docs = chunk[a], np.zeros((len(sums), 1 << 16)), []
-                piece = batch.slice(a, b - a)
-                is_doc = piece.column("doc").is_valid().to_numpy(zero_copy_only=False)
-                if is_doc.any():
-                    docs.append(piece.take(pa.array(np.flatnonzero(is_doc))))
-                for i in np.flatnonzero(~is_doc):
-                    at = np.frombuffer(piece.column("who")[i].as_py(), np.uint16)
-                    for j, n in enumerate(sums):
-                        totals[j][at] += np.frombuffer(piece.column(n)[i].as_py())
-        if docs:
-            yield rows()
-
-    out = "".join(f"`{c}` {asked.schema[c].dataType.simpleString()}, " for c in columns)
-    return parts.mapInArrow(total, f"{out}n_tokens long" + "".join(f", {n} double" for n in sums))
-
-
-def _context_weights(pairs: DataFrame) -> DataFrame:
-    """(h1, scale, log_a): what turns a discounted count into a probability, and the weight.
-
-    The weight is what the seen pairs leave, over what their words leave in the words' own
-    distribution; so all words' probabilities sum to one. Where no count of a context is
-    discounted, one more unseen event is counted.
-    """
-    sums = pairs.groupBy("h1").agg(F.sum("c").alias("n"), F.sum("w").alias("seen"), F.sum("p1").alias("seen1"))
-    none_left = F.col("n") - F.col("seen") < 1e-9
-    scale = 1 / F.when(none_left, F.col("n") + 1).otherwise(F.col("n"))
-    left = F.when(none_left, 1 / (F.col("n") + 1)).otherwise((F.col("n") - F.col("seen")) / F.col("n"))
-    return sums.select("h1", scale.alias("scale"), F.log10(left / F.greatest(1 - F.col("seen1"), F.lit(1e-300))).alias("log_a"))
-
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns, strict=True):
+                if values[1] == 0:
+                    if row is not None:
+                        yield from done()
+                    row, held = dict(zip(batch.schema.names, values, strict=True)), [[] for _ in range(tables)]
+                else:
+                    held[values[1] - 1].append([unpacked(x, values[3]) for x in values[4]])
+        if row is not None:
+            yield from done()
 
-def _round_of(context: Column, rounds: int) -> Column:
-    return context.bitwiseAND(F.lit(0xFFFF)) % rounds
+    dealt = both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "part")
+    return dealt.mapInArrow(scan, schema)
 
 
 def score_texts(
@@ -296,70 +284,125 @@ def score_texts(
     fold. Rows that repeat an identifier are scored each. Without training rows every
     token has probability 1, for both scores. An empty table gives no rows.
     """
-    row_key = F.md5(F.concat_ws(":", id_text(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     held = F.coalesce(held_out(id_col, FOLDS, FOLD), F.lit(False))
-    docs = docs.select(F.col(id_col).alias("id"), held.alias("held"), row_key.alias("row_key"), F.col(text_col).alias("text"))
-    train = docs.where(~F.col("held"))
-    pairs = stored(pair_counts(train, "text"), "pairs")
-    counts = stored(pairs.groupBy(F.col("h2").alias("h")).agg(F.sum("c").alias("c")), "word-counts")
-    size = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
-    n, v = size.n or 0, size.v
-    singles = _count_of_counts(counts, cutoff)
-    factors, pair_factors = discounts(singles, cutoff), discounts(_count_of_counts(pairs, cutoff), cutoff)
-    freed = sum(singles.get(r, 0) * r * (1 - d) for r, d in enumerate(factors, 1))
+    docs = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
+    id_type = docs.schema["id"].dataType
+    chunks = stored(_chunked(docs, "id", "held", "text"), "chunks")
+    size = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_TOKENS))
+    counts = cutoff + 1
+
+    def ask_words(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                vocab = unpacked(row["vocab"], row["n_words"])
+                order = np.argsort(vocab)
+                asks = _asked(row["chunk"], vocab[order], [unpacked(row["learned"], len(order))[order]], parts)
+                yield _rows(asks, _ASK_FIELDS)
+
+    asks = chunks.select("chunk", "n_words", "vocab", "learned").mapInArrow(ask_words, _ASKS)
+    word_counts = stored(_added(asks, parts, counts), "word-counts")
+    n, v, *few = _seen(word_counts, counts)
+
+    def ask_pairs(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                tokens = unpacked(row["tokens"], row["n_tokens"]).astype(np.int64)
+                at, order, first, keys = _pairs(unpacked(row["vocab"], row["n_words"]), tokens)
+                own = np.repeat(unpacked(row["held"], row["n_docs"]) == 0, unpacked(row["sizes"], row["n_docs"]).astype(np.int64))
+                learned = np.add.reduceat(own[at][order].astype(np.uint64), np.flatnonzero(first))
+                yield _rows(_asked(row["chunk"], keys, [learned], parts), _ASK_FIELDS)
+
+    of_pairs = chunks.select("chunk", "n_tokens", "n_words", "n_docs", "vocab", "tokens", "sizes", "held")
+    pair_counts = stored(_added(of_pairs.mapInArrow(ask_pairs, _ASKS), parts, counts), "pair-counts")
+    factors, pair_factors = (discounts(dict(enumerate(x, 1)), cutoff) for x in (few, _seen(pair_counts, counts)[2:]))
+    freed = sum(few[r - 1] * r * (1 - d) for r, d in enumerate(factors, 1))
     whole, freed = (n, freed) if freed > 0 else (n + 1, 1.0)
     open_share = freed / whole if n else 1.0
-    p1 = (_discounted(F.col("c"), factors) / whole).alias("p1")
-    known = stored(counts.select("h", "c", p1), "word-probabilities")
-    discard(counts)
-
-    values = ["score", "base", "known"]
-    zero = F.lit(0.0)
-    base = F.log10((F.col("c") + 1) / (n + v + 1))
-    answers = known.select(F.col("h").alias("key"), F.log10("p1").alias("score"), base.alias("base"), F.lit(1.0).alias("known"))
-    sums = []
+
+    state = pa.schema([
+        *_ASK_FIELDS, ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_docs", pa.int64()), ("order", pa.binary()), ("contexts", pa.binary()),
+        ("sizes", pa.binary()), ("held", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("ids", pa.list_(to_arrow_type(id_type))),
+    ])
+
+    def learn(row, answers):
+        """What a chunk's documents have without their contexts, and what it adds to those."""
+        (of_words,), (of_pairs,) = answers
+        vocab, docs = unpacked(row["vocab"], row["n_words"]), row["n_docs"]
+        tokens = unpacked(row["tokens"], row["n_tokens"]).astype(np.int64)
+        order = np.argsort(vocab)
+        c = np.empty(len(vocab), np.int64)
+        c[order] = of_words >> np.uint64(1)
+        known = c > 0
+        p1 = np.where(known, _discounted(c, factors) / whole, open_share)
+        base, p1_log = np.log10((c + 1) / (n + v + 1)), np.log10(p1)
+        at, by_key, first, _ = _pairs(vocab, tokens)
+        left, right = tokens[at], tokens[at + 1]
+        count = (of_pairs >> np.uint64(1)).astype(np.int64)
+        weight = _discounted(count, pair_factors)
+        own = (of_pairs & np.uint64(1)) == 1
+        one = by_key[first][own]
+        here, times, after = left[one], count[own], c[right[one]]
+        # a context's events, those of its frequent successors, and its pairs by their own and by their successor's small counts
+        sums = [np.bincount(here, x, len(vocab)) for x in (times, np.where(after > cutoff, after, 0))]
+        sums += [np.bincount(here[x == r], minlength=len(vocab)) for x in (times, after) for r in range(1, cutoff + 1)]
+        back = np.empty(len(at), np.int64)
+        back[by_key] = np.cumsum(first) - 1
+        seen = count[back] > 0
+        score = np.where(seen, np.log10(np.where(seen, weight[back], 1)), p1_log[right])
+        sizes = unpacked(row["sizes"], docs).astype(np.int64) - 1
+        doc = np.repeat(np.arange(docs), sizes)
+        values = [np.bincount(doc, x, docs) for x in (known[right], base[right], score)]
+        contexts = (left << 1) | seen
+        data = [order, contexts, sizes, unpacked(row["held"], docs), values[0], *(x.view(np.uint64) for x in values[1:])]
+        numbers = [None, row["chunk"], 0, None, None, len(at), len(vocab), docs]
+        yield _rows([(*numbers, *map(packed, data), row["ids"])], state)
+        asks = _asked(row["chunk"], vocab[order], [x[order] for x in sums], parts)
+        yield _rows([(*a, *[None] * (len(state) - len(a))) for a in asks], state)
+
+    id_sql = f"ids array<{id_type.simpleString()}>"
+    fields = "n_tokens long, n_words long, n_docs long, order binary, contexts binary, sizes binary, held binary, known binary, base binary, score binary"
+    of_chunks, learned = chunks.drop("learned"), []
     for r in range(rounds):
-        own = pairs.where(_round_of(F.col("h1"), rounds) == r)
-        weighed = own.withColumn("w", _discounted(F.col("c"), pair_factors)).join(known.select(F.col("h").alias("h2"), "p1"), "h2")
-        seen = stored(weighed, f"seen-pairs-{r}")
-        if r == rounds - 1:
-            discard(pairs)
-        contexts = stored(_context_weights(seen), f"contexts-{r}")
-        more = F.log10(F.col("w") * F.col("scale")) - F.col("log_a") - F.log10("p1")
-        steps = stored(seen.join(contexts, "h1").select(F.xxhash64("h1", "h2").alias("key"), more.alias("score")), f"steps-{r}")
-        discard(seen)
-
-        def pairs_of(left, right, doc, r=r):
-            own = (left & np.uint64(0xFFFF)) % np.uint64(rounds) == r
-            return pair_key(left[own], right[own]), doc[own]
-
-        asked = _asked(docs, "text", pairs_of, ["row_key"])
-        sums.append(stored(_summed(asked, steps, ["score"], ["row_key"]).groupBy("row_key").agg(F.max("score").alias("more")), f"pair-scores-{r}"))
-        discard(steps)
-        weights = contexts.select(F.col("h1").alias("key"), F.col("log_a").alias("score"))
-        answers = answers.unionByName(weights.select("key", "score", zero.alias("base"), zero.alias("known")))
-
-    # every word is a token and a context once each time it stands; the start is a context
-    # only and the end a token only, so one key serves both roles
-    answers = answers.groupBy("key").agg(*(F.sum(c).alias(c) for c in values))
-
-    def words_of(left, right, doc):
-        start = left == _START_HASH
-        return np.concatenate([right, left[start]]), np.concatenate([doc, doc[start]])
-
-    own = ["id", "held", "row_key"]
-    single = stored(_summed(_asked(docs, "text", words_of, own), answers, values, own), "word-scores")
-    more = sums[0]
-    for part in sums[1:]:
-        more = more.unionByName(part)
-    more = more.groupBy("row_key").agg(F.sum("more").alias("more"))
-    unknown = F.col("n_tokens") - F.col("known")
-    return single.join(more, "row_key", "left").select(
-        F.col("id").alias(id_col),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        F.round("known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - unknown * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("score") + unknown * math.log10(open_share) + F.coalesce("more", zero)).alias("score"),
-    )
+        now = F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == r
+        own = [frame.where(now) for frame in (of_chunks, word_counts, pair_counts)]
+        learned.append(stored(_met(own[0], own[1:], parts, learn, f"{_ASKS}, {fields}, {id_sql}"), f"contexts-{r}"))
+    for done in (chunks, word_counts, pair_counts):
+        discard(done)
+    every = learned[0]
+    for more in learned[1:]:
+        every = every.unionByName(more)
+    asks = every.where(F.col("part").isNotNull()).select("part", "chunk", "n", "keys", "sums")
+    sums = stored(_added(asks, parts), "context-sums")
+    out = pa.schema([
+        (id_col, to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+    ])
+
+    def score(row, answers):
+        order, docs = unpacked(row["order"], row["n_words"]).astype(np.int64), row["n_docs"]
+        told = np.empty((len(answers[0]), len(order)))
+        for x, sum_ in zip(told, answers[0], strict=True):
+            x[order] = sum_
+        total, small, after = told[0], told[2 : cutoff + 2], told[cutoff + 2 :]
+        times = np.arange(1, cutoff + 1)
+        left = (times * (1 - np.array(pair_factors))) @ small
+        seen1 = (told[1] + (times * np.array(factors)) @ after) / whole
+        # where no count of a context is discounted, one more unseen event is counted
+        none_left = left < 1e-9
+        events = np.where(none_left, total + 1, total)
+        left = np.where(none_left, 1, left) / events
+        weight = np.where(total > 0, np.log10(left / np.maximum(1 - seen1, 1e-300)), 0.0)
+        context = unpacked(row["contexts"], row["n_tokens"]).astype(np.int64)
+        value = np.where(context & 1, -np.log10(events)[context >> 1], weight[context >> 1])
+        sizes = unpacked(row["sizes"], docs).astype(np.int64)
+        value = np.bincount(np.repeat(np.arange(docs), sizes), value, docs)
+        base, rest = (unpacked(row[x], docs).view(np.float64) for x in ("base", "score"))
+        known = unpacked(row["known"], docs).astype(np.int64)
+        columns = [row["ids"], unpacked(row["held"], docs) == 1, sizes, known, np.full(docs, n), base, rest + value]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+
+    states = every.where(F.col("part").isNull()).drop("part", "n", "keys", "sums")
+    kinds = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _met(states, [sums], parts, score, f"`{id_col}` {id_type.simpleString()}, {kinds}")

@@ -199,6 +199,24 @@ def test_katz(spark, sf_dir):
     assert again == {(r.doc_id, round(r.score, 6)) for r in rows}
 
 
+def test_katz_reads_texts_once(spark):
+    """Whatever the model asks of its chunks, no text is read a second time; rounds do not change a score."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    random_ = random.Random(8)
+    texts = [(i, " ".join(random_.choices("abcdefghij", k=random_.randint(0, 30)))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in katz.score_texts(docs).collect()}
+    assert len(rows) == 200 and read.value == 200
+    again = {r.doc_id: r.score for r in katz.score_texts(docs, rounds=3).collect()}
+    assert all(math.isclose(rows[i], again[i], rel_tol=1e-9) for i in rows)
+
+
 def test_word_edits(spark):
     """Random lines over few words: every line against every earlier one."""
     random_ = random.Random(3)
