@@ -1,5 +1,6 @@
 """Operators against plain re-computations on small or given tables."""
 
+import itertools
 import math
 import random
 import zlib
@@ -241,6 +242,63 @@ def test_word_edits(spark):
     assert got == want
 
 
+def test_seeds_of_many_texts():
+    """The least k-mers of their neighbours, of equal ones the last, for each text by itself; words as elsewhere."""
+    random_ = random.Random(12)
+    for _ in range(100):
+        word = ["a", "B", "\u00e9", "\x1c", *(f"w{i}" for i in range(random_.choice([0, 30, 1000])))]
+        gap = lambda: random_.choice([" ", " ", "\n", " \t"])
+        many = ["".join(gap() + random_.choice(word) for _ in range(random_.choice([0, 1, 4, 5, 12, 13, 80]))).encode() for _ in range(9)]
+        single, size = passages.word_hashes(many, passages._Hashes())
+        split = [t.lower().split() for t in many]
+        assert size.tolist() == [len(w) for w in split]
+        assert len(set(itertools.chain(*split))) == len(set(single.tolist()))
+        want = set()
+        for i, text in enumerate(many):
+            _, code, at = passages.seeds([text], 5, 1)  # every k-mer
+            code = code.view(np.uint64).tolist()
+            for j in range(max(1, len(code) - 7) if code else 0):
+                near = code[j : j + 8]
+                place = j + len(near) - 1 - near[::-1].index(min(near))
+                want.add((i, int(code[place]), int(at[place])))
+        text, code, at = passages.seeds(many)
+        assert sorted(want) == sorted(zip(text.tolist(), code.view(np.uint64).tolist(), at.tolist(), strict=True))
+
+
+def test_seeds_there_once_are_no_rows(spark):
+    """Rows are made of the seeds that are there twice or more, in one document or in several, and of no other."""
+    random_ = random.Random(13)
+    shared, fill = random_.choices(range(1000), k=30), lambda n: random_.choices(range(50_000), k=n)
+    texts = [fill(200) + (shared if i % 5 == 0 else []) + fill(random_.choice([0, 100])) for i in range(30)]
+    own = fill(40)
+    texts += [own + fill(50) + own, [], [7] * 60]
+    docs = [(False, i, i, " ".join(map(str, t))) for i, t in enumerate(texts)]
+    text, code, at = passages.seeds([d[3].encode() for d in docs])
+    count = Counter(code.tolist())
+    want = {(i, c, p) for i, c, p in zip(text.tolist(), code.tolist(), at.tolist(), strict=True) if count[c] > 1}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            keyed = spark.createDataFrame(docs, "missing boolean, id long, hash long, text string").repartition(4)
+            rows = [(r.id, r.seed, r.pos) for r in passages.seed_table(keyed, 5, 8).collect()]
+            assert len(rows) == len(set(rows)) == len(want) < len(code) // 4 and set(rows) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_edits_are_those_of_the_table():
+    random_ = random.Random(14)
+    for _ in range(500):
+        a, b = (random_.choices("abcd", k=random_.randint(0, 14)) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert chains.edits(a, b) == row[-1]
+
+
 def test_passages(spark):
     """Planted exact and edited passages, several sources, and texts that share nothing."""
     random_ = random.Random(4)
