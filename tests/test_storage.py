@@ -78,6 +78,22 @@ def test_sorted_layout_makes_few_files(spark, sf_dir, tmp_path):
     assert len(data_files(tmp_path / "sorted")) <= 8
 
 
+def test_directories_are_listed_by_few_tasks(spark, tmp_path):
+    """However many sites there are, a core gets a few tasks that list their directories."""
+    sites = 60 * spark.sparkContext.defaultParallelism
+    for n in range(sites):
+        os.makedirs(tmp_path / f"batch=1/instance=main/entity_id=svc-{n}/year=2024/month=1")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        lake.read_events(configure(spark), str(tmp_path), instance=None)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+        tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_compaction_keeps_every_event(spark, sf_dir, tmp_path):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")
     events = stored_events(spark, sf_dir)
