@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pagetally.functions import agents as builtin
 from pagetally.functions.literals import ascii_lower, required_literal
 from pagetally.operators.joins import join_on
-from pagetally.operators.literal_index import local_pieces, with_piece, with_pieces
+from pagetally.operators.literal_index import local_pieces, with_pieces
+from pagetally.operators.run_index import found_rules, with_key
 
 # What a rule can tell.
 KINDS = ("browser", "system", "bot")
@@ -51,15 +52,16 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 
 
 def indexed_rules(rules: DataFrame) -> DataFrame:
-    """Usable rules with the piece of text that finds them; a broken pattern drops its rule."""
-    if "piece" in rules.columns:
-        return rules
+    """Usable rules with the ``key`` that finds them (see ``run_index``); a broken pattern drops its rule."""
+    # compiling costs far more than reading: spread over all tasks, however small the file
+    tasks = rules.sparkSession.sparkContext.defaultParallelism
+    rules = rules.repartition(tasks, "kind", "position", "literal", "pattern")
     compiled = {c: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col(c)) for c in ("pattern", "version")}
     pattern, literal = F.col("pattern"), F.col("literal")
     usable = (literal.isNotNull() | pattern.isNotNull()) & (pattern.isNull() | compiled["pattern"].isNotNull())
     named = [compiled[c].alias(c) if c == "version" else F.col(c) for c in RULE_SCHEMA.names if c != "piece"]
     needed = F.when(literal.isNotNull(), ascii_lower(literal)).otherwise(required_literal(pattern))
-    return with_piece(rules.where(usable).select(*named), needed)
+    return with_key(rules.where(usable).select(*named), needed)
 
 
 def agent_table(agents: DataFrame, rules: DataFrame | None = None, bot: str = "is_bot") -> DataFrame:
@@ -68,13 +70,17 @@ def agent_table(agents: DataFrame, rules: DataFrame | None = None, bot: str = "i
     ``rules`` has kind (browser, system, bot), position, literal, pattern, family, version. A
     rule fires when the agent contains the literal and matches the pattern, where given; of each
     kind the first by position decides. ``version`` is a pattern whose group 1 is the version.
-    Rules are found by a rare piece of their literal (or of what their pattern must contain),
-    in a join, and only those found are tested. Agents without any rule have NULLs.
+    Rules are found by a rare run of letters and digits of their literal (or of what their pattern
+    must contain), the built-in ones by a rare piece of three characters, in a join, and only
+    those found are tested. Agents without any rule have NULLs.
     """
     rules = builtin_rules(agents.sparkSession) if rules is None else rules
     known = agents.where(F.col("user_agent").isNotNull()).select("user_agent").distinct()
     agent = F.col("user_agent")
-    found = join_on(with_pieces(known, agent), indexed_rules(rules), ["piece"], "inner")
+    if "piece" in rules.columns:
+        found = join_on(with_pieces(known, agent), rules, ["piece"], "inner")
+    else:
+        found = found_rules(known, "user_agent", indexed_rules(rules))
     fires = F.coalesce(agent.contains(F.col("literal")), F.lit(True))
     fires = fires & F.when(F.col("pattern").isNull(), F.lit(True)).otherwise(F.regexp_like(agent, F.col("pattern")))
     verified = found.where(fires)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tests.conftest import plan_of
 
 from pagetally.functions import agents as builtin
-from pagetally.functions.literals import pieces, required_literal
-from pagetally.operators import agents, literal_index
+from pagetally.functions.literals import ascii_lower, pieces, required_literal
+from pagetally.operators import agents, literal_index, run_index
 from pagetally.operators import lookups as lk
 from pagetally.operators import registry as reg
 from tests.test_functions import AGENTS
@@ -83,6 +83,35 @@ def test_rows_carry_no_rule_chain(spark):
     assert "CASE WHEN Contains(user_agent" not in plan and "Python" not in plan and "Cartesian" not in plan
 
 
+def test_agents_meet_few_of_many_rules(spark):
+    """2,000 agents and 20,000 rules that differ in a number only: each agent is tested by a few."""
+    n = F.col("id").cast("string")
+    rules = spark.range(20_000).select(
+        F.lit("browser").alias("kind"), F.col("id").cast("int").alias("position"), F.concat(F.lit("App"), n, F.lit("/")).alias("literal"),
+        F.lit(None).cast("string").alias("pattern"), n.alias("family"), F.lit(None).cast("string").alias("version"))
+    bots = rules.select(F.lit("bot").alias("kind"), "position", F.lit(None).cast("string").alias("literal"),
+        F.concat(F.lit("(?i)fetch-"), "family", F.lit("-")).alias("pattern"), "family", "version")
+    seen = spark.range(2_000).select(F.concat(F.lit("Mozilla/5.0 (X) App"), (F.col("id") * 10).cast("string"), F.lit("/1.2 FETCH-"), n, F.lit("-x")).alias("user_agent"))
+    table = rules.unionByName(bots)
+    found = run_index.found_rules(seen, "user_agent", agents.indexed_rules(table))
+    assert found.count() < 20 * 2_000
+    told = agents.agent_table(seen, table).select(F.col("browser") == F.regexp_extract("user_agent", "App([0-9]+)/", 1), "is_bot").collect()
+    assert len(told) == 2_000 and all(all(r) for r in told)
+
+
+def test_runs_find_what_contains_finds(spark):
+    """A literal that a text contains shares a key with it, whatever stands around and in it."""
+    draw = random.Random(5)
+    atoms = ["a", "B", "7", "xy", "Zz", "é", "Ж", "/", "-", " ", ".", "_", "\n", "q" * 40]
+    texts = ["".join(draw.choices(atoms, k=draw.randint(0, 12))) for _ in range(200)]
+    cuts = [(t, *sorted(draw.choices(range(len(t) + 1), k=2))) for t in texts for _ in range(4)]
+    rows = spark.createDataFrame([(t, t[a:b]) for t, a, b in cuts], "t string, l string")
+    rules = rows.select("l").distinct()
+    got = run_index.found_rules(rows.select("t").distinct(), "t", run_index.with_key(rules, ascii_lower(F.col("l"))))
+    found = {(r.t, r.l) for r in got.collect()}
+    assert all((t, t[a:b]) in found for t, a, b in cuts)
+
+
 KINDS = "exact", "wildcard", "regex"
 
 
