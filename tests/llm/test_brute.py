@@ -99,6 +99,17 @@ def test_near_copies_at_the_bound(spark):
     assert {i for i, _ in rows} - left == gone
 
 
+def test_short_near_copies(spark):
+    """Eight words and the same with a ninth: similarity 0.8, whose fingerprints differ more than those of long texts."""
+    random_ = random.Random(17)
+    rows = []
+    for i in range(600):
+        text = [f"w{random_.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(text[:8])), (2 * i + 1, " ".join(text))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [2 * i for i in range(600)]
+
+
 def test_similar_links_in_parts(spark):
     """The same groups however a group of candidates is cut."""
     from pagetally.llm.components import component_roots
